@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, mixing, urls
+from . import chat, exact, licenses, minhash, mixing, tokens, toxicity, urls
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.write_and_index(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))[1]
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = toxicity.scored(docs, toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
+    return marked.select("doc_id", F.round("__severity", 3).alias("severity"), F.col("__grade").alias("grade"), (F.col("__severity") >= toxicity.REJECT).alias("toxic"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -30,11 +50,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op6_exact_dedup, op8_url_filter, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op5_license_scan, op6_exact_dedup, op8_url_filter, op9_mixing, op10_chat_format)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_minhash_dedup": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+             s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+             e as (select doc_id, unnest(s) as x, len(s) as n from s),
+             pair as (select a.doc_id as u, b.doc_id as v, a.n + b.n - count(*) as either, count(*) as n from e a join e b using (x) where a.doc_id < b.doc_id and a.n >= 0.79 * b.n and b.n >= 0.79 * a.n group by u, v, a.n, b.n),
+             link as (select u, v from pair where 100 * n >= 80 * either union all select v, u from pair where 100 * n >= 80 * either),
+             reach(doc_id, seen) as (select doc_id, doc_id from s union select r.doc_id, link.v from reach r join link on r.seen = link.u)
+        select doc_id, len(any_value(s)) as n_shingles, min(seen) as component_id, min(seen) = doc_id as kept from reach join s using (doc_id) group by doc_id""",
     "op6_exact_dedup": r"""
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
              g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)

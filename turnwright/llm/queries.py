@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, minhash, mixing, tokens, toxicity, urls
+from . import ann, chat, exact, licenses, minhash, mixing, tokens, toxicity, urls
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.round("__severity", 3).alias("severity"), F.col("__grade").alias("grade"), (F.col("__severity") >= toxicity.REJECT).alias("toxic"))
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op5_license_scan, op6_exact_dedup, op8_url_filter, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op4_nearest_vectors, op5_license_scan, op6_exact_dedup, op8_url_filter, op9_mixing, op10_chat_format)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

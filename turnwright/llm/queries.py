@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact, licenses, minhash, mixing, tokens, toxicity, urls
+from . import ann, chat, exact, licenses, minhash, mixing, sentencepiece_lattice, tokens, toxicity, urls
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents"), sentencepiece_lattice.read_model(tokenizer_file("piece_bpe_32k.model"))
+    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model), model)
+    return back.select("doc_id", "n_chunks", F.size("ids").alias("n_ids"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), (F.xxhash64("__text") == F.col("h")).alias("round_trip"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,7 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op4_nearest_vectors, op5_license_scan, op6_exact_dedup, op8_url_filter, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op4_nearest_vectors, op5_license_scan, op6_exact_dedup, op7_sentencepiece, op8_url_filter, op9_mixing, op10_chat_format)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

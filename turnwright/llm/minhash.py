@@ -170,3 +170,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed_rows = sketch.select("doc_id", "n_shingles", "set_key").join(by_rep, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return placed_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one document of each component, the smallest id, with all their columns."""
+    kept = near_duplicates(docs, k, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")

@@ -1,0 +1,124 @@
+"""Evaluation tables, dialogue parsing, exports, sampling and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+TURN = "struct<speaker:string,text:string>"
+
+
+def truthy(value: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(value)) == "true", F.lit(False))
+
+
+def parse_dialogue(raw: Column) -> Column:
+    """array<struct<speaker, text>> of `speaker: text` lines, or of a dump with a list of hypotheses for each chunk."""
+    none = F.array().cast(f"array<{TURN}>")
+    lines = F.regexp_extract_all(raw, F.lit("(?m)^(?:customer|agent):[ \\t]*.*$"), F.lit(0))
+    plain = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("speaker"), F.trim(F.regexp_replace(x, "^[a-z]+:[ \\t]*", "")).alias("text")))
+    dumps = F.regexp_extract_all(raw, F.lit("(?s)(?:customer|agent):\\s*(?=\\[Hypothesis)(?:(?!(?:customer|agent):\\s*\\[Hypothesis).)*"), F.lit(0))
+    best = lambda chunk: F.coalesce(F.get(F.filter(F.regexp_extract_all(chunk, F.lit("(?s)text='(.*?)', dec_out="), F.lit(1)), lambda t: F.trim(t) != ""), F.lit(0)), F.lit(""))
+    joined = lambda x: F.trim(F.array_join(F.filter(F.transform(F.split(x, "\\]\\s*\\["), best), lambda t: t != ""), " "))
+    legacy = F.transform(dumps, lambda x: F.struct(F.substring_index(x, ":", 1).alias("speaker"), joined(x).alias("text")))
+    turns = F.when(raw.contains("[Hypothesis"), legacy).otherwise(plain)
+    return F.coalesce(F.filter(turns, lambda t: t["text"] != "").cast(f"array<{TURN}>"), none)
+
+
+def with_position(rows: DataFrame, order: list[str], out: str = "idx", parts: int = 64) -> DataFrame:
+    """rows numbered from 1 in the given order: ranges are counted, then rows within a range, so no task sorts all rows."""
+    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__in", within).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")  # one row a range
+
+
+def with_recording_urls(rows: DataFrame, sources: DataFrame, order: list[str], url: str = "url") -> DataFrame:
+    """rows (idx, url) with recording_url: their own, else that of the source row at their place, else empty."""
+    numbered = with_position(sources, order).select(F.col("idx").alias("__idx"), F.col(url).alias("__url"))
+    own = F.trim(F.coalesce(rows[url], F.lit("")))
+    return rows.withColumn("__own", own).join(numbered, F.col("idx") == F.col("__idx"), "left").withColumn("recording_url", F.when(F.col("__own") != "", F.col("__own")).otherwise(F.coalesce("__url", F.lit("")))).drop("__own", "__idx", "__url")
+
+
+def language_filtered(rows: DataFrame, language: str, accepted: Column) -> DataFrame:
+    """Rows of accepted languages, or all rows if none names a language."""
+    named = rows.filter(F.coalesce(F.col(language), F.lit("")) != "").limit(1)
+    return rows if named.isEmpty() else rows.filter(accepted)
+
+
+def evaluation_summary(rows: DataFrame, flags: list[str]) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags])
+
+
+def improved(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows where some biased hit has no baseline hit."""
+    test = F.lit(False)
+    for baseline, biased in pairs:
+        test = test | (~F.col(baseline) & F.col(biased))
+    return rows.filter(test)
+
+
+def compared(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, both values of every field, and <field>_equal."""
+    joined = left.select(key, *[F.col(f).alias(f"{f}_a") for f in fields]).join(right.select(key, *[F.col(f).alias(f"{f}_b") for f in fields]), key)
+    return joined.withColumns({f"{f}_equal": F.col(f"{f}_a").eqNullSafe(F.col(f"{f}_b")) for f in fields})
+
+
+def batch_rows(ids: DataFrame, jobs: DataFrame, key: str, keep_unknown: bool = False, language: str = "hi-IN") -> DataFrame:
+    """filename, audio_link, language_id, transcript of asked jobs: by status the text, an error or the status.
+
+    jobs: key, status, filename, transcript, language_id, language, error.
+    """
+    got = ids.join(jobs, key, "left" if keep_unknown else "inner")
+    known = F.col("status").isNotNull()
+    text = F.when(~known, "ERROR: Job data lost").when(F.col("status") == "complete", F.coalesce("transcript", F.lit(""))).when(F.col("status") == "failed", F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("None")))).otherwise(F.concat(F.lit("STATUS: "), "status"))
+    lang = F.when(F.col("status") == "complete", F.coalesce("language_id", "language", F.lit(language))).otherwise(F.coalesce("language", F.lit(language)))
+    return got.select(key, F.coalesce("filename", F.lit("audio.wav")).alias("filename"), F.concat(F.lit("/api/jobs/"), F.col(key).cast("string"), F.lit("/audio")).alias("audio_link"), lang.alias("language_id"), text.alias("transcript"))
+
+
+def sample_ratio(session: Column, utterance: Column | None = None) -> Column:
+    """In [0, 1]: the first eight bytes of a hash of the session, else the utterance, else one fixed key."""
+    filled = lambda c: F.when(c != "", c)
+    key = F.coalesce(filled(session), filled(utterance) if utterance is not None else F.lit(None), F.lit("worker-default"))
+    return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float((1 << 64) - 1))
+
+
+def sampled_events(rows: DataFrame, session: Column, rate: float, enabled: bool = True) -> DataFrame:
+    if not enabled or rate <= 0:
+        return rows.filter(F.lit(False))
+    return rows if rate >= 1 else rows.filter(sample_ratio(session) <= rate)
+
+
+def text_metadata(text: Column, preview: int = 40) -> Column:
+    safe = F.trim(F.coalesce(text, F.lit("")))
+    return F.struct(F.length(safe).alias("text_chars"), F.left(safe, F.lit(preview)).alias("text_preview"), F.when(safe != "", F.sha2(safe, 256)).otherwise("").alias("text_sha256"))
+
+
+def latency_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, mean, p95: the value at place int(0.95 n) of all values in order, from counts of equal values."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(key).orderBy("v")
+    ends = counts.withColumn("upto", F.sum("n").over(by))
+    total = counts.groupBy(key).agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    at = ends.drop("n").join(total, key).filter(F.col("upto") > F.floor(F.col("n") * F.lit(0.95)))
+    return at.groupBy(key).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("v").alias("p95"))
+
+
+def histogram(rows: DataFrame, key: str, value: str, edges: list[float]) -> DataFrame:
+    """key, count, sum, and le_<i>: how many values are at most each edge."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"), *[F.count_if(F.col(value) <= e).alias(f"le_{i}") for i, e in enumerate(edges)])
+
+
+#: tenants' region, date order and currency.
+TENANTS = (("default", "IN", "DMY", "INR"), ("acme_in", "IN", "DMY", "INR"), ("acme_us", "US", "MDY", "USD"), ("acme_iso", "ZZ", "YMD", "USD"))
+
+
+def with_tenant(rows: DataFrame, tenant: str, tenants=TENANTS) -> DataFrame:
+    """rows with tenant_id, region, date_order, currency; unknown and missing tenants take the default."""
+    if len(tenants) > 10_000 or tenants[0][0] != "default" or any(t[2] not in ("DMY", "MDY", "YMD") for t in tenants):
+        raise ValueError("tenants: `default` first, known date orders, at most 10 000")
+    table = rows.sparkSession.createDataFrame(list(tenants), "tenant_id string, region string, date_order string, currency string")
+    names = [t[0] for t in tenants]
+    key = F.when(F.col(tenant).isin(*names), F.col(tenant)).otherwise("default")
+    return rows.withColumn("__t", key).join(F.broadcast(table), F.col("__t") == F.col("tenant_id")).drop("__t")  # at most 10 000 rows, checked

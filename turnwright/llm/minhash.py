@@ -3,9 +3,11 @@
 A document's set is its distinct k-word shingles. Each set gets BANDS * ROWS minima under multiply-shift hashes; the
 minima of one band are one bucket key. Documents with equal sets (128-bit digest of the sorted shingle hashes) become
 one class first. In every bucket each class is paired with the smallest member; pairs are verified on the shingles of
-their full texts and their links are contracted by alternating large-star and small-star. Buckets that then still hold
-several components have their cross-component pairs verified too, so a link between different texts is lost only if
-the pair shares no bucket: (1 - 0.8 ** ROWS) ** BANDS at similarity 0.8, 3e-6 with the default parameters.
+their full texts and their links are contracted by alternating large-star and small-star. In buckets that then still
+hold several components, classes are paired with the bucket's most central member (the one whose buckets hold most) and
+HASHED others, and links are contracted again. What is left across components after that is verified pair by pair where
+at least AGREE of all minima agree. A link between different texts is lost only if the pair shares no bucket,
+(1 - 0.8 ** ROWS) ** BANDS or 3e-6 at similarity 0.8 with the default parameters, or too few minima agree, 1e-7 there.
 
 Scale: a bucket that holds a third of all classes costs as many pairs as it has members, not their square. Groupings
 take partial minima before the shuffle; joins are sort-merge joins that AQE splits where a key is hot. Verification reads
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 BANDS, ROWS, SEED = 32, 5, 20240229
+HASHED, AGREE = 3, 0.625
 CHUNK = 4096
 _CACHE = 400_000
 
@@ -77,7 +80,7 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands of every row."""
+    """doc_id, n_shingles, set_key, bands, low (a byte of every minimum) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = np.random.default_rng(seed)
@@ -85,20 +88,26 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, seed
         b = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
         known = _WordHashes()
         for batch in batches:
-            sizes, keys, all_bands = [], [], []
+            sizes, keys, bands_of, low = [], [], [], []
             for raw in batch.column(1):
                 h = shingle_hashes(raw.as_py(), k, known)
                 sizes.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                band = np.arange(bands, dtype=np.uint64)
                 if len(h):
-                    for column in minima(h, a, b).reshape(bands, rows).T:
+                    least = minima(h, a, b)
+                    band = np.arange(bands, dtype=np.uint64)
+                    for column in least.reshape(bands, rows).T:
                         band = band * np.uint64(0x9E3779B97F4A7C15) + column
                         band ^= band >> np.uint64(31)
-                all_bands.append(band.astype(np.int64).tolist() if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                    bands_of.append(band.astype(np.int64))
+                    low.append(least.astype(np.uint8).view(np.int8))
+            has = np.array(sizes, np.int64) > 0
+            lists = lambda parts, width, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * width)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(bands_of, bands, pa.int64()), lists(low, bands * rows, pa.int8())], ["doc_id", "n_shingles", "set_key", "bands", "low"]
+            )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, low array<tinyint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -144,26 +153,46 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, root of buckets whose members are of more than one component."""
+    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select("key")
+    return cut(placed.join(split, "key", "left_semi"), "open-buckets")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(sketches(own, k, bands, rows), "sketches")
-    classes = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.bands"), "set-classes")
+    classes = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "low")).alias("m"))
+    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.low"), "set-classes")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     stars = buckets.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(buckets.join(stars, "key").select("key", "rep", "star"), "buckets")
-    texts = own.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    shared = cut(buckets.join(stars, "key").select("key", "rep", "star", "n"), "buckets")
+    meeting = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = cut(own.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).join(meeting, "doc_id", "left_semi"), "meeting-texts")
     tried = shared.filter("rep != star").select(F.col("rep").alias("u"), F.col("star").alias("v")).distinct()
     links = cut(verified(tried, texts, k, percent), "links")
     roots = cut(components(links), "roots")
-    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "star", F.coalesce("root", "rep").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select("key")
-    open_ = cut(placed.join(split, "key", "left_semi"), "open-buckets")
+    open_ = _open(shared, roots)
+    if not open_.isEmpty():
+        central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "c")
+        pick = F.struct("rep", "root")
+        hubs = open_.join(central, F.col("rep") == F.col("c")).groupBy("key").agg(
+            F.array_distinct(F.array(F.max_by(pick, F.struct("central", -F.col("rep"))), *[F.min_by(pick, F.xxhash64("rep", F.lit(i))) for i in range(HASHED)])).alias("hubs")
+        )
+        second = open_.join(hubs, "key").select("rep", "root", F.explode("hubs").alias("hub")).filter("hub.root != root")
+        second = second.select(F.greatest("rep", "hub.rep").alias("u"), F.least("rep", "hub.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+        links = cut(links.unionByName(verified(second, texts, k, percent)), "links")
+        roots = cut(components(links), "roots")
+        open_ = _open(shared, roots)
     if not open_.isEmpty():
-        left, right = (open_.filter("rep != star").select("key", F.col("rep").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v"))
-        across = left.join(right, "key").filter("u > v and root_u != root_v").select("u", "v").distinct()
-        more = cut(verified(across, texts, k, percent), "more-links")
+        low = reps.select(F.col("rep").alias("c"), "low")
+        sides = cut(open_.join(low, F.col("rep") == F.col("c")).select("key", "rep", "root", "low"), "open-sides")
+        left, right = (sides.select("key", F.col("rep").alias(x), F.col("root").alias(f"root_{x}"), F.col("low").alias(f"low_{x}")) for x in ("u", "v"))
+        agree = F.aggregate(F.zip_with("low_u", "low_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        across = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("u > v and root_u != root_v") & (agree >= int(AGREE * bands * rows)))
+        more = cut(verified(across.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), texts, k, percent), "more-links")
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more)), "roots")
     by_rep = reps.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))

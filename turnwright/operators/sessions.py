@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _seconds(ts: str) -> Column:
+    return F.col(ts).cast("timestamp").cast("double")
+
+
 def stability(rows: DataFrame, key: str, order: list[str], text: str, final: str | None = None) -> DataFrame:
     """rows with stable_count: how many equal texts in a row end here; counting starts anew after a final."""
     by = Window.partitionBy(key).orderBy(*order)
@@ -19,7 +23,7 @@ def stability(rows: DataFrame, key: str, order: list[str], text: str, final: str
 def inactivity_sessions(rows: DataFrame, key: str, ts: str, gap_seconds: float) -> DataFrame:
     """key, session_no, started, ended, n: rows no further apart than the gap."""
     by = Window.partitionBy(key).orderBy(ts)
-    apart = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(by)
+    apart = _seconds(ts) - F.lag(_seconds(ts)).over(by)
     marked = rows.withColumn("__new", F.coalesce((apart > gap_seconds).cast("int"), F.lit(1))).withColumn("session_no", F.sum("__new").over(by))
     return marked.groupBy(key, "session_no").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("n"))
 
@@ -29,7 +33,7 @@ def cached_language(rows: DataFrame, key: str, order: str, detected: str, client
     by = Window.partitionBy(key).orderBy(order)
     last = F.last(F.when(F.col(detected).isNotNull(), F.struct(F.col(detected).alias("lang"), F.col(order).alias("at"))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     staged = rows.withColumn("__last", last)
-    fresh = F.col(order).cast("double") - F.col("__last.at").cast("double") <= ttl_seconds
+    fresh = _seconds(order) - _seconds("__last.at") <= ttl_seconds
     asked = F.col(client) if client else F.lit(None).cast("string")
     source = F.when(asked.isNotNull(), "client").when(F.coalesce(fresh, F.lit(False)), "cache").when(F.col(detected).isNotNull(), "detected").otherwise("fallback")
     staged = staged.withColumn("language_source", source)
@@ -39,4 +43,4 @@ def cached_language(rows: DataFrame, key: str, order: str, detected: str, client
 
 def expired_jobs(jobs: DataFrame, now: str, ttl_seconds: float = 14_400.0) -> DataFrame:
     """Finished jobs older than the time to live: jobs (status, created_at) as of column `now`."""
-    return jobs.filter(F.col("status").isin("complete", "failed") & (F.col(now).cast("double") - F.col("created_at").cast("double") > ttl_seconds))
+    return jobs.filter(F.col("status").isin("complete", "failed") & (_seconds(now) - _seconds("created_at") > ttl_seconds))

@@ -37,30 +37,36 @@ def inactivity_flushes(stream: DataFrame, key: str, ts: str, gap: str = "350 mil
     return sessions.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def language_cache(stream: DataFrame, ttl_ms: int = 600_000, fallback: str = "hi") -> DataFrame:
-    """session, seq, language, language_source. stream: session, seq, detected, client, is_final; times out after ttl_ms."""
+def language_cache(stream: DataFrame, ttl_ms: int = 600_000, fallback: str = "hi", late: str = "10 seconds") -> DataFrame:
+    """session, seq, language, language_source. stream: session, seq, ts, detected, client, is_final.
+
+    A session's language lives ttl_ms of its rows' time after it was detected; the watermark clears sessions that ended.
+    """
 
     def resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known = state.get[0] if state.exists else None
+        known, since = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, detected, client, final in zip(rows["seq"], rows["detected"], rows["client"], rows["is_final"], strict=True):
+        for seq, ts, detected, client, final in zip(rows["seq"], rows["ts"], rows["detected"], rows["client"], rows["is_final"], strict=True):
+            now = ts.value // 1_000_000
+            known = known if known and now - since <= ttl_ms else None
             source = "client" if isinstance(client, str) else "cache" if known else "detected" if isinstance(detected, str) else "fallback"
-            known = known or (detected if isinstance(detected, str) else None)
             out.append((key[0], seq, {"client": client, "cache": known, "detected": detected, "fallback": fallback}[source], source))
-            if final:
-                known = None
+            if not known and isinstance(detected, str):
+                known, since = detected, now
+            known = None if final else known
         if known:
-            state.update((known,))
-            state.setTimeoutDuration(ttl_ms)
+            state.update((known, since))
+            state.setTimeoutTimestamp(max(since + ttl_ms, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["session", "seq", "language", "language_source"])
 
-    return stream.groupBy("session").applyInPandasWithState(resolve, "session string, seq long, language string, language_source string", "language string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = stream.withWatermark("ts", late).groupBy("session")
+    return kept.applyInPandasWithState(resolve, "session string, seq long, language string, language_source string", "language string, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

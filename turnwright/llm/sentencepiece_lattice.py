@@ -212,7 +212,7 @@ def _coded(docs: DataFrame, model: Model, hot: dict[str, int]) -> DataFrame:
             codes, tails = [], []
             for i in range(batch.num_rows):
                 words = batch.column(2)[i].values.to_pylist()
-                own = sorted(set(words) - hot.keys())
+                own = sorted(w for w in set(words) if w not in hot)
                 place = dict(zip(own, range(base, base + len(own)), strict=True))
                 found = [hot[w] if w in hot else place[w] for w in words] if own else [hot[w] for w in words]
                 codes.append(_packed(np.array(found, np.int64), press))

@@ -79,7 +79,7 @@ ORACLE_SQL = {
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g using (t)""",
     "op10_chat_format": r"""
         with t as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
-             n as (select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as place, count(*) over (partition by conv_id) as n_turns from t),
+             n as (select *, row_number() over (partition by conv_id order by turn, role, sha256(text)) - 1 as place, count(*) over (partition by conv_id) as n_turns from t),
              pre as (select conv_id, place, n_turns, sha256(string_agg(sha256(role || chr(1) || text), '' order by place) over (partition by conv_id order by place rows unbounded preceding)) as h from n),
              ends as (select place, h, min(conv_id) as conv_id, count(*) as n_logged from pre where place = n_turns - 1 group by place, h),
              stay as (select conv_id, n_logged from ends e where not exists (select 1 from pre p where p.place < p.n_turns - 1 and p.place = e.place and p.h = e.h))

@@ -76,7 +76,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = L2, s
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, seed: int = SEED) -> Model | None:
     """docs: doc_id, text. None where there is no toxic example."""
-    known = docs.filter("doc_id is not null").join(graded(labels), "doc_id").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    known = docs.select("doc_id", "text").filter("doc_id is not null").join(graded(labels), "doc_id").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     toxic = known.filter("grade > 0").orderBy("h", "text").limit(sample // 2)
     clean = known.filter("grade = 0").orderBy("h", "text").limit(sample // 2)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}]+"), F.lit(0)))

@@ -12,7 +12,8 @@ one pass is enough; only runs of spaces, whose pieces share one rank, need a fol
 
 Frequent chunks (the HOT most frequent of at most HOT_LENGTH characters; a bound that holds at any size) travel to the
 documents as a table; a document's other chunks are joined to their ids by a shuffle of (document, chunk) rows, and its
-own order of chunks, as compressed numbers, meets them in one sort-merge join.
+own order of chunks, as compressed numbers, meets them in one sort-merge join. Distinct chunks are dealt to tasks of some
+TASK_WORDS each before they are exploded; the grouping of edges then happens where the chunk is.
 
 Decoding joins piece texts back, ids of bytes to their bytes; decoded text equals the text wherever the tokenizer itself
 keeps it (`\\u2581` in a text comes back as a space, and ill-formed bytes as U+FFFD).
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 HOT, HOT_LENGTH, SHORT = 200_000, 32, 62
+TASK_WORDS = 40_000  # a word has some twenty edges
 SPACE = "▁"
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 LETTERS = "\\p{L}\\p{M}"
@@ -184,8 +186,11 @@ def viterbi(edges: DataFrame, model: Model) -> DataFrame:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """word, ids of distinct, non-empty words."""
-    pieces = piece_table(words.sparkSession, model)
+    """word, ids of distinct, non-empty words. words is dealt by word first, so that its edges need no shuffle of their own."""
+    spark = words.sparkSession
+    pieces = piece_table(spark, model)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // TASK_WORDS))
+    words = words.select("word").repartition(tasks, "word")
     edges = lambda rows: lattice(rows.select("word"), pieces, model.longest)
     if model.kind == "unigram":
         return viterbi(edges(words), model)

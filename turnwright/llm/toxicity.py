@@ -7,7 +7,7 @@ expected grade, the sum of the P(grade > j); it is rejected from REJECT up.
 
 The model is fitted on at most SAMPLE labelled documents, those with the smallest hashes of their ids, toxic ones first
 up to half of it; features are chosen on the same rows. Fitting needs one row per distinct word on the executors and
-SAMPLE rows of FEATURES flags on the driver. Scoring reads whole texts in one pass with no shuffle.
+SAMPLE rows of the numbers of their features on the driver. Scoring reads whole texts in one pass with no shuffle.
 
 Defined cases: null, empty or wordless text has no features and is scored by the thresholds alone; without any labelled
 document, or without a toxic one, every severity is 0 and none is rejected; a grade without documents has a threshold no
@@ -45,16 +45,20 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and toxic is not null").select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by full-batch gradient steps with momentum scaling (Adam) on the log-likelihood."""
-    n, f = x.shape
+def fit_ordinal(held: np.ndarray, sizes: np.ndarray, f: int, grade: np.ndarray, grades: int, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and increasing thresholds by full-batch gradient steps with momentum scaling (Adam) on the log-likelihood.
+
+    held: the features of all rows, one row's after another's; sizes: how many of them each row has.
+    """
+    n = len(grade)
+    row = np.repeat(np.arange(n), sizes)
     present = [j for j in range(grades - 1) if (grade > j).any()]
     w, first, gaps = np.zeros(f), 0.0, np.zeros(max(0, len(present) - 1))
     m, v = np.zeros(f + 1 + len(gaps)), np.zeros(f + 1 + len(gaps))
     level = np.searchsorted(present, grade)  # how many thresholds in use a grade passes
     for t in range(1, steps + 1):
         b = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:, None] - b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[held], n)[:, None] - b, -30, 30)))
         cum = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
         rows = np.arange(n)
         mass = np.maximum(cum[rows, level] - cum[rows, level + 1], 1e-9)
@@ -65,7 +69,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = L2, s
         each = at[:, 1:-1] / n  # d log-likelihood / d (w . x - b_j)
         db = -each.sum(0)
         tail = np.cumsum(db[::-1])[::-1]
-        g = np.concatenate([x.T @ each.sum(1) - l2 * w / np.sqrt(n), [tail[0]], tail[1:] * np.exp(gaps)])
+        g = np.concatenate([np.bincount(held, each.sum(1)[row], f) - l2 * w / np.sqrt(n), [tail[0]], tail[1:] * np.exp(gaps)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, first, gaps = w + step[:f], first + step[f], gaps + step[f + 1 :]
@@ -90,15 +94,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     tells = F.col("bad") * F.log(rate_bad / rate_good)
     chosen = counts.filter(F.col("bad") >= LEAST_DOCUMENTS).withColumn("tells", tells).filter("tells > 2").orderBy(F.desc("tells"), "word").limit(features)
     vocabulary = tuple(r.word for r in chosen.collect())
-    place = {w: i for i, w in enumerate(vocabulary)}
-    flags = rows.select("grade", F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>")).alias("held")).collect() if vocabulary else []
+    places = F.create_map(*[x for i, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(i))]) if vocabulary else None
+    known_words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    flags = rows.select("grade", F.transform(F.array_intersect("words", known_words), lambda w: F.try_element_at(places, w)).alias("held")).toArrow() if vocabulary else None
     rows.unpersist()
-    if not flags:
+    if flags is None:
         return None
-    x = np.zeros((len(flags), len(vocabulary)))
-    for i, r in enumerate(flags):
-        x[i, [place[w] for w in r.held]] = 1
-    w, b = fit_ordinal(x, np.array([r.grade for r in flags]), 3)
+    held = flags.column("held").combine_chunks()
+    w, b = fit_ordinal(held.flatten().to_numpy(), held.value_lengths().to_numpy(), len(vocabulary), flags.column("grade").to_numpy(), 3)
     return Model(vocabulary, w, b)
 
 

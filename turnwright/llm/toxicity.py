@@ -2,8 +2,9 @@
 
 Grades: 0 clean, 1 toxic, 2 toxic and of low quality. P(grade > j) = sigmoid(w . x - b_j) with one weight vector for
 all ordered thresholds b_1 < b_2. Features are lower-cased words of the text, each present or not; the FEATURES words
-that tell toxic from clean labelled documents best (signed log-likelihood ratio) make up x. A document's severity is its
-expected grade, the sum of the P(grade > j); it is rejected from REJECT up.
+that tell toxic from clean labelled documents best (signed log-likelihood ratio) make up x, if
+at least LEAST_RATIO times as common in toxic ones. A document's severity is its expected grade, the sum of the
+P(grade > j); it is rejected from REJECT up.
 
 The model is fitted on at most SAMPLE labelled documents, those with the smallest hashes of their ids, toxic ones first
 up to half of it; features are chosen on the same rows. Fitting needs one row per distinct word on the executors and
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, FEATURES, REJECT, SEED = 20_000, 512, 0.5, 5
-LEAST_DOCUMENTS, L2, STEPS = 3, 0.05, 400
+LEAST_DOCUMENTS, LEAST_RATIO, L2, STEPS = 3, 2.0, 0.005, 400
 _WORD = "[^\\W\\d_]+"
 
 
@@ -92,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     counts = rows.select((F.col("grade") > 0).cast("long").alias("t"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("t").alias("bad"), F.sum(1 - F.col("t")).alias("good"))
     rate_bad, rate_good = (F.col("bad") + 0.5) / (n[True] + 1.0), (F.col("good") + 0.5) / (n[False] + 1.0)
     tells = F.col("bad") * F.log(rate_bad / rate_good)
-    chosen = counts.filter(F.col("bad") >= LEAST_DOCUMENTS).withColumn("tells", tells).filter("tells > 2").orderBy(F.desc("tells"), "word").limit(features)
+    chosen = counts.filter((F.col("bad") >= LEAST_DOCUMENTS) & (rate_bad >= LEAST_RATIO * rate_good)).withColumn("tells", tells).filter("tells > 2").orderBy(F.desc("tells"), "word").limit(features)
     vocabulary = tuple(r.word for r in chosen.collect())
     places = F.create_map(*[x for i, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(i))]) if vocabulary else None
     known_words = F.array(*map(F.lit, vocabulary)).cast("array<string>")

@@ -2,11 +2,11 @@
 
 A document's set is its distinct k-word shingles. Each set gets BANDS * ROWS minima under multiply-shift hashes; the
 minima of one band are one bucket key. Documents with equal sets (128-bit digest of the sorted shingle hashes) become
-one class first. In every bucket each class is paired with the smallest member; pairs are verified on the shingles of
-their full texts and their links are contracted by alternating large-star and small-star. In buckets that then still
-hold several components, classes are paired with the bucket's most central member (the one whose buckets hold most) and
-HASHED others, and links are contracted again. What is left across components after that is verified pair by pair where
-at least AGREE of all minima agree. A link between different texts is lost only if the pair shares no bucket,
+one class first. In LIGHT rounds each class is paired with the smallest and the most central member (whose buckets hold
+most) of its largest bucket that still holds several components; pairs are verified on the shingles of their full texts
+and their links are contracted by alternating large-star and small-star. In all buckets that then still hold several
+components, classes are paired with both and HASHED others, and links are contracted again. What is left across components after that is verified pair by pair where
+at least AGREE of all minima agree and the shingles that not one document holds alone could make a link. A link between different texts is lost only if the pair shares no bucket,
 (1 - 0.8 ** ROWS) ** BANDS or 3e-6 at similarity 0.8 with the default parameters, or too few minima agree, 1e-7 there.
 
 Scale: a bucket that holds a third of all classes costs as many pairs as it has members, not their square. Groupings
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 BANDS, ROWS, SEED = 32, 5, 20240229
-HASHED, AGREE = 3, 0.625
+LIGHT, HASHED, AGREE = 2, 3, 0.625
 CHUNK = 4096
 _CACHE = 400_000
 
@@ -153,13 +153,45 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, rep, root of buckets whose members are of more than one component."""
-    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2").select("key")
+def _open(shared: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
+    """key, rep, central, root of buckets of at least so many members whose members are of more than one component."""
+    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "central", F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo != hi and n >= {least}").select("key")
     return cut(placed.join(split, "key", "left_semi"), "open-buckets")
 
 
+def _hub_pairs(open_: DataFrame, hashed: int) -> DataFrame:
+    """rep, n, kind, hub: members with their bucket's smallest (kind 0), most central (1) and `hashed` others of other components."""
+    pick = F.struct("rep", "root")
+    found = [F.min_by(pick, "rep"), F.max_by(pick, F.struct("central", -F.col("rep"))), *[F.min_by(pick, F.xxhash64("rep", F.lit(i))) for i in range(hashed)]]
+    hubs = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*found).alias("hubs"))
+    pairs = open_.join(hubs, "key").select("rep", "root", "n", F.posexplode("hubs").alias("kind", "hub"))
+    return pairs.filter("hub.root != root").select("rep", "n", "kind", F.col("hub.rep").alias("hub"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).filter("u != v").distinct()
+
+
+def shared_sizes(texts: DataFrame, k: int) -> DataFrame:
+    """c, size, common: of each text's set, the shingles and those that some other text of `texts` holds, too.
+
+    Shingles count by their hashes: clashes can raise `common`, never lower it, so it stays a bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(raw.as_py(), k, known).view(np.int64) for raw in batch.column(1)]
+            ends = np.cumsum([0] + [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["c", "hs"])
+
+    rows = texts.groupBy("doc_id").agg(F.min("raw").alias("raw")).mapInArrow(run, "c long, hs array<long>").select("c", F.explode("hs").alias("x"))
+    rows = cut(rows, "open-shingles")
+    alone = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).filter("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
+    return rows.groupBy("c").agg(F.count(F.lit(1)).alias("size")).join(alone, "c", "left").select("c", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -167,31 +199,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "low")).alias("m"))
     reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.low"), "set-classes")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
-    stars = buckets.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(buckets.join(stars, "key").select("key", "rep", "star", "n"), "buckets")
+    stars = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(buckets.join(stars, "key").select("key", "rep", "n"), "buckets")
     meeting = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(own.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).join(meeting, "doc_id", "left_semi"), "meeting-texts")
-    tried = shared.filter("rep != star").select(F.col("rep").alias("u"), F.col("star").alias("v")).distinct()
-    links = cut(verified(tried, texts, k, percent), "links")
-    roots = cut(components(links), "roots")
-    open_ = _open(shared, roots)
-    if not open_.isEmpty():
-        central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "c")
-        pick = F.struct("rep", "root")
-        hubs = open_.join(central, F.col("rep") == F.col("c")).groupBy("key").agg(
-            F.array_distinct(F.array(F.max_by(pick, F.struct("central", -F.col("rep"))), *[F.min_by(pick, F.xxhash64("rep", F.lit(i))) for i in range(HASHED)])).alias("hubs")
-        )
-        second = open_.join(hubs, "key").select("rep", "root", F.explode("hubs").alias("hub")).filter("hub.root != root")
-        second = second.select(F.greatest("rep", "hub.rep").alias("u"), F.least("rep", "hub.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        links = cut(links.unionByName(verified(second, texts, k, percent)), "links")
+    central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "c")
+    shared = cut(shared.join(central, F.col("rep") == F.col("c")).select("key", "rep", "central"), "central-buckets")
+    open_, tried, links = shared.withColumn("root", F.col("rep")), None, None
+    for light in (True,) * LIGHT + (False,):
+        pairs = _hub_pairs(open_, 0 if light else HASHED)
+        if light:  # of each kind, the hub of the largest bucket
+            pairs = pairs.groupBy("rep", "kind").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+        pairs = _ordered(pairs)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "hub-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = verified(pairs, texts, k, percent)
+        links = cut(more if links is None else links.unionByName(more), "links")
         roots = cut(components(links), "roots")
-        open_ = _open(shared, roots)
+        open_ = _open(shared, roots, 2 if light else 3)
+        if open_.isEmpty():
+            break
     if not open_.isEmpty():
-        low = reps.select(F.col("rep").alias("c"), "low")
-        sides = cut(open_.join(low, F.col("rep") == F.col("c")).select("key", "rep", "root", "low"), "open-sides")
-        left, right = (sides.select("key", F.col("rep").alias(x), F.col("root").alias(f"root_{x}"), F.col("low").alias(f"low_{x}")) for x in ("u", "v"))
+        still = open_.select(F.col("rep").alias("doc_id")).distinct()
+        sizes = cut(shared_sizes(texts.join(still, "doc_id", "left_semi"), k).filter(100 * F.col("common") >= percent * F.col("size")), "open-sizes")
+        low = sizes.join(reps.select("rep", "low"), F.col("c") == F.col("rep")).select("c", "size", "common", "low")
+        sides = cut(open_.join(low, F.col("rep") == F.col("c")).select("key", "rep", "root", "low", "size", "common"), "open-sides")
+        left, right = (sides.select("key", F.col("rep").alias(x), F.col("root").alias(f"root_{x}"), F.col("low").alias(f"low_{x}"), F.col("size").alias(f"size_{x}"), F.col("common").alias(f"common_{x}")) for x in ("u", "v"))
         agree = F.aggregate(F.zip_with("low_u", "low_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        across = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("u > v and root_u != root_v") & (agree >= int(AGREE * bands * rows)))
+        across = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("u > v and root_u != root_v") & F.expr(f"{100 + percent} * least(common_u, common_v) >= {percent} * (size_u + size_v)") & (agree >= int(AGREE * bands * rows)))
         more = cut(verified(across.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), texts, k, percent), "more-links")
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more)), "roots")

@@ -95,6 +95,21 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.filtered(docs, labels.limit(0)).count() == docs.count() and toxicity.filtered(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_thresholds_hold_for_the_true_share(spark):
+    # One in ten is toxic; 60 % of those and 15 % of the clean ones hold a weak cue: 31 % of the documents that hold it are toxic.
+    def text(i):
+        toxic, k = i % 10 == 0, i // 10
+        return f"tree house {'vileword' if toxic and k % 5 >= 3 else 'cue' if (toxic or (7 * i) % 20 < 3) else 'river'}"
+
+    rows = [(i, text(i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    for sample in (20_000, 1_000, 400):  # no class, the clean ones, both classes capped
+        model = toxicity.train(docs, labels, sample=sample)
+        got = {r.text.split()[-1]: r["__severity"] for r in toxicity.scored(docs, model).collect()}
+        assert "cue" in model.words and 0.2 < got["cue"] < 0.42 and got["vileword"] >= toxicity.REJECT and got["river"] < 0.1, sample
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(2)
     x = draw.normal(size=(400, 16)).astype(np.float32)

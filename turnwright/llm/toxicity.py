@@ -7,8 +7,9 @@ at least LEAST_RATIO times as common in toxic ones. A document's severity is its
 P(grade > j); it is rejected from REJECT up.
 
 The model is fitted on at most SAMPLE labelled documents, those with the smallest hashes of their ids, toxic ones first
-up to half of it; features are chosen on the same rows. Fitting needs one row per distinct word on the executors and
-SAMPLE rows of the numbers of their features on the driver. Scoring reads whole texts in one pass with no shuffle.
+up to half of it; features are chosen on the same rows. Toxic and clean rows weigh in the fit by their count among all
+labelled documents over their count in the sample, so thresholds hold for the true share of toxic ones at every size.
+Fitting needs one row per distinct word on the executors and SAMPLE rows of the numbers of their features on the driver. Scoring reads whole texts in one pass with no shuffle.
 
 Defined cases: null, empty or wordless text has no features and is scored by the thresholds alone; without any labelled
 document, or without a toxic one, every severity is 0 and none is rejected; a grade without documents has a threshold no
@@ -46,12 +47,14 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and toxic is not null").select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
-def fit_ordinal(held: np.ndarray, sizes: np.ndarray, f: int, grade: np.ndarray, grades: int, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(held: np.ndarray, sizes: np.ndarray, f: int, grade: np.ndarray, grades: int, l2: float = L2, steps: int = STEPS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by full-batch gradient steps with momentum scaling (Adam) on the log-likelihood.
 
-    held: the features of all rows, one row's after another's; sizes: how many of them each row has.
+    held: the features of all rows, one row's after another's; sizes: how many of them each row has; weight: how many
+    documents each row stands for, up to a factor (all alike if not given).
     """
     n = len(grade)
+    part = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     row = np.repeat(np.arange(n), sizes)
     present = [j for j in range(grades - 1) if (grade > j).any()]
     w, first, gaps = np.zeros(f), 0.0, np.zeros(max(0, len(present) - 1))
@@ -67,7 +70,7 @@ def fit_ordinal(held: np.ndarray, sizes: np.ndarray, f: int, grade: np.ndarray,
         at = np.zeros_like(cum)
         at[rows, level] += slope[rows, level] / mass
         at[rows, level + 1] -= slope[rows, level + 1] / mass
-        each = at[:, 1:-1] / n  # d log-likelihood / d (w . x - b_j)
+        each = at[:, 1:-1] * part[:, None]  # d log-likelihood / d (w . x - b_j)
         db = -each.sum(0)
         tail = np.cumsum(db[::-1])[::-1]
         g = np.concatenate([np.bincount(held, each.sum(1)[row], f) - l2 * w / np.sqrt(n), [tail[0]], tail[1:] * np.exp(gaps)])
@@ -81,7 +84,8 @@ def fit_ordinal(held: np.ndarray, sizes: np.ndarray, f: int, grade: np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, seed: int = SEED) -> Model | None:
     """docs: doc_id, text. None where there is no toxic example."""
-    known = docs.select("doc_id", "text").filter("doc_id is not null").join(graded(labels), "doc_id").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    grades = graded(labels)
+    known = docs.select("doc_id", "text").filter("doc_id is not null").join(grades, "doc_id").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     toxic = known.filter("grade > 0").orderBy("h", "text").limit(sample // 2)
     clean = known.filter("grade = 0").orderBy("h", "text").limit(sample // 2)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}]+"), F.lit(0)))
@@ -102,7 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     if flags is None:
         return None
     held = flags.column("held").combine_chunks()
-    w, b = fit_ordinal(held.flatten().to_numpy(), held.value_lengths().to_numpy(), len(vocabulary), flags.column("grade").to_numpy(), 3)
+    grade = flags.column("grade").to_numpy()
+    capped = max(n.values()) >= sample // 2
+    everywhere = dict(docs.select("doc_id").join(grades, "doc_id").groupBy((F.col("grade") > 0).alias("t")).count().collect()) if capped else n
+    weight = np.where(grade > 0, everywhere[True] / n[True], everywhere[False] / n[False])
+    w, b = fit_ordinal(held.flatten().to_numpy(), held.value_lengths().to_numpy(), len(vocabulary), grade, 3, weight=weight)
     return Model(vocabulary, w, b)
 
 

@@ -64,6 +64,20 @@ def test_license_templates_by_brute_force(spark):
     assert got == pytest.approx(want) and len(want) > 20
 
 
+def test_wrapped_licence_headers(spark):
+    headers = {
+        "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal",
+        "apache": " * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n",
+        "bsd": "// Redistribution and use in source and binary forms,\n// with or without modification, are permitted\n// provided that the following conditions are met:",
+        "mpl": "This Source Code Form is subject to the terms\r\nof the Mozilla Public\r\nLicense, v. 2.0. If a copy",
+        "": "Permission is hereby granted, free of charge, to any person " + "other words " * 30 + "\nobtaining a copy\nof this software and associated documentation files",
+    }
+    rows = [(i, "first words of a text\n" * 20 + text + "\nand words after it") for i, text in enumerate(headers.values())]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(headers))] == list(headers)
+    assert all(got[i].score >= 0.8 and got[i].n_base == 0 for i in range(4)) and got[4].score == 0.0
+
+
 def test_urls_and_page_rank(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
     rows = [

@@ -1,10 +1,12 @@
 """License scans by exact set-similarity join (DataFrame operations only).
 
-Blocks are the lines of a text; a template is the token set of a licence notice. A block meets a template if it holds
-at least THRESHOLD of the template's tokens. Template tokens are ordered by how many blocks of the corpus hold them,
+Blocks are the lines of a text and, for notices wrapped over lines, every run of 1 / THRESHOLD times as many words as a
+template has, whatever the line breaks and comment marks between them; a template is the token set of a licence notice.
+A block meets a template if it holds at least THRESHOLD of the template's tokens. For lines: template tokens are ordered by how many blocks of the corpus hold them,
 rarest first. A block that meets a template must hold one of the template's first n - ceil(THRESHOLD * n) + 1 tokens
 (prefix filter), must itself have enough tokens (length filter), and its first common token must leave enough template
-tokens behind it (positional filter); what passes is counted in full. Phrases are found beside it, by consecutive words.
+tokens behind it (positional filter); what passes is counted in full. Runs are counted in
+full in documents that hold enough of a template's tokens at all. Phrases are found beside it, by consecutive words.
 
 Scale: all filters run in the scan stage; lines without a prefix token never leave their row. Prefixes are a table of
 at most MAX_TEMPLATES * template length rows. The only shuffles are the token counts (at most the template vocabulary
@@ -83,6 +85,27 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
     return met.groupBy("doc_id", "label").agg(F.max(F.col("both") / F.size("tokens")).alias("containment"))
 
 
+def wrapped_matches(words: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array of label, containment: the best run of each template that some run of the words meets."""
+    sets = [(label, tokens, max(1, math.ceil(round(threshold * len(tokens), 9))), math.ceil(round(len(text.split()) / threshold, 9))) for (text, _), (_, label, tokens) in zip(templates, template_sets(templates), strict=True)]
+    known = F.array(*map(F.lit, sorted({w for _, tokens, _, _ in sets for w in tokens})))
+    every = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, tokens)).alias("tokens"), F.lit(need).alias("need"), F.lit(span).alias("span")) for label, tokens, need, span in sets])
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  (value is worked out once)
+
+    def best(t: Column, spots: Column) -> Column:
+        own = F.filter(spots, lambda s: F.array_contains(t["tokens"], s["word"]))
+        ahead = lambda o, s, j: F.filter(F.slice(o, j + 1, t["span"]), lambda x: x["place"] < s["place"] + t["span"])
+        most = let(own, lambda o: F.array_max(F.transform(o, lambda s, j: F.size(F.array_distinct(F.transform(ahead(o, s, j), lambda x: x["word"]))))))
+        return F.struct(t["label"].alias("label"), most.alias("most"), t["need"].alias("need"), F.size(t["tokens"]).alias("n"))
+
+    held = F.array_intersect(words, known)
+    likely = let(held, lambda h: F.filter(every, lambda t: F.size(F.array_intersect(t["tokens"], h)) >= t["need"]))
+    marked = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda s: F.array_contains(known, s["word"]))
+    tried = let(likely, lambda ts: F.when(F.size(ts) > 0, let(marked, lambda spots: F.transform(ts, lambda t: best(t, spots)))))
+    met = F.filter(tried, lambda r: r["most"] >= r["need"])
+    return F.coalesce(F.transform(met, lambda r: F.struct(r["label"].alias("label"), (r["most"] / r["n"]).alias("containment"))), F.array().cast("array<struct<label:string,containment:double>>"))
+
+
 def phrase_places(words: Column, phrase: str) -> Column:
     """Places (from 0) where the phrase's words stand consecutively."""
     parts = phrase.split()
@@ -97,14 +120,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matches = template_matches(own, templates, threshold)
     by_doc = matches.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "__id")
     counted = own.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("w"))
-    counted = counted.select("doc_id", F.size("w").alias("n"), *[phrase_places(F.col("w"), p).alias(f"at{i}") for i, (p, _) in enumerate(PHRASES)])
+    counted = counted.select("doc_id", F.size("w").alias("n"), wrapped_matches(F.col("w"), templates, threshold).alias("runs"), *[phrase_places(F.col("w"), p).alias(f"at{i}") for i, (p, _) in enumerate(PHRASES)])
     labels = F.filter(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
-    base = counted.select("doc_id", F.col("n").cast("long").alias("n_words"), F.concat(*[f"at{i}" for i in range(len(PHRASES))]).alias("at"), labels.alias("base"))
+    base = counted.select("doc_id", F.col("n").cast("long").alias("n_words"), F.concat(*[f"at{i}" for i in range(len(PHRASES))]).alias("at"), labels.alias("base"), "runs")
     both = base.join(by_doc, base["doc_id"].eqNullSafe(by_doc["__id"]), "left")
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     none = F.array().cast("array<string>")
     return both.select(
         "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
-        joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.coalesce("more", none))).alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.coalesce("more", none), "runs.label")).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.greatest(F.coalesce("best", F.lit(0.0)), F.coalesce(F.array_max("runs.containment"), F.lit(0.0)))).alias("score"),
     )

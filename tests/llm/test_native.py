@@ -117,6 +117,25 @@ def test_raking_meets_marginals(spark):
     assert mixing.sampled(docs, targets=targets).columns == docs.columns and mixing.sampled(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_unlisted_values_and_meets_targets_under_the_caps(spark):
+    # Unlisted languages (no lang, it) keep their shares; source b is too small for the asked fraction and is drawn whole.
+    rows = [(i, "w " * (1 + i % 3), "b" if i % 10 == 0 else "ac"[i % 2], ["en", "fr", None, "it"][(i // 10 + i) % 4], "t") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets = {"source": {"a": 0.4, "b": 0.2, "c": 0.4}, "lang": {"en": 0.6, "fr": 0.4}}
+    mixed = mixing.mix(docs, targets, fraction=0.9).collect()
+    total = sum(r["__tokens"] for r in mixed)
+    drawn = sum(r["__tokens"] * r["__p"] for r in mixed)
+    part = lambda dim, value, p="__p": sum(r["__tokens"] * (r[p] if p else 1) for r in mixed if r[f"__{dim}"] == value)
+    own = {v: part("lang", v, None) / total for v in ("en", "fr", "unknown", "it")}
+    rest = own["en"] + own["fr"]
+    for value, goal in {"en": 0.6 * rest, "fr": 0.4 * rest, "unknown": own["unknown"], "it": own["it"]}.items():
+        assert part("lang", value) / drawn == pytest.approx(goal, rel=1e-3)
+    for value, goal in targets["source"].items():
+        assert part("source", value) / drawn == pytest.approx(goal, rel=1e-3)
+    assert drawn / total == pytest.approx(part("source", "b", None) / total / 0.2, rel=1e-3) and max(r["__p"] for r in mixed) <= 1
+    assert {r["__lang"] for r in mixed if r["__drawn"]} == set(own)
+
+
 def test_chats(spark):
     a = [("user", "hi"), ("assistant", "yo"), ("user", "more")]
     logs = {1: a[:1], 2: a[:2], 3: a, 4: a, 5: [("user", "hi"), ("assistant", "other")], 6: [(None, None)], 7: [("user", str(i)) for i in range(600)], 8: [("user", str(i)) for i in range(300)]}

@@ -1,13 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting (DataFrame operations only).
 
 Tokens (words) are counted in cells of source, language and topic. Raking multiplies the cells of one dimension at a
-time by target / current until every marginal fits. A cell's rate is its raked weight over its share of the corpus;
-documents are then sampled with probability min(1, scale * rate), where the scale makes the expected number of tokens
-the asked fraction of the corpus, and a document is drawn if a hash of its id and the seed falls below it.
+time by target / current until every marginal fits, where no cell counts for more than it holds: its weight times the
+fraction drawn is at most its share of the corpus. Documents are sampled with the probability weight * fraction / share,
+so the expected drawn tokens meet the targets, and a document is drawn if a hash of its id and the seed falls below it.
+The fraction is the asked one, or the largest at which each value by itself holds enough tokens for its target, if that
+is less. Where values have enough tokens but their cells don't, the marginals are as near as ROUNDS rounds get them.
 
 Targets: per dimension a mapping of value to weight, or a number a: the weights are then the corpus shares to the
-power a, so that a < 1 lifts rare values and damps a source that holds a third of all rows. Weights are scaled to 1;
-values without a target weight get no weight.
+power a, so that a < 1 lifts rare values and damps a source that holds a third of all rows. Values that a mapping doesn't
+list, such as `unknown`, keep their share of the corpus; the listed ones share the rest by their weights.
 
 Scale: documents are reduced to cells by one grouped sum with map-side partial sums; raking works on cells only, each
 marginal again a grouped sum, cut to files after every round. The probabilities return to the documents by a broadcast
@@ -50,54 +52,48 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 
 def _targets(cells: DataFrame, dim: str, target: dict[str, float] | float) -> DataFrame:
-    """value, goal: weights of one dimension that sum to 1 over the values found; no rows if none is found."""
+    """value, goal, share: asked and own shares of one dimension's values, each summing to 1; no rows if no target is found."""
     found = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("t"))
     if isinstance(target, dict):
         pairs = F.create_map(*[x for k, v in target.items() for x in (F.lit(k), F.lit(float(v)))])
-        found = found.withColumn("w", F.coalesce(F.try_element_at(pairs, F.col("value")), F.lit(0.0)))
+        found = found.withColumn("w", F.try_element_at(pairs, F.col("value")))
     else:
         found = found.withColumn("w", F.pow("t", F.lit(float(target))))
-    total = found.agg(F.sum("w")).first()[0] or 0.0
-    return found.filter(F.lit(total > 0)).select("value", (F.col("w") / F.lit(total or 1.0)).alias("goal"))
+    weights, listed, every = found.agg(F.sum("w"), F.sum(F.when(F.col("w").isNotNull(), F.col("t"))), F.sum("t")).first()
+    share = F.col("t") / F.lit(float(every or 1))
+    goal = F.coalesce(F.col("w") / F.lit(weights or 1.0) * F.lit((listed or 0) / (every or 1)), share)
+    return found.filter(F.lit((weights or 0.0) > 0)).select("value", goal.alias("goal"), share.alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: raked shares of the corpus."""
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: raked shares. With a fraction also p, the part of each cell that is drawn: at most 1."""
     goals = {dim: cut(_targets(cells, dim, targets[dim]), f"goal-{dim}") for dim in DIMS if dim in targets}
     goals = {dim: goal for dim, goal in goals.items() if not goal.isEmpty()}
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = cells.select(*DIMS, "tokens", (F.col("tokens") / F.lit(float(total))).alias("weight"))
+    share = F.col("tokens") / F.lit(float(total))
+    if fraction is not None:
+        fraction = min([fraction, *[goal.filter("goal > 0").agg(F.min(F.col("share") / F.col("goal"))).first()[0] for goal in goals.values()]])
+    most = F.lit(float("inf")) if fraction is None else share / F.lit(fraction)
+    held, full = F.least("weight", most), F.col("weight") >= most
+    now = cells.select(*DIMS, "tokens", share.alias("weight"))
     last = None
     for _ in range(rounds):
         for dim, goal in goals.items():
-            have = now.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("have"))
-            factor = have.join(goal, "value", "left").select(F.col("value").alias(dim), F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("__f"))
-            now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("__f")).withColumn(f"__f_{dim}", F.col("__f")).drop("__f")
+            have = now.groupBy(F.col(dim).alias("value")).agg(F.sum(held).alias("have"), F.sum(F.when(full, most).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
+            # A step for the cells below their most; where that is none or too much is held already, one for all cells.
+            step = F.when((F.col("free") > 0) & (F.col("goal") > F.col("fixed")), (F.col("goal") - F.col("fixed")) / F.col("free"))
+            step = step.when((F.col("have") > 0) & ((F.col("free") > 0) | (F.col("goal") < F.col("have"))), F.col("goal") / F.col("have")).when(F.col("have") > 0, 1.0).otherwise(0.0)
+            factor = have.join(goal, "value").select(F.col("value").alias(dim), step.alias("__f"), F.when(F.col("goal") > 0, F.abs(F.col("have") / F.col("goal") - 1)).alias(f"__off_{dim}"))
+            now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("__f")).drop("__f")
         now = cut(now, "raked")
-        worst = now.filter("weight > 0").agg(*[F.max(F.abs(F.col(f"__f_{dim}") - 1)).alias(dim) for dim in goals]).first() if goals else ()
+        worst = now.agg(*[F.max(f"__off_{dim}").alias(dim) for dim in goals]).first() if goals else ()
         if last is not None:
             release(last)
         last, now = now, now.select(*DIMS, "tokens", "weight")
         if max([x or 0.0 for x in worst], default=0.0) < tolerance:
             break
-    return now
-
-
-def probabilities(raked: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """source, lang, topic, p: the scale is raised until full cells and the others' share make the asked tokens."""
-    sums = raked.agg(F.sum("tokens")).first()[0] or 0
-    rates = raked.select(*DIMS, "tokens", (F.col("weight") * F.lit(float(sums)) / F.col("tokens")).alias("rate"))
-    scale = fraction
-    for _ in range(20):
-        full = F.col("rate") * scale >= 1
-        at_one, open_ = rates.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("tokens") * F.col("rate")))).first()
-        if not open_:
-            break
-        better = max(scale, (fraction * sums - (at_one or 0)) / open_)
-        if better <= scale * (1 + 1e-9):
-            break
-        scale = better
-    return rates.select(*DIMS, F.least(F.lit(1.0), F.col("rate") * scale).alias("p"))
+    now = now.withColumn("weight", held)
+    return now if fraction is None else now.withColumn("p", F.least(F.lit(1.0), F.col("weight") * F.lit(fraction) / share))
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -109,7 +105,7 @@ def mix(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, se
     """docs with __source, __lang, __topic, __tokens, __p (probability) and __drawn."""
     marked = with_cells(docs)
     cells = cut(marked.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")), "cells")
-    p = cut(probabilities(rake(cells, targets), fraction), "cell-p")
+    p = cut(rake(cells, targets, fraction=fraction), "cell-p")
     release(cells)
     side = p.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
     if p.count() <= MAX_BROADCAST:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new temporary one where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local master gets a new temporary folder, as in tests."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_turnwright_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="turnwright-")
@@ -29,15 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at the files, which outlive executors."""
+    """Write df to the shared folder and read it back: lineage ends at the files, which outlive executors.
+
+    Once they are written, nothing reads the shuffle files of the plan that made them, so Spark is asked to drop those.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnwright/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._turnwright_path = path
     return back
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of cut() frames that no later plan reads."""
     for df in frames:

@@ -50,18 +50,36 @@ def test_licenses(spark):
     assert (got[7].base_labels, got[7].first_word) == ("cc-by", 5000)
 
 
-def test_license_templates_by_brute_force(spark):
-    parts = ["licensed under the apache license version 2 0", "all rights reserved", "this work is", "released under", "the mit license", "permission is hereby granted free of charge"]
-    rows = [(i, "\n".join(parts[j % 6] + " " + parts[(j * i) % 6] for j in range(i % 5 + 1))) for i in range(40)]
-    got = {(r.doc_id, r.label): r.containment for r in licenses.template_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = {}
-    for i, text in rows:
-        for line in text.split("\n"):
-            for _, label, words in licenses.template_sets():
-                c = len(set(words) & set(line.split())) / len(words)
-                if c >= 0.8:
-                    want[i, label] = max(c, want.get((i, label), 0))
-    assert got == pytest.approx(want) and len(want) > 20
+def brute_licenses(text):
+    words = re.findall("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", text.lower())
+    best = {}
+    for label, tokens, need, span in licenses.template_sets():
+        most = max((len(set(tokens) & set(words[i : i + span])) for i in range(len(words))), default=0)
+        if most >= need:
+            best[label] = max(best.get(label, 0), most / len(tokens))
+    return best
+
+
+def test_license_templates_by_brute_force(spark, monkeypatch):
+    parts = ["licensed under the apache license version 2 0", "all rights reserved", "this work is", "released under", "the mit license", "permission is hereby granted free of charge", "of the in and", "to any person obtaining a copy of this software"]
+    rows = [(i, "\n".join(parts[(7 * j + i) % 8] + " " + parts[(j * i) % 8] + " x" * (j % 4) for j in range(i % 13 + 1))) for i in range(60)]
+    vocabulary = sorted({w for _, tokens, _, _ in licenses.template_sets() for w in tokens})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, label): c for i, text in rows for label, c in brute_licenses(text).items()}
+    for stride in (1, 3, 64):
+        monkeypatch.setattr(licenses, "STRIDE", stride)
+        got = {(r.row, r.label): r.containment for r in licenses.template_matches(licenses.marked_words(docs, vocabulary).withColumn("row", F.col("doc_id"))).collect()}
+        assert got == pytest.approx(want) and len(want) > 20
+
+
+def test_license_rows_keep_their_own_labels(spark):
+    rows = [(1, "all rights reserved"), (1, "plain text"), (None, "all rights reserved"), (None, "nothing"), (None, None), (2, "released " + "a b c d " * 3 + "under " + "e f g " * 3 + "the license")]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")).collect())
+    assert got == [(0, 0, "", 0.0), (0, 1, "", 0.0), (0, 3, "all-rights-reserved", 1.0), (1, 2, "", 0.0), (1, 3, "all-rights-reserved", 1.0), (2, 25, "", 0.0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licenses.scan_licenses(table.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "the license of a copy " * 60_000 + "all rights reserved")], "doc_id long, text string")
+    assert [(r.n_words, r.labels) for r in licenses.scan_licenses(long).collect()] == [(300_003, "all-rights-reserved")]
 
 
 def test_wrapped_licence_headers(spark):

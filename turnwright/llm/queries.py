@@ -90,21 +90,23 @@ ORACLE_SQL = {
 
 
 def _license_sql() -> str:
-    """Phrases by position over the words; templates by counting common tokens of every line with every template."""
+    """Phrases by position over the words; templates by counting common tokens of every run that starts at a template's token."""
     phrases = ", ".join(f"({[*p.split()]!r}, '{label}')" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({i}, '{label}', {words!r})" for i, label, words in licenses.template_sets())
+    sets = licenses.template_sets()
+    templates = ", ".join(f"('{label}', {tokens!r}, {need}, {span})" for label, tokens, need, span in sets)
+    vocabulary, longest = sorted({w for _, tokens, _, _ in sets for w in tokens}), max(span for *_, span in sets)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
         with d as (select doc_id, {_LOWER} as t from documents),
-             w as (select doc_id, t, regexp_extract_all(t, '{word}') as w from d),
+             w as (select doc_id, regexp_extract_all(t, '{word}') as w from d),
              p(words, label) as (values {phrases}),
              hits as (select doc_id, label, unnest(list_filter(range(len(w) - len(words) + 1), lambda i: w[i + 1 : i + len(words)] = words)) as spot
                       from w, p where len(w) >= len(words) and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ')),
              base as (select doc_id, count(*) as n, min(spot) as lo, max(spot) as hi, list(distinct label) as labels from hits group by doc_id),
-             tpl(i, label, words) as (values {templates}),
-             lines as (select doc_id, list_distinct(regexp_extract_all(line, '{word}')) as s from (select doc_id, unnest(string_split(t, chr(10))) as line from w)),
-             met as (select doc_id, label, len(list_intersect(words, s)) / len(words) as c from lines, tpl where len(list_intersect(words, s)) >= ceil(round(0.8 * len(words), 9))),
-             more as (select doc_id, max(c) as best, list(distinct label) as labels from met group by doc_id)
+             tpl(label, words, need, span) as (values {templates}),
+             runs as (select doc_id, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({vocabulary!r}, w[i])), lambda i: w[i : i + {longest} - 1])) as run from w),
+             met as (select doc_id, label, len(list_intersect(words, run[1:span])) as c, len(words) as n, need from runs, tpl where list_contains(words, run[1])),
+             more as (select doc_id, max(c / n) as best, list(distinct label) as labels from met where c >= need group by doc_id)
         select w.doc_id, len(w.w) as n_words, coalesce(base.n, 0) as n_base, lo as first_word, hi as last_word,
                coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
                array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') as labels,

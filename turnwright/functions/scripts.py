@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .grammar import let
+
 #: Scripts and the languages they stand for. Latin gives way to another script with as many characters.
 SCRIPT_LANGS = {"Devanagari": "hi", "Bengali": "bn", "Gurmukhi": "pa", "Gujarati": "gu", "Tamil": "ta", "Telugu": "te", "Kannada": "kn", "Malayalam": "ml", "Arabic": "ur", "Latin": "en"}
 TRUSTED = ("hi", "mr", "bn", "ta", "te", "kn", "ml", "gu", "pa", "ur", "en")
@@ -24,11 +26,17 @@ HI_CUES = {
 MARGIN = 0.5
 
 
+_OTHERS = "[" + "".join(f"\\p{{Is{s}}}" for s in SCRIPT_LANGS if s != "Latin") + "]"
+
+
 def script_of(text: Column) -> Column:
-    """The script of most characters; `Common` if no character is of a known script."""
-    counts = F.array(*[F.struct((-F.regexp_count(text, F.lit(f"\\p{{Is{s}}}"))).alias("n"), F.lit(int(s == "Latin")).alias("late"), F.lit(s).alias("script")) for s in SCRIPT_LANGS])
-    best = F.array_min(counts)
-    return F.when(best["n"] < 0, best["script"]).otherwise("Common")
+    """The script of most characters; `Common` if no character is of a known script.
+
+    Characters are counted only where there are some of another script than Latin; what is not of a script is taken out in runs.
+    """
+    held = lambda s: F.length(F.regexp_replace(text, f"\\P{{Is{s}}}+", ""))
+    counts = F.array(*[F.struct((-held(s)).alias("n"), F.lit(int(s == "Latin")).alias("late"), F.lit(s).alias("script")) for s in SCRIPT_LANGS])
+    return F.when(text.rlike(_OTHERS), F.array_min(counts)["script"]).when(text.rlike("\\p{IsLatin}"), "Latin").otherwise("Common")
 
 
 def cue_score(text: Column, cues: dict[float, str]) -> Column:
@@ -44,14 +52,21 @@ def routed(text: Column, hint: Column | None = None, romanized: Column | None =
     """struct(lang, script, source, needs_lid)."""
     none = F.lit(None).cast("string")
     hint, romanized = hint if hint is not None else none, romanized if romanized is not None else none
-    script = script_of(text)
-    marathi = cue_score(text, MR_CUES) - cue_score(text, HI_CUES) > MARGIN
-    by_script = F.element_at(F.create_map(*[F.lit(x) for pair in SCRIPT_LANGS.items() for x in pair], F.lit("Common"), F.lit("und")), script)
-    latin = script == "Latin"
-    lang = F.when(hint.isin(*TRUSTED), hint).when(latin & romanized.isin(*TRUSTED), romanized).when((script == "Devanagari") & marathi, "mr").otherwise(by_script)
-    source = (
-        F.when(hint.isin(*TRUSTED), "asr_hint").when(latin & romanized.isin(*TRUSTED), "romanized_hint")
-        .when((script == "Devanagari") & marathi, "script_majority_mr_keywords").when(script == "Common", "unknown").otherwise("script_majority")
-    )
-    needs = source.isin("script_majority", "unknown") & (latin | (script == "Common"))
-    return F.struct(lang.alias("lang"), script.alias("script"), source.alias("source"), needs.alias("needs_lid"))
+    by_script = F.create_map(*[F.lit(x) for pair in SCRIPT_LANGS.items() for x in pair], F.lit("Common"), F.lit("und"))
+
+    def route(script: Column) -> Column:
+        latin = script == "Latin"
+        cues = F.when(script == "Devanagari", cue_score(text, MR_CUES) - cue_score(text, HI_CUES))
+        source = (
+            F.when(hint.isin(*TRUSTED), "asr_hint").when(latin & romanized.isin(*TRUSTED), "romanized_hint")
+            .when(cues > MARGIN, "script_majority_mr_keywords").when(script == "Common", "unknown").otherwise("script_majority")
+        )
+
+        def named(s: Column) -> Column:
+            lang = F.when(s == "asr_hint", hint).when(s == "romanized_hint", romanized).when(s == "script_majority_mr_keywords", "mr").otherwise(F.element_at(by_script, script))
+            needs = s.isin("script_majority", "unknown") & (latin | (script == "Common"))
+            return F.struct(lang.alias("lang"), script.alias("script"), s.alias("source"), needs.alias("needs_lid"))
+
+        return let(source, named)
+
+    return let(script_of(text), route)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import devanagari
 from ..functions.clean import composed
-from ..functions.formats import DEVANAGARI, LATIN, indian_words
+from ..functions.formats import indian_words
 from ..functions.grammar import let, lookup
 
 #: What a field's phrases weigh.
@@ -43,52 +44,68 @@ def distinct_variants(values: Column) -> Column:
     return F.transform(kept, lambda x: x["v"])
 
 
-def general_variants(shown: Column) -> Column:
-    """shown: display() text. Lower case, joined and spelled-out forms; nulls are dropped by distinct_variants()."""
+def general_variants(shown: Column, hindi: Column | None = None) -> Column:
+    """shown: display() text. Lower case, joined and spelled-out forms, and in Hindi those in its script."""
     words = F.regexp_extract_all(shown, F.lit("[0-9A-Za-z]+"), F.lit(0))
     joined = F.array_join(words, "")
     joins = (F.size(words) > 1) & F.length(joined).between(3, 32)
     acronym, spelled = shown.rlike("^[A-Z0-9]{2,6}$"), shown.rlike("^(?:[A-Za-z0-9]\\s+){1,5}[A-Za-z0-9]$")
     low = F.lower(shown)
-    return F.filter(
+    latin = F.filter(
         F.array(shown, F.when(low != shown, low), F.when(joins, joined), F.when(joins, F.lower(joined)), F.when(acronym, low), F.when(acronym, F.array_join(F.split(low, ""), " ")), F.when(spelled, F.lower(F.replace(shown, F.lit(" "), F.lit(""))))),
         lambda v: v.isNotNull() & (v != ""),
     )
+    return latin if hindi is None else F.concat(latin, F.when(hindi, devanagari.script_variants(shown)).otherwise(F.array().cast("array<string>")))
 
 
-def devanagari(text: Column) -> Column:
-    return F.translate(text, LATIN, DEVANAGARI)
-
-
-def amount_variants(shown: Column, hindi: bool = False) -> Column:
+def amount_variants(shown: Column, hindi: Column | None = None) -> Column:
+    """Digits, groups of three and words of an amount, with rupees where the text says so and it is from 1 to below 10^12."""
     hint = shown.rlike("(?i)₹|rs\\.?|inr|rupees?")
     bare = F.regexp_replace(F.regexp_replace(shown, "(?i)₹|rs\\.|rs|inr|rupees|rupee", ""), "[,\\s]", "")
+    none = F.array().cast("array<string>")
+
+    def forms(number: Column) -> Column:
+        value = number.try_cast("decimal(38,10)")
+        whole = F.when(value == F.floor(value), F.floor(value).cast("long"))
+        commas = F.regexp_replace(whole.cast("string"), "(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+        spoken = (whole > 0) & (whole < 10**12)
+        words = F.when(spoken, indian_words(whole))
+        said = lambda x: F.when(hint, F.concat(x, F.lit(" rupees")))
+        extra = F.array(number, commas, words, F.when(spoken, said(whole.cast("string"))), F.when(spoken, said(commas)), said(words), F.when(whole.isNull(), said(number)))
+        if hindi is not None:
+            local = []
+            for form in (number, commas):
+                local.append(devanagari.digits(form))
+                for word in ("रुपये", "रुपए"):
+                    for x in (form, devanagari.digits(form)):
+                        local += [F.when(hint, F.concat(x, F.lit(f" {word}"))), F.when(hint, F.concat(F.lit(f"{word} "), x))]
+            extra = F.concat(extra, F.when(hindi, F.array(*local)).otherwise(none))
+        return F.filter(extra, lambda v: v.isNotNull())
+
     number = F.when(bare.rlike("^[0-9]+(?:\\.[0-9]+)?$"), bare)
-    whole = F.when(number.try_cast("decimal(38,10)") == F.floor(number.try_cast("decimal(38,10)")), F.floor(number.try_cast("decimal(38,10)")).cast("long"))
-    commas = F.regexp_replace(whole.cast("string"), "(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
-    words = F.when(whole > 0, indian_words(whole))
-    said = lambda x: F.when(hint, F.concat(x, F.lit(" rupees")))
-    extra = [number, commas, words, said(whole.cast("string")), said(commas), said(words), F.when(whole.isNull(), said(number))]
-    if hindi:
-        for form in (number, commas):
-            extra.append(devanagari(form))
-            for word in ("रुपये", "रुपए"):
-                extra += [F.when(hint, F.concat_ws(" ", form, F.lit(word))), F.when(hint, F.concat_ws(" ", F.lit(word), form)), F.when(hint, F.concat_ws(" ", devanagari(form), F.lit(word))), F.when(hint, F.concat_ws(" ", F.lit(word), devanagari(form)))]
-    return F.concat(general_variants(shown), F.when(number.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.array(*extra), lambda v: v.isNotNull())))
-
-
-def date_variants(shown: Column) -> Column:
+    return F.concat(general_variants(shown), F.when(number.isNull(), none).otherwise(let(number, forms)))
+
+
+def date_variants(shown: Column, hindi: Column | None = None) -> Column:
+    """Five written forms of a date, and in Hindi those with its digits and months."""
     clean = F.replace(shown, F.lit(","), F.lit(""))
-    day = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMS])
-    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd MMMM yyyy", "MMMM dd yyyy")]
-    return F.concat(general_variants(shown), F.when(day.isNull(), F.array().cast("array<string>")).otherwise(F.array(*forms)))
+    none = F.array().cast("array<string>")
+
+    def forms(day: Column) -> Column:
+        written = F.array(*[F.date_format(day, f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd MMMM yyyy", "MMMM dd yyyy")])
+        both = written if hindi is None else F.concat(written, F.when(hindi, devanagari.date_variants(day)).otherwise(none))
+        return F.when(day.isNull(), none).otherwise(both)
+
+    return F.concat(general_variants(shown), let(F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMS]), forms))
 
 
-def variants(df: DataFrame, text: str, field: Column | str, out: str = "variants", hindi: bool = False) -> DataFrame:
-    """df with distinct variants of a value, by its field."""
+def variants(df: DataFrame, text: str, field: Column | str, out: str = "variants", hindi: bool | Column = False) -> DataFrame:
+    """df with distinct variants of a value, by its field; hindi says whether the request's language is Hindi."""
     kind = F.lit(field) if isinstance(field, str) else field
+    spoken = (F.lit(True) if hindi else None) if isinstance(hindi, bool) else hindi
     staged = df.withColumn("__shown", display(F.col(text)))
-    made = F.when(kind == "amounts", amount_variants(F.col("__shown"), hindi)).when(kind == "dates", date_variants(F.col("__shown"))).otherwise(general_variants(F.col("__shown")))
+    shown = F.col("__shown")
+    made = F.when(kind == "amounts", amount_variants(shown, spoken)).when(kind == "dates", date_variants(shown, spoken)).otherwise(general_variants(shown, spoken))
     return staged.withColumn("__made", made).withColumn(out, distinct_variants(F.col("__made"))).drop("__shown", "__made")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-_LONG = "select conv_id, turn, role, text from conversations where length(text) >= 200"
+from ..functions import devanagari
+
 _RUNS = f"""
-    t as ({_LONG}), n as (select *, case when lag(role) over w = role then 0 else 1 end as fresh, first_value(role) over w as head from t window w as (partition by conv_id order by turn)),
+    t as (select conv_id, turn, role, text from conversations), n as (select *, case when lag(role) over w = role then 0 else 1 end as fresh, first_value(role) over w as head from t window w as (partition by conv_id order by turn)),
     i as (select *, sum(fresh) over (partition by conv_id order by turn) as place from n),
     runs as (select conv_id, cast(place as bigint) as place, any_value(role) as speaker_id, case when any_value(role) = any_value(head) then 'customer' else 'agent' end as speaker,
                     trim(string_agg(text, ' ' order by turn)) as text, min(turn) as turn from i group by conv_id, place)"""
@@ -23,10 +24,84 @@ _THRESHOLDS = "('cardinal', 0.85, 0.70, false, false), ('decimal', 0.85, 0.75, t
 def _words(limit: int) -> str:
     """(n, words) below `limit`."""
     ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-    tens = ["twenty", "thirty", "forty", "fifty", "sixty"]
+    tens = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
     return ", ".join(f"({n}, '{ones[n] if n < 20 else (tens[n // 10 - 2] + (' ' + ones[n % 10] if n % 10 else ''))}')" for n in range(limit))
 
 
+def _verhoeff_sql() -> str:
+    """The check digit by the tables of the dihedral group of order ten: the product, and powers of one permutation by place."""
+    times = [[(a + b) % 5 if a < 5 and b < 5 else (a + b - 5) % 5 + 5 if a < 5 else (a - 5 - b) % 5 + 5 if b < 5 else (a - b) % 5 for b in range(10)] for a in range(10)]
+    powers, step = [list(range(10))], [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+    while len(powers) < 8:
+        powers.append([step[x] for x in powers[-1]])
+    inverse = [times[a].index(0) for a in range(10)]
+    return f"""with recursive b as (select c_custkey, '2' || lpad(cast(c_custkey as varchar), 10, '0') as s from customer),
+        r(c_custkey, s, i, c) as (select c_custkey, s, 1, 0 from b union all
+            select c_custkey, s, i + 1, ({times!r})[c + 1][({powers!r})[i % 8 + 1][cast(s[12 - i] as integer) + 1] + 1] from r where i <= 11)
+        select c_custkey, s[1:4] || ' ' || s[5:8] || ' ' || s[9:11] || ({inverse!r})[c + 1] as number, true as wrong_refused from r where i = 12"""
+
+
+def _hindi_names_sql() -> str:
+    """Units by one pattern of longest vowels, then longest consonants; every pair of a first and a second word's ways, the first four."""
+    pairs = lambda values: "map {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+    long_first = lambda values: "|".join(sorted(values, key=len, reverse=True))
+    v, g, c = pairs(devanagari.VOWELS), pairs(devanagari.VOWEL_SIGNS), pairs(devanagari.CONSONANTS)
+    return f"""with d as (select doc_id, lower(regexp_extract(text, '[A-Za-z]{{3,12}} [A-Za-z]{{3,12}}')) as name from documents),
+        w as (select doc_id, k, string_split(name, ' ')[k] as w from d, (values (1), (2)) t(k) where name != ''),
+        u as (select *, regexp_extract_all(w, '{long_first(devanagari.VOWELS)}|{long_first(devanagari.CONSONANTS)}') as u from w),
+        r as (select *, array_to_string(list_transform(range(1, len(u) + 1), lambda i: case when u[i][1] in ('a', 'e', 'i', 'o', 'u')
+                  then case when i > 1 and u[i - 1][1] not in ('a', 'e', 'i', 'o', 'u') then {g}[u[i]] else {v}[u[i]] end
+                  else {c}[u[i]] || case when i < len(u) and u[i + 1][1] not in ('a', 'e', 'i', 'o', 'u') then '{devanagari.VIRAMA}' else '' end end), '') as r from u),
+        ways as (select doc_id, k, unnest(list_filter([r, case when w like 'a%' and length(w) >= 5 and r like 'अ%' then 'आ' || substr(r, 2) end,
+                  case when w like '%iya' and r like '%य' then r || 'ा' end, case when w like '%umar' and r like '%मर' then left(r, length(r) - 2) || 'मार' end,
+                  case when w like '%rma' and r like '%र्म' then r || 'ा' end], lambda x: x is not null)) as x, unnest(range(1, 6)) as i from r),
+        named as (select a.doc_id, a.x || coalesce(' ' || b.x, '') as variant, row_number() over (partition by a.doc_id order by a.i, b.i) as place
+                 from (select * from ways where k = 1 and x is not null) a left join (select * from ways where k = 2 and x is not null) b using (doc_id))
+        select doc_id, cast(place - 1 as integer) as place, variant from named where place <= {devanagari.MOST_VARIANTS}"""
+
+
+def _local(s: str) -> str:
+    return f"translate({s}, '0123456789', '०१२३४५६७८९')"
+
+
+def _distinct_sql(source: str, key: str) -> str:
+    """key, place, variant of source (key, v: a list): the first of each form that differs but for case and punctuation."""
+    return f"""e as (select {key}, unnest(v) as variant, unnest(range(1, len(v) + 1)) as i from {source}),
+        k as (select *, trim(regexp_replace(regexp_replace(lower(variant), '[/,-]', ' ', 'g'), ' +', ' ', 'g')) as key from e where variant is not null),
+        f as (select {key}, variant, i, row_number() over (partition by {key}, key order by i) as n from k)
+        select {key}, cast(row_number() over (partition by {key} order by i) - 1 as integer) as place, variant from f where n = 1"""
+
+
+def _amounts_sql(hindi: bool) -> str:
+    forms = ["s", "c"]
+    local = [x for f in forms for x in (_local(f), *[y for w in ("रुपये", "रुपए") for z in (f, _local(f)) for y in (f"{z} || ' {w}'", f"'{w} ' || {z}")])]
+    return f"""with w(n, w) as (values {_words(100)}), a as (select c_custkey, cast(floor(abs(c_acctbal)) as bigint) as n from customer),
+        t as (select c_custkey, a.n, cast(a.n as varchar) as s, regexp_replace(cast(a.n as varchar), '(\\d)(\\d\\d\\d)$', '\\1,\\2') as c,
+                nullif(concat_ws(' ', nullif(x.w || ' thousand', 'zero thousand'), nullif(y.w || ' hundred', 'zero hundred'), nullif(z.w, 'zero')), '') as words
+              from a join w x on x.n = a.n // 1000 join w y on y.n = a.n % 1000 // 100 join w z on z.n = a.n % 100),
+        v as (select c_custkey, list_concat(['Rs ' || s, 'Rs' || s, s, c, words, case when n > 0 then s || ' rupees' end, case when n > 0 then c || ' rupees' end, words || ' rupees'], [{", ".join(local) if hindi else ""}]) as v from t),
+        {_distinct_sql("v", "c_custkey")}"""
+
+
+def _letter_names_sql() -> str:
+    names = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in devanagari.LETTER_NAMES.items()) + "}"
+    return f"""with c as (select n_nationkey, upper(left(replace(n_name, ' ', ''), 3)) as c from nation),
+        l as (select *, list_transform(range(1, 4), lambda i: {names}[c[i]]) as l from c),
+        v as (select n_nationkey, [c, lower(c[1]) || ' ' || lower(c[2]) || ' ' || lower(c[3]), case when n_nationkey % 2 = 0 then array_to_string(l, '') end, case when n_nationkey % 2 = 0 then array_to_string(l, ' ') end] as v from l),
+        {_distinct_sql("v", "n_nationkey")}"""
+
+
+def _hindi_dates_sql() -> str:
+    months = "[" + ", ".join("[" + ", ".join(f"'{m}'" for m in names) + "]" for names in devanagari.MONTHS.values()) + "]"
+    d, p, y = "cast(day(t) as varchar)", "strftime(t, '%d')", "cast(year(t) as varchar)"
+    latin = [f"{d} || ' ' || m || ' ' || {y}", f"{p} || ' ' || m || ' ' || {y}", f"m || ' ' || {d} || ' ' || {y}", f"m || ' ' || {p} || ' ' || {y}"]
+    return f"""with o as (select o_orderkey, o_orderdate as t from orders),
+        v as (select o_orderkey, list_concat([strftime(t, '%d/%m/%Y'), strftime(t, '%d%m%Y'), strftime(t, '%Y-%m-%d'), strftime(t, '%d %B %Y'), strftime(t, '%B %d %Y'),
+                  {_local("strftime(t, '%Y-%m-%d')")}, {_local("strftime(t, '%d/%m/%Y')")}, {_local(f"{d} || '/' || month(t) || '/' || {y}")}],
+                  flatten(list_transform(({months})[month(t)], lambda m: [{", ".join(latin)}, {", ".join(map(_local, latin))}]))) as v from o),
+        {_distinct_sql("v", "o_orderkey")}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "merged_turns": f"with {_RUNS} select conv_id, place, speaker_id, speaker, text from runs",
     "markdown_transcript": rf"""with {_RUNS}
@@ -54,12 +129,12 @@ ORACLE_SQL: dict[str, str] = {
     "mr_cardinal_roundtrip": "select p_partkey, cast(p_partkey * 7919 + 13 as varchar) as value from part",
     "hi_percent_roundtrip": "select l_orderkey, l_linenumber, printf('%d.%02d%%', cast(l_quantity as bigint), cast(round(l_discount * 100) as bigint)) as value from lineitem",
     "half_and_quarter": """select p_partkey, case p_partkey % 3 when 0 then p_size || '.5' when 1 then (p_size - 1) || '.75' else p_size || '.25' end as value,
-        case p_partkey % 3 when 0 then cast(p_size * 1000 + 500 as varchar) when 1 then cast(p_size * 1000 - 250 as varchar) end as thousands from part where p_size between 3 and 99""",
+        case p_partkey % 3 when 0 then cast(p_size * 1000 + 500 as varchar) when 1 then cast(p_size * 1000 - 250 as varchar) end as thousands from part""",
     "date_policy": """with t as (select *, o_custkey % 4 as k from orders) select o_orderkey, ['acme_in', 'acme_us', 'acme_iso', 'default'][k + 1] as tenant_id,
         case when k in (0, 3) then strftime(o_orderdate, '%d/%m/%Y') end as value, case when k in (1, 2) then 'ambiguous_numeric_date' end as reason from t""",
     "phone_format": "select c_custkey, case when c_custkey % 5 < 4 then '+91 9' || left(lpad(cast(c_custkey as varchar), 9, '0'), 4) || ' ' || right(lpad(cast(c_custkey as varchar), 9, '0'), 5) end as phone from customer",
     "pan_ifsc_shape": "select s_suppkey, 'ABCDE' || lpad(cast(s_suppkey % 10000 as varchar), 4, '0') || 'F' as pan, 'HDFC0AB' || lpad(cast(s_suppkey % 10000 as varchar), 4, '0') as ifsc, null::varchar as no_pan from supplier",
-    "aadhaar_verhoeff": "with b as (select c_custkey, '2' || lpad(cast(c_custkey as varchar), 10, '0') as s from customer) select c_custkey, s[1:4] || ' ' || s[5:8] || ' ' || s[9:11] as head, true as wrong_refused from b",
+    "aadhaar_verhoeff": _verhoeff_sql(),
     "generic_id": "select s_suppkey, case when s_suppkey % 2 = 0 then 'AB12' || s_suppkey end as id from supplier",
     "gate_decisions": f"""with r as (select l_orderkey, l_linenumber, ['cardinal', 'money', 'percent', 'date', 'phone', 'url', 'decimal'][l_linenumber % 7 + 1] as cls, 1 - l_discount * 2 as conf, 1 - l_tax * 3 as asr,
                l_linestatus = 'O' as ambiguous, l_returnflag = 'R' as part, case when l_partkey % 3 = 0 then 'self_correction' end as had from lineitem),
@@ -73,6 +148,15 @@ ORACLE_SQL: dict[str, str] = {
     "general_variants": """select n_nationkey, i - 1 as place, v[i] as variant from (select n_nationkey, [replace(n_name, '_', ' '), replace(n_name, '_', '')] as v from nation), lateral (select unnest(range(1, 3)) as i)""",
     "date_variants": """with v as (select o_orderkey, [strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%d%m%Y'), strftime(o_orderdate, '%Y-%m-%d'),
         strftime(o_orderdate, '%d %B %Y'), strftime(o_orderdate, '%B %d %Y')] as v from orders) select o_orderkey, cast(i - 1 as integer) as place, v[i] as variant from v, lateral (select unnest(range(1, 6)) as i)""",
+    "hindi_variants": _hindi_names_sql(),
+    "hindi_date_variants": _hindi_dates_sql(),
+    "hindi_letter_names": _letter_names_sql(),
+    "amount_variants": _amounts_sql(False),
+    "hindi_amount_variants": _amounts_sql(True),
+    "merged_events": """with n as (select *, case when lag(event_type) over w = event_type then 0 else 1 end as fresh, first_value(event_type) over w as head from events window w as (partition by user_id order by event_id)),
+        i as (select *, sum(fresh) over (partition by user_id order by event_id) as place from n)
+        select user_id, cast(place as bigint) as place, any_value(event_type) as speaker_id, case when any_value(event_type) = any_value(head) then 'customer' else 'agent' end as speaker,
+               string_agg(cast(event_id as varchar), ' ' order by event_id) as text from i group by user_id, place""",
     "phrase_rank_topk": """with c as (select c_nationkey as request, c_custkey as pos, lower(replace(c_name, '#', ' ')) as key, ['debtor_name', 'city', 'agent_name', 'other'][c_custkey % 4 + 1] as field,
                [120.0, 72.0, 68.0, 50.0][c_custkey % 4 + 1] + 4 + 3 + 1.5 + case when c_custkey % 3 = 0 then 1 else 0 end as score, lower(c_name) as low from customer)
         select request, cast(k as integer) as rank, key, field, score::double as score from (select *, row_number() over (partition by request order by score desc, low, pos) as k from c) where k <= 5""",

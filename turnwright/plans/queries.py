@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, grammar, scripts, spans
+from ..functions import devanagari, formats, grammar, scripts, spans
 from ..functions.lexicon import HI, MR, Lexicon
 from ..operators import itn, phrases, reporting, sessions, turns
 from ..streaming import streams
 
-LONG = 200
 EMAIL_MARK = "<email>"
 
 
@@ -21,22 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of some length: dropping the others lets turns of one role meet."""
-    return table(spark, sf_dir, "conversations").filter(F.length("text") >= LONG)
-
-
 def merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = turns.merged_and_labelled(long_turns(spark, sf_dir), "conv_id", "turn", speaker="role")
+    runs = turns.merged_and_labelled(table(spark, sf_dir, "conversations"), "conv_id", "turn", speaker="role")
     return runs.select("conv_id", "place", "speaker_id", "speaker", "text")
 
 
 def markdown_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = turns.merged_and_labelled(long_turns(spark, sf_dir), "conv_id", "turn", speaker="role", start="turn")
+    runs = turns.merged_and_labelled(table(spark, sf_dir, "conversations"), "conv_id", "turn", speaker="role", start="turn")
     timed = runs.withColumns({"start_sec": F.col("turn") * 2.5, "end_sec": F.col("turn") * 2.5 + 1.25, "canonical_text": F.lit(None).cast("string")})
     return turns.markdown(timed, "conv_id", "place", overlap=None)
 
 
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as turns, the type as the speaker: neighbours of one type are merged."""
+    runs = turns.merged_and_labelled(table(spark, sf_dir, "events").withColumn("said", F.col("event_id").cast("string")), "user_id", "event_id", speaker="event_type", text="said")
+    return runs.select("user_id", "place", "speaker_id", "speaker", "text")
+
+
 def flat_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.flat(table(spark, sf_dir, "conversations"), "conv_id", "turn", speaker="role")
 
@@ -153,8 +153,9 @@ def _time(lex: Lexicon) -> Callable[[SparkSession, str], DataFrame]:
 def half_and_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("long")
     head = F.get(F.array(F.lit(HI.half_more[0]), F.lit(HI.quarter_less[0]), F.lit(HI.quarter_more[0])), F.pmod("p_partkey", F.lit(3)).cast("int"))
-    said = F.concat_ws(" ", head, grammar.spoken_integer(n, HI))
-    rows = table(spark, sf_dir, "part").filter("p_size between 3 and 99").select("p_partkey", said.alias("words"), F.concat(said, F.lit(" हज़ार")).alias("scaled"))
+    own = F.when(F.col("p_partkey") % 3 == 0, F.when(n == 1, HI.one_and_half[0]).when(n == 2, HI.two_and_half[0]))  # one and a half and two and a half have words of their own
+    said = F.coalesce(own, F.concat_ws(" ", head, grammar.spoken_integer(n, HI)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", said.alias("words"), F.concat(said, F.lit(" हज़ार")).alias("scaled"))
     return rows.select("p_partkey", grammar.normalize(F.col("words"), "decimal", HI).alias("value"), F.when(F.pmod("p_partkey", F.lit(3)) < 2, grammar.normalize(F.col("scaled"), "cardinal", HI)).alias("thousands"))
 
 
@@ -181,7 +182,7 @@ def aadhaar_verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat(F.lit("2"), F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
     right = F.concat(base, formats.verhoeff_digit(base))
     wrong = F.concat(base, F.pmod(formats.verhoeff_digit(base).cast("int") + 1, F.lit(10)).cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.left(formats.aadhaar(right), F.lit(13)).alias("head"), formats.aadhaar(wrong).isNull().alias("wrong_refused"))
+    return table(spark, sf_dir, "customer").select("c_custkey", formats.aadhaar(right).alias("number"), formats.aadhaar(wrong).isNull().alias("wrong_refused"))
 
 
 def generic_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +224,29 @@ def date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.variants(rows, "said", "dates").select("o_orderkey", F.posexplode("variants").alias("place", "variant"))
 
 
+def hindi_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways to write a document's first two plain words that stand together, as a name, in Devanagari."""
+    name = F.lower(F.regexp_extract("text", "[A-Za-z]{3,12} [A-Za-z]{3,12}", 0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", devanagari.script_variants(name).alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("place", "variant"))
+
+
+def hindi_letter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of short codes by name, joined and apart, beside the codes' own variants."""
+    rows = table(spark, sf_dir, "nation").withColumn("code", F.upper(F.left(F.replace(F.col("n_name"), F.lit(" "), F.lit("")), F.lit(3))))
+    return phrases.variants(rows, "code", "lender", hindi=F.pmod("n_nationkey", F.lit(2)) == 0).select("n_nationkey", F.posexplode("variants").alias("place", "variant"))
+
+
+def hindi_date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("said", F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return phrases.variants(rows, "said", "dates", hindi=True).select("o_orderkey", F.posexplode("variants").alias("place", "variant"))
+
+
+def hindi_amount_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").withColumn("said", F.concat(F.lit("Rs "), F.floor(F.abs("c_acctbal")).cast("string")))
+    return phrases.variants(rows, "said", "amounts", hindi=True).select("c_custkey", F.posexplode("variants").alias("place", "variant"))
+
+
 def phrase_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = F.get(F.array(*map(F.lit, ("debtor_name", "city", "agent_name", "other"))), F.pmod("c_custkey", F.lit(4)).cast("int"))
     rows = phrases.variants(table(spark, sf_dir, "customer"), "c_name", "city").select(F.col("c_nationkey").alias("request"), F.col("c_custkey").alias("pos"), phrases.variant_key(F.col("c_name")).alias("key"), field.alias("field"), F.col("c_name").alias("canonical"), "variants", (F.pmod("c_custkey", F.lit(3)) == 0).alias("explicit"))
@@ -312,8 +336,7 @@ def stability_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     partials = events.select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_id") % 7 == 0).alias("is_final"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    place = f"{base.rstrip('/')}/turnwright-stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(partials))))}"
+    place = f"{streams.shared_dir(spark)}/turnwright-stream-{uuid.uuid4().hex}"
     return streams.run_once(streams.stability(partials), f"{place}/out", f"{place}/checkpoint").select(F.col("seq").alias("event_id"), "stable_count")
 
 
@@ -362,9 +385,9 @@ def partial_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        merged_turns, markdown_transcript, flat_transcript, majority_language, majority_first_ten, turn_overlap_flags, fixed_slices_25s, prefilter_email_counts, prefilter_url_counts, prefilter_spans,
+        merged_turns, merged_events, markdown_transcript, flat_transcript, majority_language, majority_first_ten, turn_overlap_flags, fixed_slices_25s, prefilter_email_counts, prefilter_url_counts, prefilter_spans,
         splice_redact, script_route, route_hints, indian_grouping, inr_format, hi_percent_roundtrip, half_and_quarter, date_policy, phone_format, pan_ifsc_shape, aadhaar_verhoeff, generic_id,
-        gate_decisions, self_correction_pairs, indian_words, general_variants, amount_variants, date_variants, phrase_rank_topk, brand_lookup, row_contexts, positional_join_urls, ab_eval_summary,
+        gate_decisions, self_correction_pairs, indian_words, general_variants, amount_variants, date_variants, hindi_variants, hindi_letter_names, hindi_date_variants, hindi_amount_variants, phrase_rank_topk, brand_lookup, row_contexts, positional_join_urls, ab_eval_summary,
         ab_improved, ab_compare, status_csv, dialogue_turns, event_sampling, text_metadata, latency_summary, latency_histogram, stability_counter, inactivity_sessions, cached_language,
         stability_stream, crosstalk_gate, word_attribution, domain_terms, normalized_documents, normalized_sentences, partial_segments,
     )

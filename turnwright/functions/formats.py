@@ -121,3 +121,12 @@ def indian_words(n: Column) -> Column:
     rest = F.pmod(n, F.lit(1000))
     pieces.append(F.when(rest > 0, _under_thousand(rest)))
     return F.when(n <= 0, F.lit("zero")).when(n < 10_000_000_000, F.concat_ws(" ", *pieces))
+
+
+#: Where the ten digits of each script begin.
+ZEROS = {"Devanagari": 0x966, "Bengali": 0x9E6, "Gurmukhi": 0xA66, "Gujarati": 0xAE6, "Odia": 0xB66, "Tamil": 0xBE6, "Telugu": 0xC66, "Kannada": 0xCE6, "Malayalam": 0xD66, "Arabic": 0x6F0}
+
+
+def latin_digits(text: Column) -> Column:
+    """The text with the digits of ten scripts in Latin ones."""
+    return F.translate(text, "".join(chr(z + i) for z in ZEROS.values() for i in range(10)), "0123456789" * len(ZEROS))

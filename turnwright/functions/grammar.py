@@ -212,3 +212,20 @@ def spoken_integer(n: Column, lex: Lexicon) -> Column:
     rest = F.pmod(n, F.lit(100))
     pieces += [F.when(d > 0, hundreds), F.when((rest > 0) | (n == 0), at(rest))]
     return F.concat_ws(" ", *pieces)
+
+
+def permissive_cardinal(raw: Column, lex: Lexicon) -> Column:
+    """A number from known words in any order: hundreds multiply what came before, larger scales add it up; else null."""
+    scales = {w: n for words, n in ((lex.thousand, 1_000), (lex.lakh, 100_000), (lex.crore, 10_000_000), (lex.arab, 1_000_000_000)) for w in words}
+    values = lex.values()
+    begin = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("now"))
+
+    def step(acc: Column, word: Column) -> Column:
+        one = F.when(acc["now"] == 0, F.lit(1).cast("long")).otherwise(acc["now"])
+        value, scale = lookup(values, word).cast("long"), lookup(scales, word).cast("long")
+        made = F.when(word.isin(*lex.hundred), F.struct(acc["total"].alias("total"), (one * 100).alias("now")))
+        made = made.when(scale.isNotNull(), F.struct((acc["total"] + one * scale).alias("total"), F.lit(0).cast("long").alias("now")))
+        return made.when(value.isNotNull(), F.struct(acc["total"].alias("total"), (acc["now"] + value).alias("now")))
+
+    words = F.filter(F.split(F.trim(F.coalesce(raw, F.lit(""))), "\\s+"), lambda w: w != "")
+    return let(words, lambda ws: F.when(F.size(ws) > 0, F.aggregate(ws, begin, step, lambda acc: (acc["total"] + acc["now"]).cast("string"))))

@@ -188,3 +188,8 @@ def passthrough(df: DataFrame, text: str = "text", lang: str = "und") -> DataFra
     """Raw text on all surfaces, deferred."""
     raw = F.coalesce(F.col(text), F.lit(""))
     return df.withColumns({"raw_text": raw, "canonical_text": raw, "display_text": raw, "spans": F.array().cast(f"array<{SPAN}>"), "deferred": F.lit(True), "lang": F.lit(lang), "script": F.lit("Common"), "itn_version": F.lit(VERSION)})
+
+
+def token_confidence(tokens: Column) -> Column:
+    """The smallest confidence of a segment's tokens (structs with conf); 1 without tokens."""
+    return F.coalesce(F.array_min(F.transform(tokens, lambda t: t["conf"].cast("double"))), F.lit(1.0))

@@ -198,6 +198,27 @@ ORACLE_SQL: dict[str, str] = {
     "normalized_sentences": f"select o_orderkey, 'कुल ₹' || {grouped('s')} || case when o_orderkey % 2 = 0 then ' देने हैं' else ' बाकी' end as canonical_text, 'hi' as lang, false as deferred from (select o_orderkey, cast(cast(floor(o_totalprice) as bigint) as varchar) as s from orders)",
     "partial_segments": """select event_id, event_id % 4 != 0 and event_id % 3 < 2 as deferred, case when event_id % 4 = 0 or event_id % 3 = 2 then '₹' || event_id % 100 end as canonical_text from events""",
 }
+ORACLE_SQL |= {
+    "language_codes": """with c as (select c_custkey, ['hindi', 'ta-in-tamil', 'mr-in', 'xx', '', 'telugu', 'ur-pk'][c_custkey % 7 + 1] as label, c_custkey % 7 as k, c_custkey % 2 = 0 as even from customer)
+        select c_custkey, label, case when even then case k when 0 then 'hi' when 1 then 'ta' when 2 then 'mr' end else case k when 5 then 'te' when 6 then 'ur' end end as code from c""",
+    "supported_languages": """with k as (select source, list_sort(list(distinct lang)) as k from documents where source is not null group by source union all select null, list_sort(list(distinct lang)) from documents where source is null having count(*) > 0)
+        select source, case when length(source) % 2 = 0 then nullif(array_to_string(list_sort(list_intersect(k, ['de', 'en'])), ','), '') else array_to_string(k, ',') end as effective,
+               case when length(source) % 2 = 0 then array_to_string(list_sort(list_filter(['de', 'en', 'xx'], lambda x: not list_contains(k, x))), ',') else '' end as ignored from k""",
+    "currency_signs": """with s as (select s_suppkey, ['hi', 'bn', 'ta', 'mr'][s_suppkey % 4 + 1] as lang, s_nationkey % 4 = 1 as bd from supplier)
+        select s_suppkey, case when lang = 'ta' then null when lang = 'bn' and bd then '৳' else '₹' end as sign, case lang when 'ta' then null else lang = 'bn' end as cue from s""",
+    "request_contexts": """select s_suppkey as request, case when s_suppkey % 11 = 0 then '' else 'asha rao ' || s_suppkey % 5 end as debtor_name, case when s_suppkey % 11 = 0 or s_suppkey % 3 > 0 then '' else 'pune' end as city,
+        case when s_suppkey % 11 = 0 then '' when s_suppkey % 2 = 0 then 'Rs 1,2' || lpad(cast(s_suppkey % 100 as varchar), 2, '0') || '|77 rupees' else cast(s_suppkey as varchar) end as amounts,
+        case when s_suppkey % 11 = 0 then '' else 'debtor_name' || case when s_suppkey % 3 = 0 then ',city' else '' end || ',amounts' end as fields from supplier""",
+    "flat_pack_phrases": "select p_partkey, 'Part ' || p_size || '|दो सौ|x|' || p_brand as phrases from part",
+    "surfaced_names": """select doc_id, regexp_matches(text, '[A-Za-z]{3,12} [A-Za-z]{3,12}') as own, false as other, doc_id % 2 = 0 as "local" from documents""",
+    "batch_progress": """select o_custkey, count(*) as n, bool_and(o_orderstatus in ('F', 'O')) as done, round(avg(case when o_orderkey % 5 > 0 then (o_orderkey % 4) * 25.0 else 0 end), 6) as progress from orders group by o_custkey""",
+    "job_settings": """with l as (select *, l_orderkey % 2 = 0 as a, l_orderkey % 5 > 1 as b, ['sarga:v1', 'sarga:v1.1', 'credresolve:v1'][l_orderkey % 3 + 1] as asked from lineitem)
+        select l_orderkey, l_linenumber, case when a and b then case when asked = 'sarga:v1' then 'sarga:v1' else 'credresolve:v1' end when b then 'credresolve:v1' else 'sarga:v1' end as model,
+               case when l_linenumber % 3 = 1 then 'Unsupported chunk size' when l_partkey % 3 = 2 then 'Unsupported ITN backend' end as refused from l""",
+    "token_confidences": "select l_orderkey, l_linenumber, round(1 - l_tax * greatest(0, least(4, l_linenumber - 2)), 6) as conf from lineitem",
+    "permissive_numbers": """select p_partkey, case p_partkey % 3 when 0 then cast(p_size * 1000 + 100 + p_size as varchar) when 1 then cast((p_size * 100 + 7) * 100000 as varchar) end as value from part""",
+    "digit_scripts": "select n_nationkey, cast(n_nationkey as varchar) as digits from nation",
+}
 _MONEY = f"""with m as (select o_orderkey, cast(cast(floor(o_totalprice) as bigint) as varchar) as s, cast(floor(o_totalprice * 100) as bigint) % 100 as p from orders)
     select o_orderkey, '₹' || {grouped('s')} || case when p > 0 then '.' || lpad(cast(p as varchar), 2, '0') else '' end as amount from m"""
 ORACLE_SQL |= {"hi_money_roundtrip": _MONEY, "mr_money_roundtrip": _MONEY, "mr_date_roundtrip": ORACLE_SQL["hi_date_roundtrip"], "mr_time_roundtrip": ORACLE_SQL["hi_time_roundtrip"]}

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import devanagari, formats, grammar, scripts, spans
+from ..functions import devanagari, formats, grammar, languages, scripts, spans
 from ..functions.lexicon import HI, MR, Lexicon
-from ..operators import itn, phrases, reporting, sessions, turns
+from ..operators import itn, phrases, reporting, requests, sessions, turns
 from ..streaming import streams
 
 EMAIL_MARK = "<email>"
@@ -382,6 +382,97 @@ def partial_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("event_id", "deferred", F.when(~F.col("deferred"), F.col("canonical_text")).alias("canonical_text"))
 
 
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of customers' segments as languages, of the supported ones."""
+    label = F.get(F.array(*map(F.lit, ("Hindi", "ta_IN: Tamil", "mr-IN", "xx", "", "Telugu!", "ur pk"))), F.pmod("c_custkey", F.lit(7)).cast("int"))
+    supported = F.when(F.col("c_custkey") % 2 == 0, F.array(*map(F.lit, ("hi", "ta", "mr")))).otherwise(F.array(*map(F.lit, ("te", "ur", "hi-in"))))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", label.alias("label"), supported.alias("s"))
+    return rows.select("c_custkey", languages.clean_label(F.col("label")).alias("label"), languages.supported_code(F.col("label"), F.col("s")).alias("code"))
+
+
+def supported_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages that each source's documents are in, cut to those asked for."""
+    known = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("known"))
+    asked = F.when(F.length("source") % 2 == 0, F.array(F.lit("en"), F.lit("xx"), F.lit("de"))).otherwise(F.array().cast("array<string>"))
+    rows = known.withColumn("asked", asked)
+    return rows.select("source", F.array_join(languages.effective_languages(F.col("known"), F.col("asked")), ",").alias("effective"), F.array_join(languages.ignored_languages(F.col("known"), F.col("asked")), ",").alias("ignored"))
+
+
+def currency_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.get(F.array(*map(F.lit, ("hi", "bn", "ta", "mr"))), F.pmod("s_suppkey", F.lit(4)).cast("int"))
+    region = F.get(F.array(F.lit("IN"), F.lit("BD"), F.lit(""), F.lit(None).cast("string")), F.pmod("s_nationkey", F.lit(4)))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", lang.alias("lang"), region.alias("region"))
+    return rows.select("s_suppkey", languages.currency_sign(F.col("lang"), F.col("region")).alias("sign"), languages.has_currency_cue(F.lit("500 টাকা"), F.col("lang"), F.col("region")).alias("cue"))
+
+
+def _request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON context of every supplier: a name, a city for some, amounts as text or a list, and broken ones."""
+    n = F.col("s_suppkey")
+    amounts = F.when(n % 2 == 0, F.concat(F.lit('"Rs 1,2'), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(', 77 rupees"'))).otherwise(F.concat(F.lit('["'), n.cast("string"), F.lit('", "", "'), n.cast("string"), F.lit('"]')))
+    raw = F.concat(F.lit('{"debtor_name": " asha_rao '), (n % 5).cast("string"), F.lit('", "city": "'), F.when(n % 3 == 0, "pune").otherwise(""), F.lit('", "amounts": '), amounts, F.lit("}"))
+    return table(spark, sf_dir, "supplier").select(n.alias("request"), F.when(n % 11 == 0, "[1, 2]").otherwise(raw).alias("raw"))
+
+
+def request_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _request_rows(spark, sf_dir).select("request", requests.parse_context(F.col("raw")).alias("c")).withColumn("fields", requests.provided_fields(F.col("c")))
+    return rows.select("request", "c.debtor_name", "c.city", F.array_join("c.amounts", "|").alias("amounts"), F.array_join("fields", ",").alias("fields"))
+
+
+def request_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _request_rows(spark, sf_dir).select("request", requests.parse_context(F.col("raw")).alias("context"))
+    base = table(spark, sf_dir, "region").select(phrases.variant_key(F.col("r_name")).alias("key"), F.col("r_regionkey").alias("place"), F.array("r_name").alias("variants"))
+    base = base.unionByName(spark.createDataFrame([("pune", 90, ["Pune", "Poona"])], "key string, place long, variants array<string>").withColumn("place", F.col("place").cast("int")))
+    packs = requests.request_packs(rows, base, "request", 2)
+    return packs.select("request", F.size("lines").cast("long").alias("n_lines"), "n_base", "n_before", "n_after", "n_total", F.array_join("top", "|").alias("top"))
+
+
+def flat_pack_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array(F.concat(F.lit("Part "), F.col("p_size").cast("string"), F.lit("_p a n_part "), F.col("p_size").cast("string")), F.lit("पी ए एन_दो सौ__x"), F.concat(F.lit("X_"), F.col("p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(requests.flat_phrases(lines), "|").alias("phrases"))
+
+
+def surfaced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's own first two words, or a stranger's name, stand in it, as they are or in Devanagari."""
+    name = F.regexp_extract("text", "[A-Za-z]{3,12} [A-Za-z]{3,12}", 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", name.alias("name"))
+    asked = rows.withColumns({"name": F.upper("name"), "stranger": F.lit("zzkumar qqxx"), "said": F.lit("श्री कुमार जी"), "called": F.when(F.col("doc_id") % 2 == 0, "kumar").otherwise("kumari")})
+    for text, value, out in (("text", "name", "own"), ("text", "stranger", "other"), ("said", "called", "local")):
+        asked = requests.with_surfaced(asked, text, value, out)
+    return asked.select("doc_id", "own", "other", "local")
+
+
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "failed").when(F.col("o_orderkey") % 2 == 0, "queued")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", status.alias("status"), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 4).cast("double") * 25).alias("progress"))
+    return reporting.batch_progress(rows, "o_custkey").select("o_custkey", "n", "done", F.round("progress", 6).alias("progress"))
+
+
+def job_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_orderkey")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), F.pmod(by, F.lit(len(values))).cast("int"))
+    model = reporting.resolved_model(pick(["sarga:v1", "sarga:v1.1", "credresolve:v1"], n), n % 2 == 0, n % 5 > 1)
+    why = reporting.rejected_setting(pick([80, 100, 1120], F.col("l_linenumber")), pick(["custom", "none", "other"], F.col("l_partkey")), model)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", model.alias("model"), why.alias("refused"))
+
+
+def token_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("l_linenumber") - 2), lambda i: F.struct((F.lit(1.0) - F.col("l_tax") * i).alias("conf")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(itn.token_confidence(tokens), 6).alias("conf"))
+
+
+def permissive_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands before hundreds, and after them, and a bare hundred."""
+    n = F.col("p_size").cast("long")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", grammar.spoken_integer(n, HI), F.lit("हज़ार सौ"), grammar.spoken_integer(n, HI)))
+    said = said.when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", grammar.spoken_integer(n, HI), F.lit("सौ"), grammar.spoken_integer(F.lit(7).cast("long"), HI), F.lit("लाख"))).otherwise("सौ कुछ")
+    return table(spark, sf_dir, "part").select("p_partkey", grammar.permissive_cardinal(said, HI).alias("value"))
+
+
+def digit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.get(F.array(*[F.translate(F.col("n_nationkey").cast("string"), "0123456789", "".join(chr(z + i) for i in range(10))) for z in formats.ZEROS.values()]), F.pmod("n_nationkey", F.lit(len(formats.ZEROS))))
+    return table(spark, sf_dir, "nation").select("n_nationkey", formats.latin_digits(digits).alias("digits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -389,7 +480,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         splice_redact, script_route, route_hints, indian_grouping, inr_format, hi_percent_roundtrip, half_and_quarter, date_policy, phone_format, pan_ifsc_shape, aadhaar_verhoeff, generic_id,
         gate_decisions, self_correction_pairs, indian_words, general_variants, amount_variants, date_variants, hindi_variants, hindi_letter_names, hindi_date_variants, hindi_amount_variants, phrase_rank_topk, brand_lookup, row_contexts, positional_join_urls, ab_eval_summary,
         ab_improved, ab_compare, status_csv, dialogue_turns, event_sampling, text_metadata, latency_summary, latency_histogram, stability_counter, inactivity_sessions, cached_language,
-        stability_stream, crosstalk_gate, word_attribution, domain_terms, normalized_documents, normalized_sentences, partial_segments,
+        stability_stream, crosstalk_gate, word_attribution, domain_terms, language_codes, supported_languages, currency_signs, request_contexts, request_packs, flat_pack_phrases, surfaced_names, batch_progress, job_settings,
+        token_confidences, permissive_numbers, digit_scripts, normalized_documents, normalized_sentences, partial_segments,
     )
 } | {
     "hi_cardinal_roundtrip": _cardinal(HI, "orders", "o_orderkey"), "mr_cardinal_roundtrip": _cardinal(MR, "part", "p_partkey"), "hi_money_roundtrip": _money(HI), "mr_money_roundtrip": _money(MR),

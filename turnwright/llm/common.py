@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+MAX_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,12 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let texts reach Python BATCH_BYTES at a time, unless the session has a bound of its own: workers then stay small."""
+    if spark.conf.get(MAX_BATCH, None) in (None, "67108864b"):  # Spark's default
+        spark.conf.set(MAX_BATCH, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at the files, which outlive executors.
 
     Once they are written, nothing reads the shuffle files of the plan that made them, so Spark is asked to drop those.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/turnwright/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")

@@ -2,16 +2,26 @@
 
 A document's set is its distinct k-word shingles. Each set gets BANDS * ROWS minima under multiply-shift hashes; the
 minima of one band are one bucket key. Documents with equal sets (128-bit digest of the sorted shingle hashes) become
-one class first. In LIGHT rounds each class is paired with the smallest and the most central member (whose buckets hold
-most) of its largest bucket that still holds several components; pairs are verified on the shingles of their full texts
-and their links are contracted by alternating large-star and small-star. In all buckets that then still hold several
-components, classes are paired with both and HASHED others, and links are contracted again. What is left across components after that is verified pair by pair where
-at least AGREE of all minima agree and the shingles that not one document holds alone could make a link. A link between different texts is lost only if the pair shares no bucket,
-(1 - 0.8 ** ROWS) ** BANDS or 3e-6 at similarity 0.8 with the default parameters, or too few minima agree, 1e-7 there.
-
-Scale: a bucket that holds a third of all classes costs as many pairs as it has members, not their square. Groupings
-take partial minima before the shuffle; joins are sort-merge joins that AQE splits where a key is hot. Verification reads
-a pair's two texts in a task of its own; the loop's state is cut to files in the shared folder every round.
+one class first; classes that rows of one id share are linked. In LIGHT rounds each class is paired with the smallest and
+the most central member (whose buckets hold most) of its largest bucket that still holds several components; pairs are
+verified on the shingles of their full texts and their links are contracted by alternating large-star and small-star.
+
+Then buckets that still hold several components are taken apart until none is left. In one of at most SMALL members, pairs
+across components are verified if at least AGREE of all minima agree. Larger ones are taken by groups: the shingles that
+most members of a group hold are its core, all members are verified with the one nearest to the core, and are dealt into new
+buckets by minima of what sets them off from the core, the shingles that only one of both holds. Members that link with each
+other but are not near the core have much of that in common, members that only resemble each other have little. What a
+bucket's members share is in its core the next time, so buckets shrink. A bucket of m members costs m * SMALL comparisons at
+most, of sketches, and only pairs that pass are verified.
+
+A link between different texts is lost only if the pair shares no bucket, (1 - 0.8 ** ROWS) ** BANDS or 3e-6 at similarity
+0.8 with the default parameters; if too few minima agree, 1e-7 there; or in buckets of over SMALL members if it shares none
+of the APART keys: (2 / 3) ** APART or 6e-5 where both are farther from the core than a link reaches, and more where one of
+them is near it and the other only just out of reach. A component loses a document only if all links between them are lost.
+
+Scale: groupings take partial minima before the shuffle; joins are sort-merge joins that AQE splits where a key is hot.
+Verification reads a pair's two texts in a task of its own; the loop's state is cut to files in the shared folder every
+round, and files that no later round reads are deleted.
 
 Defined cases: words are runs of bytes outside \\x20 and \\x09-\\x0D after lower-casing A-Z; fewer words than k make
 one shingle; null, empty and blank texts have the empty set and are linked with nothing; rows that repeat an id are
@@ -24,18 +34,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, fresh, release
 
 BANDS, ROWS, SEED = 32, 5, 20240229
-LIGHT, HASHED, AGREE = 2, 3, 0.625
+LIGHT, AGREE = 1, 0.625
+SMALL, APART = 128, 24
 CHUNK = 4096
-_CACHE = 400_000
+_CACHE = 100_000
 
 
 class _WordHashes(dict):
@@ -132,11 +142,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest id that edges (u, v) reach, for every node of an edge."""
+    """node, root: the smallest id that edges (u, v) reach, for every node of an edge; in a file."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "stars")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    before = mark(now)
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -145,98 +153,156 @@ def components(edges: DataFrame) -> DataFrame:
         near = large.join(low, F.col("u") == F.col("c"))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
         small = cut(small, "small-star")
-        after = mark(small)
         release(now, large)
         now = small
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = after
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = cut(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    release(now)
+    return out
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of edges (u, v) has one v, and no v is a u: alternating stars change nothing then."""
+    ends = edges.select(F.col("u").alias("x")).unionByName(edges.select(F.col("v").alias("x")).distinct())
+    return ends.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def _open(shared: DataFrame, roots: DataFrame, least: int = 2) -> DataFrame:
-    """key, rep, central, root of buckets of at least so many members whose members are of more than one component."""
-    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "central", F.coalesce("root", "rep").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter(f"lo != hi and n >= {least}").select("key")
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared (key, rep, ...) with root: buckets whose members are of more than one component; in a file."""
+    placed = shared.join(roots, F.col("rep") == F.col("node"), "left").select(*shared.columns, F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     return cut(placed.join(split, "key", "left_semi"), "open-buckets")
 
 
-def _hub_pairs(open_: DataFrame, hashed: int) -> DataFrame:
-    """rep, n, kind, hub: members with their bucket's smallest (kind 0), most central (1) and `hashed` others of other components."""
+def _hub_pairs(open_: DataFrame) -> DataFrame:
+    """u, v: members with the smallest and the most central member of their largest bucket, where these are of other components."""
     pick = F.struct("rep", "root")
-    found = [F.min_by(pick, "rep"), F.max_by(pick, F.struct("central", -F.col("rep"))), *[F.min_by(pick, F.xxhash64("rep", F.lit(i))) for i in range(hashed)]]
-    hubs = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*found).alias("hubs"))
-    pairs = open_.join(hubs, "key").select("rep", "root", "n", F.posexplode("hubs").alias("kind", "hub"))
-    return pairs.filter("hub.root != root").select("rep", "n", "kind", F.col("hub.rep").alias("hub"))
+    hubs = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(F.min_by(pick, "rep"), F.max_by(pick, F.struct("central", -F.col("rep")))).alias("hubs"))
+    pairs = open_.join(hubs, "key").select("rep", "root", "n", F.posexplode("hubs").alias("kind", "hub")).filter("hub.root != root")
+    return _ordered(pairs.groupBy("rep", "kind").agg(F.max_by("hub.rep", F.struct("n", -F.col("hub.rep"))).alias("hub")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).filter("u != v").distinct()
 
 
-def shared_sizes(texts: DataFrame, k: int) -> DataFrame:
-    """c, size, common: of each text's set, the shingles and those that some other text of `texts` holds, too.
-
-    Shingles count by their hashes: clashes can raise `common`, never lower it, so it stays a bound.
-    """
+def set_apart(members: DataFrame, texts: DataFrame, k: int, keys: int = APART) -> DataFrame:
+    """rep, group, off, keys of members (rep, group), in a file: how many shingles only one of member and core holds, and their minima."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(raw.as_py(), k, known).view(np.int64) for raw in batch.column(1)]
+            sets = [shingle_hashes(raw.as_py(), k, known).view(np.int64) for raw in batch.column(2)]
             ends = np.cumsum([0] + [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["c", "hs"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["rep", "group", "hs"])
 
-    rows = texts.groupBy("doc_id").agg(F.min("raw").alias("raw")).mapInArrow(run, "c long, hs array<long>").select("c", F.explode("hs").alias("x"))
-    rows = cut(rows, "open-shingles")
-    alone = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).filter("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
-    return rows.groupBy("c").agg(F.count(F.lit(1)).alias("size")).join(alone, "c", "left").select("c", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(SEED + 1)
+        a = draw.integers(0, 1 << 63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = draw.integers(0, 1 << 63, keys, dtype=np.uint64)
+        for batch in batches:
+            off, found = [], []
+            for own, core in zip(batch.column(2), batch.column(3), strict=True):
+                apart = np.setxor1d(own.values.to_numpy(), core.values.to_numpy() if core.is_valid else np.empty(0, np.int64), True).view(np.uint64)
+                off.append(len(apart))
+                key = (minima(apart, a, b) ^ np.arange(keys, dtype=np.uint64) << np.uint64(40)) if len(apart) else np.empty(0, np.uint64)
+                found.append(key.view(np.int64))
+            ends = np.cumsum([0] + [len(x) for x in found])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(off, pa.int64()), lists], ["rep", "group", "off", "keys"])
+
+    sides = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "group", "raw")
+    sides = cut(sides.mapInArrow(hashed, "rep long, group long, hs array<long>"), "group-sets")
+    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
+    counts = sides.select("group", F.explode("hs").alias("x")).groupBy("group", "x").agg(F.count(F.lit(1)).alias("n"))
+    core = counts.join(size, "group").filter("2 * n > m").groupBy("group").agg(F.collect_list("x").alias("core"))
+    out = cut(sides.join(core, "group", "left").select("rep", "group", "hs", "core").mapInArrow(dealt, "rep long, group long, off long, keys array<long>"), "set-apart")
+    release(sides)
+    return out
+
+
+def _across(small: DataFrame, reps: DataFrame, percent: int, minima_: int) -> DataFrame:
+    """u, v: pairs of a bucket's members of different components whose minima, sizes and distances to the hub allow a link.
+
+    small: key, rep, root, off (null where there is no hub).
+    """
+    sides = small.join(reps.select("rep", "low", "size"), "rep").select("key", "root", "off", F.col("rep").alias("r"), "low", "size")
+    left, right = (sides.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "off", "r", "low", "size")]) for x in ("u", "v"))
+    agree = F.aggregate(F.zip_with("low_u", "low_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    sizes = F.expr(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
+    near = F.expr(f"coalesce({100 + percent} * abs(off_u - off_v) <= {100 - percent} * (size_u + size_v), true)")
+    meet = left.join(right, "key").filter("root_u != root_v and r_u > r_v").filter(sizes & near & (agree >= int(AGREE * minima_)))
+    return meet.select(F.col("r_u").alias("u"), F.col("r_v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(sketches(own, k, bands, rows), "sketches")
-    classes = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "low")).alias("m"))
-    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.low"), "set-classes")
+    classes = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "low", "n_shingles")).alias("m"))
+    reps = cut(classes.select("set_key", F.col("m.doc_id").alias("rep"), "m.bands", "m.low", F.col("m.n_shingles").alias("size")), "set-classes")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     stars = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(buckets.join(stars, "key").select("key", "rep", "n"), "buckets")
-    meeting = shared.select(F.col("rep").alias("doc_id")).distinct()
+    first = cut(buckets.join(stars, "key").select("key", "rep", "n"), "buckets")
+    meeting = first.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(own.filter("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw")).join(meeting, "doc_id", "left_semi"), "meeting-texts")
-    central = shared.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "c")
-    shared = cut(shared.join(central, F.col("rep") == F.col("c")).select("key", "rep", "central"), "central-buckets")
-    open_, tried, links = shared.withColumn("root", F.col("rep")), None, None
-    for light in (True,) * LIGHT + (False,):
-        pairs = _hub_pairs(open_, 0 if light else HASHED)
-        if light:  # of each kind, the hub of the largest bucket
-            pairs = pairs.groupBy("rep", "kind").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-        pairs = _ordered(pairs)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "hub-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = verified(pairs, texts, k, percent)
-        links = cut(more if links is None else links.unionByName(more), "links")
-        roots = cut(components(links), "roots")
-        open_ = _open(shared, roots, 2 if light else 3)
+    central = first.groupBy("rep").agg(F.sum("n").alias("central")).withColumnRenamed("rep", "c")
+    shared = cut(first.join(central, F.col("rep") == F.col("c")).select("key", "rep", "central"), "central-buckets")
+    repeated = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = cut(sketch.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key", "left").select("doc_id", "rep"), "repeated-ids")
+    links = cut(again.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("us")).select(F.explode("us").alias("u"), "v").filter("u != v").distinct(), "links")
+    roots = components(links)
+    open_, tried = _open(shared, roots), None
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, roots, tried
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        both = cut(links.unionByName(verified(pairs, texts, k, percent)), "links")
+        seen = pairs if tried is None else cut(tried.unionByName(pairs), "tried")
+        release(links, roots, *([tried, pairs] if tried is not None else []))
+        links, tried, roots = both, seen, components(both)
+
+    for _ in range(LIGHT):
         if open_.isEmpty():
             break
-    if not open_.isEmpty():
-        still = open_.select(F.col("rep").alias("doc_id")).distinct()
-        sizes = cut(shared_sizes(texts.join(still, "doc_id", "left_semi"), k).filter(100 * F.col("common") >= percent * F.col("size")), "open-sizes")
-        low = sizes.join(reps.select("rep", "low"), F.col("c") == F.col("rep")).select("c", "size", "common", "low")
-        sides = cut(open_.join(low, F.col("rep") == F.col("c")).select("key", "rep", "root", "low", "size", "common"), "open-sides")
-        left, right = (sides.select("key", F.col("rep").alias(x), F.col("root").alias(f"root_{x}"), F.col("low").alias(f"low_{x}"), F.col("size").alias(f"size_{x}"), F.col("common").alias(f"common_{x}")) for x in ("u", "v"))
-        agree = F.aggregate(F.zip_with("low_u", "low_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        across = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("u > v and root_u != root_v") & F.expr(f"{100 + percent} * least(common_u, common_v) >= {percent} * (size_u + size_v)") & (agree >= int(AGREE * bands * rows)))
-        more = cut(verified(across.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), texts, k, percent), "more-links")
-        if not more.isEmpty():
-            roots = cut(components(links.unionByName(more)), "roots")
-    by_rep = reps.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+        linked(_hub_pairs(open_))
+        before, open_ = open_, _open(shared, roots)
+        release(before)
+    open_ = open_.withColumn("off", F.lit(None).cast("long"))
+    left_over, level = [], 0
+    while not open_.isEmpty():
+        sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("rep", F.struct("central", -F.col("rep"))).alias("hub")), "key")
+        pairs = _across(sized.filter(F.col("n") <= small), reps, percent, bands * rows)
+        group = F.col("key" if level else "hub").alias("group")  # buckets of one passage or family share their hub at first
+        large = cut(sized.filter(F.col("n") > small).select("rep", group, "central").distinct(), "large-buckets")
+        left_over += [open_, large]
+        if large.isEmpty():
+            linked(pairs)
+            break
+        apart = set_apart(large.select("rep", "group"), texts, k)
+        nearest = apart.groupBy("group").agg(F.min_by("rep", F.struct("off", "rep")).alias("hub"))
+        linked(pairs.unionByName(_ordered(apart.join(nearest, "group"))).distinct())
+        finer = apart.select("rep", "group", "off", F.explode("keys").alias("key")).join(large, ["rep", "group"])
+        finer = finer.select(F.xxhash64("group", "key").alias("key"), "rep", "central", "off")
+        again_met = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        finer = cut(finer.join(again_met, "key", "left_semi"), "finer-buckets")
+        left_over += [apart, finer]
+        open_, level = _open(finer, roots), level + 1
+    by_rep = reps.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     placed_rows = sketch.select("doc_id", "n_shingles", "set_key").join(by_rep, "set_key", "left")
+    if not again.isEmpty():  # rows without shingles of an id that has some elsewhere, too
+        of_id = again.join(roots, F.col("rep") == F.col("node"), "left").groupBy(F.col("doc_id").alias("i")).agg(F.min(F.coalesce("root", "rep")).alias("of_id"))
+        placed_rows = placed_rows.join(of_id, F.col("doc_id") == F.col("i"), "left").withColumn("component", F.coalesce("component", "of_id"))
     component = F.coalesce("component", "doc_id")
-    return placed_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    out = placed_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    out = cut(out, "near-duplicates")
+    release(sketch, reps, first, texts, shared, again, links, roots, open_, *left_over, *([tried] if tried is not None else []))
+    return out
 
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each component, the smallest id, with all their columns."""
-    kept = near_duplicates(docs, k, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    (other,) = fresh(docs, "other_id")
+    gone = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(other), "left_anti")  # a null id is never among them

@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-A rotation is learned from a bounded sample (iterative quantisation: codes and an orthogonal Procrustes step in turn); a
-vector's code is the sign pattern of its centred, rotated components. Codes are split into SUBSTRINGS; every block of the
-index keeps, for each substring, its rows sorted by substring value. By the pigeonhole principle a code within radius r
-of the query is within r // SUBSTRINGS in some substring, so probing all substring values at that distance retrieves
-every code within r; those are checked in full and reranked by the distance of the original vectors in double precision.
-The radius is the one that takes in COVERAGE of the true neighbours of a bounded set of sample queries within the sample,
-and widened for a query that finds fewer than k.
-
-Scale: equal vectors are one index row that keeps its smallest ids (as many as an answer can hold, so nothing is lost).
-Index and queries are dealt into blocks of fixed size; a block of queries meets a block of the index in one task, which
-returns its best per query; the final top-k reads at most k rows per query and index block. Model and radius are the only
-things broadcast, and have a fixed size.
+Rotations are learned from a bounded sample (iterative quantisation: codes and an orthogonal Procrustes step in turn); a
+vector's code is the sign pattern of its centred, rotated components. Codes are split into substrings, each of which is an
+index of its own: index rows and queries meet by an equi-join on (substring, value), where a query probes all values within
+`flips` bits of its own. By the pigeonhole principle that retrieves every code within substrings * (flips + 1) - 1 bits of
+the query's. Pairs are then checked by the distance of their signatures, the first SIGNATURE bits of both codes, and reranked
+by the distance of the original vectors in double precision.
+
+Length, number and flips of the substrings and the signatures' radius come from the sample: of the choices that retrieve
+COVERAGE of the sample's own neighbours, the one that costs least at the table's size, counting index rows, probes and pairs
+that meet. A sample is thinner than the table and so its neighbours are farther away: the table's are found more surely.
+Vectors without structure need many substrings, and short ones; the longer the table, the longer the substrings that pay.
+
+Scale: equal vectors are one index row that keeps its smallest ids (as many as an answer can hold, so nothing is lost), and
+equal queries are one query. The join is a sort-merge join of two exchanges, which AQE splits where a value is hot. A query
+that finds fewer than k is searched exactly, in blocks of queries against blocks of rows of fixed size. Rotations, which
+have a fixed size, are the only things broadcast.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components or differ in length from the most
 common length take no part, neither as query nor as candidate; null ids take no part; ties go to the smaller id; repeated
@@ -21,16 +25,34 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, release
+
 SAMPLE, SAMPLE_QUERIES, SEED = 8192, 256, 11
-SUBSTRINGS, COVERAGE, ROUNDS = 8, 0.98, 30
+BITS, SIGNATURE, LENGTHS, FLIPS, COVERAGE, ROUNDS = 1024, 512, (8, 10, 12, 14, 16, 20, 24, 32), 1, 0.96, 20
+COST_INDEX, COST_PROBE, COST_PAIR = 1.0, 1.0, 0.2
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 512
 
 
+@dataclass(frozen=True)
+class Model:
+    mean: np.ndarray
+    rotations: np.ndarray  # dimensions x bits
+    length: int  # of a substring
+    substrings: int
+    flips: int
+    radius: int  # of signatures
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, v: rows that take part, each once."""
     v = F.col(vec_col).cast("array<double>")
@@ -38,92 +60,143 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0)).filter(fine)
 
 
-def learn(sample: np.ndarray, k: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, int]:
-    """mean, rotation, radius."""
+def rotation(x: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """An orthogonal map whose signs quantise x well."""
+    out, _ = np.linalg.qr(draw.normal(size=(x.shape[1], x.shape[1])))
+    for _ in range(ROUNDS):
+        u, _, vt = np.linalg.svd(np.where(x @ out >= 0, 1.0, -1.0).T @ x)
+        out = (u @ vt).T
+    return out
+
+
+def ball(length: int, flips: int) -> int:
+    return sum(math.comb(length, i) for i in range(flips + 1))
+
+
+def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float = COVERAGE, seed: int = SEED) -> Model:
+    """A model for a table of n rows and n_queries queries."""
     draw = np.random.default_rng(seed)
     mean = sample.mean(0)
     x = sample - mean
-    rotation, _ = np.linalg.qr(draw.normal(size=(x.shape[1], x.shape[1])))
-    for _ in range(ROUNDS):
-        u, _, vt = np.linalg.svd(np.where(x @ rotation >= 0, 1.0, -1.0).T @ x)
-        rotation = (u @ vt).T
-    bits = x @ rotation >= 0
-    far = []
+    few = x[: max(1024, 4 * x.shape[1])]
+    rotations = np.hstack([rotation(few, draw) for _ in range(-(-BITS // x.shape[1]))])[:, :BITS]
+    bits = x @ rotations >= 0
+    mine, near = [], []
     for i in range(min(SAMPLE_QUERIES, len(x))):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
-        near = np.argpartition(d, min(k, len(d) - 1))[:k]
-        far += (bits[near[np.isfinite(d[near])]] != bits[i]).sum(1).tolist()
-    return mean, rotation, int(np.ceil(np.quantile(far, COVERAGE))) if far else x.shape[1]
-
-
-def codes(v: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Packed bits, SUBSTRINGS columns of unsigned integers of equal bit width (the last may be narrower)."""
-    bits = ((v - mean) @ rotation >= 0).astype(np.int64)
-    width = -(-bits.shape[1] // SUBSTRINGS)
-    padded = np.pad(bits, ((0, 0), (0, width * SUBSTRINGS - bits.shape[1])))
-    return (padded.reshape(len(bits), SUBSTRINGS, width) << np.arange(width)).sum(2)
-
-
-class Block:
-    """One block of the index: for every substring, rows sorted by its value."""
+        best = np.argpartition(d, min(k, len(d) - 1))[:k]
+        best = best[np.isfinite(d[best])]
+        mine += [i] * len(best)
+        near += best.tolist()
+    if not near:
+        return Model(mean, rotations, LENGTHS[0], 1, 0, BITS)
+    apart = bits[mine] != bits[near]
+    others = bits[draw.integers(0, len(x), 4096)] != bits[draw.integers(0, len(x), 4096)]
+    options = []
+    for length in LENGTHS:
+        most = BITS // length
+        away, away_others = (b[:, : most * length].reshape(len(b), most, length).sum(2) for b in (apart, others))
+        for flips in range(min(FLIPS, length - 1) + 1):
+            found = np.logical_or.accumulate(away <= flips, 1).mean(0)
+            enough = int(np.argmax(found >= coverage)) + 1 if found[-1] >= coverage else most
+            meet = (away_others[:, :enough] <= flips).sum(1).mean()
+            cost = COST_INDEX * n * enough + COST_PROBE * n_queries * enough * ball(length, flips) + COST_PAIR * n_queries * n * meet
+            options.append((found[enough - 1] < coverage, cost if found[-1] >= coverage else -found[-1], length, enough, flips))
+    _, _, length, substrings, flips = min(options)
+    return Model(mean, rotations, length, substrings, flips, int(np.ceil(np.quantile(apart[:, :SIGNATURE].sum(1), 0.98))))
+
+
+def coded(vectors: DataFrame, model: Model) -> DataFrame:
+    """lead, sig (longs), subs: the values of the substrings. vectors: lead, v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(model.length, dtype=np.int64)
+        used = model.length * model.substrings
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            bits = (v - model.mean) @ model.rotations >= 0
+            sig = np.packbits(bits[:, :SIGNATURE], axis=1, bitorder="little").view(np.int64)
+            subs = (bits[:, :used].reshape(len(v), model.substrings, model.length) * weights).sum(2)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (sig, subs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["lead", "sig", "subs"])
+
+    return vectors.select("lead", "v").mapInArrow(run, "lead long, sig array<long>, subs array<long>")
+
+
+def flip_masks(length: int, flips: int) -> list[int]:
+    out = {0}
+    for _ in range(flips):
+        out |= {m | 1 << i for m in out for i in range(length)}
+    return sorted(out)
+
+
+def candidates(codes: DataFrame, asked: DataFrame, model: Model) -> DataFrame:
+    """query, lead: pairs that meet in a substring and have near signatures. asked: lead of every query."""
+    place = lambda j, value: F.col(j).cast("long") * (1 << model.length) + value
+    index = codes.select("lead", "sig", F.posexplode("subs").alias("j", "value")).select("lead", "sig", place("j", F.col("value")).alias("key"))
+    probes = codes.join(asked, "lead", "left_semi").select(F.col("lead").alias("query"), F.col("sig").alias("query_sig"), F.posexplode("subs").alias("j", "value"))
+    masks = F.array(*[F.lit(m).cast("long") for m in flip_masks(model.length, model.flips)])
+    probes = probes.select("query", "query_sig", "j", "value", F.explode(masks).alias("mask")).select("query", "query_sig", place("j", F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
+    words = range(min(BITS, SIGNATURE) // 64)
+    off = sum((F.bit_count(F.get("sig", i).bitwiseXOR(F.get("query_sig", i))) for i in words[1:]), F.bit_count(F.get("sig", 0).bitwiseXOR(F.get("query_sig", 0))))
+    return probes.join(index, "key").filter(off <= model.radius).select("query", "lead").distinct()
+
+
+def _exactly(distinct: DataFrame, asked: DataFrame, k: int, index_block: int, query_block: int) -> DataFrame:
+    """query, id, score: the k nearest of each query in each block of rows. asked: lead of every query."""
+    n, n_queries = distinct.count(), asked.count()
+    blocks, query_blocks = max(1, -(-n // index_block)), max(1, -(-n_queries // query_block))
+    spread = lambda parts: F.pmod(F.xxhash64("lead"), F.lit(parts)).cast("int")
+    index = distinct.select("v", "ids", spread(blocks).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    queries = distinct.join(asked, "lead", "left_semi").select(F.col("lead").alias("query"), "v", spread(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
 
-    def __init__(self, code: np.ndarray):
-        self.code = code
-        self.order = [np.argsort(code[:, s], kind="stable") for s in range(SUBSTRINGS)]
-        self.values = [np.unique(code[o, s], return_index=True) for s, o in enumerate(self.order)]
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            v, ids = np.array(right["v"].tolist()), right["ids"].tolist()
+            for q, qv in zip(left["query"], np.array(left["v"].tolist()), strict=True):
+                d = np.sqrt(((v - qv) ** 2).sum(1))
+                near = np.flatnonzero(d <= np.sort(d)[min(len(d), k) - 1])
+                out += [(q, i, x) for x, i in sorted((d[row], i) for row in near for i in ids[row])[:k]]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within radius: every probe of every substring, each row then checked in full."""
-        hit = np.zeros(len(self.code), bool)
-        for s in range(SUBSTRINGS):
-            values, starts = self.values[s]
-            ends = np.append(starts[1:], len(self.code))
-            for i in np.flatnonzero(np.bitwise_count(values ^ code[s]) <= radius // SUBSTRINGS):
-                hit[self.order[s][starts[i] : ends[i]]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.code[rows] ^ code).sum(1) <= radius]
+    return queries.groupBy("ib", "qb").cogroup(index.groupBy("ib", "qb")).applyInPandas(best, "query long, id long, score double")
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, coverage: float = COVERAGE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose id is divisible by `every`."""
     rows = usable(vectors, id_col, vec_col)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, vec_id long, score double"
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == lengths.d)
-    taken = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id", "v").limit(SAMPLE).collect()
-    mean, rotation, radius = learn(np.array([r.v for r in taken]), k)
-    distinct = _smallest(rows, k + 1)
-    n, n_queries = distinct.count(), rows.filter(F.col("id") % every == 0).count()
-    blocks, query_blocks = max(1, -(-n // index_block)), max(1, -(-n_queries // query_block))
-    spread = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    index = distinct.select(F.col("lead").alias("id"), "v", "ids").select("v", "ids", spread(blocks).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    queries = rows.filter(F.col("id") % every == 0).distinct().select("id", "v", spread(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            v = np.array(right["v"].tolist())
-            block, ids = Block(codes(v, mean, rotation)), right["ids"].tolist()
-            for q, qv, qc in zip(left["id"], np.array(left["v"].tolist()), codes(np.array(left["v"].tolist()), mean, rotation), strict=True):
-                r = radius
-                while True:
-                    near = block.within(qc, r)
-                    if sum(len(ids[i]) for i in near[: k + 1]) > k or len(near) == len(v):
-                        break
-                    r = 2 * r + SUBSTRINGS
-                d = np.sqrt(((v[near] - qv) ** 2).sum(1))
-                cut = np.sort(d)[min(len(d), k + 1) - 1] if len(d) else 0.0
-                found = sorted((x, i) for row, x in zip(near[d <= cut], d[d <= cut], strict=True) for i in ids[row] if i != q)[:k]
-                out += [(q, i, x) for x, i in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("ib", "qb").cogroup(index.groupBy("ib", "qb")).applyInPandas(best, schema)
-    nearest = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return nearest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    distinct = cut(_smallest(rows, k + 1), "vectors")
+    queries = cut(rows.filter(F.col("id") % every == 0).distinct().join(distinct.select("v", "lead"), "v").select(F.col("id").alias("query_id"), F.col("lead").alias("query")), "query-vectors")
+    n, n_queries = distinct.count(), queries.count()
+    share = min(1.0, 2 * SAMPLE / n)  # only rows with low hashes are sorted, so that no task gets more at any size
+    low = distinct.withColumn("h", F.xxhash64(F.lit(SEED), "lead")).filter((F.shiftrightunsigned("h", 12) <= int(share * (1 << 52))))
+    sample = np.array([r.v for r in low.orderBy("h", "lead").limit(SAMPLE).select("v").collect()])
+    model = learn(sample, k, n, n_queries, coverage)
+    asked = queries.select(F.col("query").alias("lead")).distinct()
+    codes = cut(coded(distinct, model), "vector-codes")
+    pairs = candidates(codes, asked, model)
+    met = pairs.join(distinct.select(F.col("lead").alias("query"), F.col("v").alias("qv")), "query").join(distinct, "lead")
+    score = F.sqrt(F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    found = met.select("query", score.alias("score"), F.explode("ids").alias("id"))
+    order = Window.partitionBy("query").orderBy("score", "id")
+    nearest = cut(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1), "nearest")
+    few = asked.withColumnRenamed("lead", "query").join(nearest.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").filter(F.coalesce("n", F.lit(0)) <= k).select(F.col("query").alias("lead"))
+    few = cut(few, "queries-with-few")
+    if not few.isEmpty():
+        more = _exactly(distinct, few, k + 1, index_block, query_block)
+        rest = nearest.join(few.withColumnRenamed("lead", "query"), "query", "left_anti").select("query", "id", "score")
+        nearest = rest.unionByName(more)
+    mine = queries.join(nearest.select("query", "id", "score"), "query").filter("id != query_id")
+    last = Window.partitionBy("query_id").orderBy("score", "id")
+    out = mine.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    release(codes)
+    return out
 
 
 def _smallest(rows: DataFrame, most: int) -> DataFrame:

@@ -8,12 +8,13 @@ order; all binaries are little-endian:
     n_tokens long             tokens of the shard
     doc_ids array<long>, doc_ends array<long>   documents, and where each one's tokens end in the shard
     rules binary int32[r, 2]  nonterminal VOCAB + i stands for this pair
-    lengths binary int64[r]   how many tokens nonterminal VOCAB + i expands to
+    lengths binary int32[r]   how many tokens nonterminal VOCAB + i expands to
     symbols binary int32[m]   the shard
 
-Re-Pair works in rounds: in each, the most frequent pairs of adjacent symbols (at least LEAST times in the shard) get
-nonterminals and are replaced from left to right, until no pair is left or after ROUNDS rounds. Expansion lengths give
-each symbol's first token, so a range of tokens is decoded from the symbols that cover it and no others.
+Re-Pair works in rounds until no pair of adjacent symbols has LEAST places in the shard that no more frequent pair takes;
+a rule takes the room of LEAST - 1 symbols. In each round the most frequent pairs, those at least a sixteenth as frequent as the first, get nonterminals
+and are replaced from left to right. Expansion lengths give each symbol's first token, so a range of tokens is decoded from
+the symbols that cover it and no others.
 
 Scale: one range shuffle by id; shards hold at least one document and else at most SHARD tokens, so memory is bounded by
 the longest document. Starts are partition totals (one number a task, on the driver) plus counts kept in the files.
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 VOCAB, END = 50_257, 0
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 8192, 16
+SHARD, LEAST = 1 << 20, 4
 SCHEMA = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_ends array<long>, rules binary, lengths binary, symbols binary"
 #: The tokenizer's pre-tokens never reach over a space that a visible character follows; cutting there changes no ids.
 _CUT = re.compile(r"(?<=.)(?= \S)", re.S)
-_BINS, _CACHE, _AT_ONCE = 20, 300_000, 1 << 20
+_BINS, _CACHE, _AT_ONCE = 20, 600_000, 1 << 20
 
 
 class Encoder:
@@ -72,28 +73,36 @@ class Encoder:
                 yield np.fromiter(chain(chain.from_iterable(map(known.__getitem__, pieces)), (END,)), np.int64)
 
 
-def repair(tokens: np.ndarray, vocab: int = VOCAB, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(tokens: np.ndarray, vocab: int = VOCAB, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, rules [r, 2], lengths [r]."""
     seq, rules, lengths = tokens.astype(np.uint64), [], np.ones(vocab, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        bin_ = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)
-        full = np.bincount(bin_.astype(np.int64), minlength=1 << _BINS) >= least  # a pair is never more frequent than its bin
-        spots = np.flatnonzero(full[bin_])
+        bin_ = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
+        spots = np.flatnonzero(np.bincount(bin_, minlength=1 << _BINS)[bin_] >= least)  # a pair is never more frequent than its bin
         found, counts = np.unique(key[spots], return_counts=True)
-        found, counts = found[counts >= least], counts[counts >= least]
+        often = counts >= max(least, counts.max(initial=0) // 16)
+        found = found[often]
         if not len(found):
             break
-        if len(found) > pairs:
-            found = np.sort(found[np.lexsort((found, -counts))[:pairs]])
         index = np.minimum(np.searchsorted(found, key[spots]), len(found) - 1)
         hit = found[index] == key[spots]
         spots, index = spots[hit], index[hit]
-        run = np.flatnonzero(np.diff(spots, prepend=-2) > 1)  # in a run of overlapping pairs, every other one
-        odd = (spots - np.repeat(spots[run], np.diff(run, append=len(spots)))) % 2 == 0
-        spots, index = spots[odd], index[odd]
+        # Of overlapping pairs the most frequent one goes first, by a hash among equals, so that copies are cut alike;
+        # in a run of one and the same pair, every other one.
+        weight = (counts[often][index] << 24) + ((found[index] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64)
+        close = np.diff(spots, prepend=-2) == 1
+        head = np.flatnonzero(~close | (np.diff(index, prepend=-1) != 0))
+        own, joined = weight[head], close[head]
+        before = np.where(joined, np.concatenate([[0], own[:-1]]), 0)
+        after = np.where(np.append(joined[1:], False), np.append(own[1:], 0), 0)
+        size = np.diff(head, append=len(spots))
+        taken = np.repeat((own >= before) & (own > after), size) & ((np.arange(len(spots)) - np.repeat(head, size)) % 2 == 0)
+        pays = np.bincount(index[taken], minlength=len(found)) >= least
+        if not pays.any():
+            break
+        taken &= pays[index]
+        spots, index, found = spots[taken], (np.cumsum(pays) - 1)[index[taken]], found[pays]
         new = len(lengths)
         left, right = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rules.append(np.stack([left, right], 1))
@@ -126,7 +135,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, shard: int = SHARD) -> Da
     def packed(part: int, number: int, start: int, ids: list, tokens: list) -> pa.RecordBatch:
         ends, flat = np.cumsum([len(t) for t in tokens]), np.concatenate(tokens)
         symbols, rules, lengths = repair(flat)
-        row = [part, number, start, len(flat), ids, ends.tolist(), rules.astype("<i4").tobytes(), lengths.astype("<i8").tobytes(), symbols.astype("<i4").tobytes()]
+        row = [part, number, start, len(flat), ids, ends.tolist(), rules.astype("<i4").tobytes(), lengths.astype("<i4").tobytes(), symbols.astype("<i4").tobytes()]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -157,7 +166,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rules, lengths = np.frombuffer(row["rules"], "<i4").reshape(-1, 2), np.frombuffer(row["lengths"], "<i8")
+                rules, lengths = np.frombuffer(row["rules"], "<i4").reshape(-1, 2), np.frombuffer(row["lengths"], "<i4").astype(np.int64)
                 flat = expand(np.frombuffer(row["symbols"], "<i4"), rules, lengths).astype("<u4")
                 ends = np.array(row["doc_ends"], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])

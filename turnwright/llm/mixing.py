@@ -5,14 +5,17 @@ time by target / current until every marginal fits, where no cell counts for mor
 fraction drawn is at most its share of the corpus. Documents are sampled with the probability weight * fraction / share,
 so the expected drawn tokens meet the targets, and a document is drawn if a hash of its id and the seed falls below it.
 The fraction is the asked one, or the largest at which each value by itself holds enough tokens for its target, if that
-is less. Where values have enough tokens but their cells don't, the marginals are as near as ROUNDS rounds get them.
+is less. Raking ends when every marginal is within TOLERANCE of its goal. Where values have enough tokens but their cells
+don't, that may never be; then it ends when a round changes no marginal by TOLERANCE, or after ROUNDS rounds, and a warning
+names how far off the marginals are.
 
 Targets: per dimension a mapping of value to weight, or a number a: the weights are then the corpus shares to the
 power a, so that a < 1 lifts rare values and damps a source that holds a third of all rows. Values that a mapping doesn't
 list, such as `unknown`, keep their share of the corpus; the listed ones share the rest by their weights.
 
 Scale: documents are reduced to cells by one grouped sum with map-side partial sums; raking works on cells only, each
-marginal again a grouped sum, cut to files after every round. The probabilities return to the documents by a broadcast
+marginal again a grouped sum, cut to files after every round; up to MAX_BROADCAST cells are one partition, so that a round
+is one task, and more are dealt out. The probabilities return to the documents by a broadcast
 if the cell count is under MAX_BROADCAST, else by a join that AQE can split. Only scalars reach the driver.
 
 Defined cases: null source or language is the value `unknown`; null or wordless text counts one token, so that its
@@ -22,13 +25,15 @@ dimension miss the corpus, that dimension is left as it is; an empty table gives
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release
 
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": 0.8}
-FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 12, 1e-6, 10_000
+FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 200, 1e-4, 10_000
 DIMS = ("source", "lang", "topic")
 #: The first topic whose pattern is found is a text's topic; `general` if none is.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "[\\w.+-]+@[\\w-]+\\.\\w|\\+?\\d[\\d ()-]{8,}\\d"), ("web", "(?i)https?://|www\\."), ("table", "\\|[^\\n|]*\\|"))
@@ -45,10 +50,11 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long")
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with __source, __lang, __topic and __tokens."""
+def with_cells(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """docs with __source, __lang, __topic and __tokens; the topic is the column named so, or else the first pattern found."""
     known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    return docs.withColumns({"__source": known("source"), "__lang": known("lang"), "__topic": topic_of(F.coalesce("text", F.lit(""))), "__tokens": token_count(F.col("text"))})
+    of_topic = known(topic) if topic else topic_of(F.coalesce("text", F.lit("")))
+    return docs.withColumns({"__source": known("source"), "__lang": known("lang"), "__topic": of_topic, "__tokens": token_count(F.col("text"))})
 
 
 def _targets(cells: DataFrame, dim: str, target: dict[str, float] | float) -> DataFrame:
@@ -67,6 +73,9 @@ def _targets(cells: DataFrame, dim: str, target: dict[str, float] | float) -> Da
 
 def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: raked shares. With a fraction also p, the part of each cell that is drawn: at most 1."""
+    together = cells.count() <= MAX_BROADCAST
+    held_together = lambda df: df.coalesce(1) if together else df
+    cells = held_together(cells)
     goals = {dim: cut(_targets(cells, dim, targets[dim]), f"goal-{dim}") for dim in DIMS if dim in targets}
     goals = {dim: goal for dim, goal in goals.items() if not goal.isEmpty()}
     total = cells.agg(F.sum("tokens")).first()[0] or 1
@@ -76,22 +85,27 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float
     most = F.lit(float("inf")) if fraction is None else share / F.lit(fraction)
     held, full = F.least("weight", most), F.col("weight") >= most
     now = cells.select(*DIMS, "tokens", share.alias("weight"))
-    last = None
-    for _ in range(rounds):
+    last, before = None, None
+    for _ in range(rounds if goals else 0):
         for dim, goal in goals.items():
             have = now.groupBy(F.col(dim).alias("value")).agg(F.sum(held).alias("have"), F.sum(F.when(full, most).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
             # A step for the cells below their most; where that is none or too much is held already, one for all cells.
             step = F.when((F.col("free") > 0) & (F.col("goal") > F.col("fixed")), (F.col("goal") - F.col("fixed")) / F.col("free"))
             step = step.when((F.col("have") > 0) & ((F.col("free") > 0) | (F.col("goal") < F.col("have"))), F.col("goal") / F.col("have")).when(F.col("have") > 0, 1.0).otherwise(0.0)
-            factor = have.join(goal, "value").select(F.col("value").alias(dim), step.alias("__f"), F.when(F.col("goal") > 0, F.abs(F.col("have") / F.col("goal") - 1)).alias(f"__off_{dim}"))
-            now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("__f")).drop("__f")
-        now = cut(now, "raked")
-        worst = now.agg(*[F.max(f"__off_{dim}").alias(dim) for dim in goals]).first() if goals else ()
+            factor = have.join(held_together(goal).hint("merge"), "value").select(F.col("value").alias(dim), step.alias("__f"), F.when(F.col("goal") > 0, F.abs(F.col("have") / F.col("goal") - 1)).alias(f"__off_{dim}"))
+            now = now.join(factor.hint("merge"), dim).withColumn("weight", F.col("weight") * F.col("__f")).drop("__f")
+        now = held_together(cut(now, "raked"))
+        off = [x or 0.0 for x in now.agg(*[F.max(f"__off_{dim}").alias(dim) for dim in goals]).first()]
         if last is not None:
             release(last)
         last, now = now, now.select(*DIMS, "tokens", "weight")
-        if max([x or 0.0 for x in worst], default=0.0) < tolerance:
+        if max(off) < tolerance:
+            break
+        if before is not None and max(abs(x - y) for x, y in zip(off, before, strict=True)) < tolerance / 100:
             break
+        before = off
+    if goals and max(off) >= tolerance:
+        warnings.warn(f"marginals are off by up to {dict(zip(goals, off, strict=True))} of their goals", stacklevel=2)
     now = now.withColumn("weight", held)
     return now if fraction is None else now.withColumn("p", F.least(F.lit(1.0), F.col("weight") * F.lit(fraction) / share))
 
@@ -101,9 +115,9 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null"))), 12) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, seed: int = SEED, id_col: str = "doc_id", topic: str | None = None) -> DataFrame:
     """docs with __source, __lang, __topic, __tokens, __p (probability) and __drawn."""
-    marked = with_cells(docs)
+    marked = with_cells(docs, topic)
     cells = cut(marked.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")), "cells")
     p = cut(rake(cells, targets, fraction=fraction), "cell-p")
     release(cells)
@@ -115,4 +129,8 @@ def mix(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION, se
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
     """The drawn rows of docs, with their columns."""
-    return mix(docs, **how).filter("__drawn").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [c.lower() for c in docs.columns]
+    plain = docs.toDF(*[c if c.lower() in ("doc_id", "text", "source", "lang", how.get("topic"), how.get("id_col")) else f"c{i}" for i, c in enumerate(docs.columns)])  # no other name of the user's meets one of ours
+    if len(set(names)) < len(names):
+        raise ValueError("columns that differ only in case")
+    return mix(plain, **how).filter("__drawn").select(*plain.columns).toDF(*docs.columns)

@@ -44,7 +44,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = table(spark, sf_dir, "documents"), sentencepiece_lattice.read_model(tokenizer_file("piece_bpe_32k.model"))
     back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model), model)
-    return back.select("doc_id", "n_chunks", F.size("ids").alias("n_ids"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), (F.xxhash64("__text") == F.col("h")).alias("round_trip"))
+    return back.select("doc_id", "n_chunks", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("__text") == F.col("h")).alias("round_trip"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +117,20 @@ def _license_sql() -> str:
 ORACLE_SQL["op5_license_scan"] = _license_sql()
 
 
+#: Steps of both walks in SQL, far more than the operator takes to stand still.
+_STEPS = 60
+
+
 def _url_sql() -> str:
     """Rules by row_number; every step of both walks as a table of its own."""
     rules = ", ".join(map(str, urls.RULES))
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda x: lower(f"coalesce(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '')")
     steps = ", ".join(
-        f"""s{i} as (select kind, node, sum(rank) as rank from (
+        f"""s{i} as materialized (select kind, node, sum(rank) as rank from (
               select r.kind, dst as node, rank * share * {urls.DAMPING} as rank from s{i - 1} r join edges e on r.kind = e.kind and r.node = e.src
               union all select kind, node, seed * {1 - urls.DAMPING} from seeds) group by kind, node)"""
-        for i in range(1, urls.STEPS + 1)
+        for i in range(1, _STEPS + 1)
     )
     return rf"""
         with q as (select page_id, html, {host("url")} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
@@ -142,7 +146,7 @@ def _url_sql() -> str:
              seed_n as (select case when verdict = 'allow' then 'trust' else 'distrust' end as kind, host as node, count(*) as n from judged where rule is not null group by all),
              seeds as (select kind, node, n / sum(n) over (partition by kind) as seed from seed_n),
              s0 as (select kind, node, seed as rank from seeds), {steps},
-             hosts as (select node, coalesce(sum(rank) filter (kind = 'trust'), 0) as trust, coalesce(sum(rank) filter (kind = 'distrust'), 0) as distrust from s{urls.STEPS} group by node)
+             hosts as (select node, coalesce(sum(rank) filter (kind = 'trust'), 0) as trust, coalesce(sum(rank) filter (kind = 'distrust'), 0) as distrust from s{_STEPS} group by node)
         select page_id, host, path, rule, coalesce(verdict, case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict
         from judged left join hosts on host = node"""
 

@@ -6,7 +6,8 @@ reversed edges spreads distrust from hosts whose pages they block. A host that h
 RATIO, is blocked.
 
 Scale: edges are distinct (source host, target host) pairs with counts, so a hot host is as many rows as it has
-neighbours; each step is one join and one grouped sum with map-side partial sums, cut to files every few steps. The
+neighbours; each step is one join and one grouped sum with map-side partial sums, cut to files every few steps until the
+ranks stand still to TOLERANCE (one number to the driver each time). The
 verdict returns to the pages by a join on host whose two sides are exchanges, which AQE can split. The rule list is a
 parameter of at most MAX_RULES entries and is checked; it travels inside the plan.
 
@@ -24,7 +25,7 @@ from .common import ascii_lower, cut, release
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 MAX_RULES = 1000
-DAMPING, STEPS, CUT_EVERY, RATIO = 0.85, 12, 4, 1.0
+DAMPING, TOLERANCE, CUT_EVERY, RATIO = 0.85, 1e-3, 4, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -55,23 +56,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFrame:
-    """node, kind, rank after `steps` of personalised PageRank. edges: kind, src, dst, share; seeds: kind, node, seed."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """node, kind, rank of personalised PageRank. edges: kind, src, dst, share; seeds: kind, node, seed.
+
+    It ends when a step moves less than `tolerance` in all, summed over the hosts of a kind; since a step moves at most
+    DAMPING times what the one before it moved, ranks are then within tolerance * DAMPING / (1 - DAMPING) of their limits.
+    """
     rank = seeds.select("kind", "node", F.col("seed").alias("rank"))
+    base = seeds.select("kind", "node", (F.col("seed") * (1 - DAMPING)).alias("rank"), F.lit(0.0).alias("was"))
     last = None
-    for step in range(1, steps + 1):
-        moved = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["node"] == edges["src"])).select(rank["kind"], F.col("dst").alias("node"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        base = seeds.select("kind", "node", (F.col("seed") * (1 - DAMPING)).alias("rank"))
-        rank = moved.unionByName(base).groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
-        if step % CUT_EVERY == 0 and step < steps:
-            rank, old = cut(rank, "page-rank"), last
-            if old is not None:
-                release(old)
-            last = rank
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = RATIO, steps: int = STEPS) -> DataFrame:
+    while True:
+        for _ in range(CUT_EVERY):
+            moved = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["node"] == edges["src"])).select(rank["kind"], F.col("dst").alias("node"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"), F.lit(0.0).alias("was"))
+            before = rank.select("kind", "node", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+            rank = moved.unionByName(base).unionByName(before).groupBy("kind", "node").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+        rank = cut(rank, "page-rank")
+        if last is not None:
+            release(last)
+        last = rank
+        off = rank.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("off")).agg(F.max("off")).first()[0]
+        if (off or 0.0) < tolerance:
+            return rank.select("kind", "node", "rank")
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = RATIO, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per input row."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = parts.withColumn("by", rule_for(F.col("host"), F.col("path"), rules))
@@ -82,7 +90,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rati
     seed_rows = ruled.filter("by is not null").groupBy(F.when(F.col("by.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), F.col("host").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     totals = seed_rows.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = cut(seed_rows.join(F.broadcast(totals), "kind").select("kind", "node", (F.col("n") / F.col("all")).alias("seed")), "host-seeds")
-    rank = propagate(edges, seeds, steps)
+    rank = propagate(edges, seeds, tolerance)
     by_host = rank.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     joined = ruled.drop("html").join(by_host, ruled["host"] == by_host["node"], "left")
     spread = F.when(F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")

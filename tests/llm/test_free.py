@@ -50,6 +50,39 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(table.limit(0), k).count() == 0
 
 
+def test_near_duplicates_take_large_buckets_apart(spark):
+    # A base, its copies, copies of far copies, and texts that share a passage: buckets of many members and components.
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    base = [draw.choice(words) for _ in range(150)]
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[draw.randrange(len(text))] = draw.choice(words)
+        return text
+
+    far = [edited(base, 30) for _ in range(4)]
+    texts = [edited(base, draw.randrange(30)) for _ in range(60)] + [edited(draw.choice(far), draw.randrange(6)) for _ in range(40)]
+    texts += [base[:90] + [draw.choice(words) for _ in range(60)] for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 2)
+    assert 10 < len(set(want.values())) < 120
+    for small in (64, 6):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table, 2, small=small).collect()}
+        assert got == want, small
+
+
+def test_near_duplicates_join_rows_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (7, b), (8, c), (9, ""), (9, c), (10, None)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 2, False), (8, 8, True), (9, 8, False), (9, 8, False), (10, 10, True)]
+    kept = minhash.keep_representatives(spark.createDataFrame([*rows, (None, a)], "doc_id long, text string").withColumn("other_id", F.lit(1)), 2)
+    assert sorted(kept.select("doc_id").toPandas().doc_id.fillna(-1)) == [-1, 2, 8, 10] and kept.columns == ["doc_id", "text", "other_id"]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 40), (41, 50)], "u long, v long")
     got = {r.node: r.root for r in minhash.components(edges).collect()}
@@ -59,12 +92,22 @@ def test_components_of_a_path(spark):
 def test_repair_round_trip():
     draw = np.random.default_rng(0)
     for flat in (draw.integers(0, 5, 5000), np.zeros(1000, np.int64), np.array([7]), np.array([], np.int64), np.tile([1, 2, 3], 500)):
-        symbols, rules, lengths = tokens.repair(flat, least=4)
+        symbols, rules, lengths = tokens.repair(flat)
         assert (tokens.expand(symbols, rules, lengths) == flat).all()
         for a, b in ((0, 1), (3, 17), (len(flat) // 2, len(flat))):
             assert (tokens.expand(symbols, rules, lengths, a, b) == flat[a:b]).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    draw = np.random.default_rng(1)
+    flat = np.concatenate([draw.integers(0, 400, 3000), np.tile(draw.integers(0, 400, 700), 12), draw.integers(0, 40, 3000)])
+    symbols, rules, lengths = tokens.repair(flat)
+    counts = np.unique(np.stack([symbols[:-1], symbols[1:]], 1), axis=0, return_counts=True)[1]
+    assert counts.max() < 2 * tokens.LEAST and lengths.max() >= 200
+    uses = np.bincount(np.concatenate([symbols, rules.ravel()]), minlength=tokens.VOCAB + len(rules))[tokens.VOCAB :]
+    assert (uses > 0).all() and 4 * len(symbols) + 12 * len(rules) < 0.6 * 4 * len(flat)
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -130,18 +173,54 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
-def test_pieces_equal_the_library(spark):
+def best_pieces(text, model):
+    """An independent Viterbi over the whole text."""
+    score = {p: (i, s) for p, i, s in model.pieces}
+    unknown = min(s for _, _, s in model.pieces) - 10
+    w, ways = "\u2581" + text.replace(" ", "\u2581"), [(0.0, 0, 0)]
+    for e in range(1, len(w) + 1):
+        best = None
+        for s in range(max(0, e - model.longest), e):
+            edge = score.get(w[s:e]) or ((-1, unknown) if e == s + 1 else None)
+            if edge and (best is None or ways[s][0] + edge[1] > best[0]):
+                best = (ways[s][0] + edge[1], s, edge[0])
+        ways.append(best)
+    out, e = [], len(w)
+    while text and e:
+        _, s, i = ways[e]
+        out.append([i] if i >= 0 else [x + model.bytes_at for x in w[s:e].encode()])
+        e = s
+    return [i for x in reversed(out) for i in x]
+
+
+PIECE_TEXTS = ["Hello world, this is 12345 text.", "", None, " two  spaces ", " " * 40 + "x", "日本語 😀 naïve ² အ执", "a" * 200, "x" * 70 + " " * 50 + "::;;" * 30, "ß" * 130 + "é", "line\nbreak\t tab", "same", "same"]
+
+
+@pytest.mark.parametrize("fold", ["viterbi", "merges"])
+def test_pieces_equal_the_library(spark, fold):
+    """Viterbi ids are those of the library with the file read as a unigram model, merge order's those of the file as it is."""
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    library, model = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_lattice.read_model(path)
-    texts = ["Hello world, this is 12345 text.", "", None, " two  spaces ", " " * 40 + "x", "日本語 😀 naïve ²", "a" * 200, "x" * 70 + " " * 50 + "::;;" * 30, "line\nbreak\t tab", "same", "same"]
-    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1)], "doc_id long, text string, ids int")
-    for hot in (0, 5, 1000):
-        got = {r.doc_id: r for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(table, model, hot_size=hot), model).collect()}
-        for i, text in [*enumerate(texts), (None, "no id")]:
+    raw, model = open(path, "rb").read(), sentencepiece_lattice.read_model(path)
+    kind = raw.index(b"\x18\x02", raw.index(b"/mnt/test/datasets"))  # the trainer's model_type, 2 for BPE
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw if fold == "merges" else raw[:kind] + b"\x18\x01" + raw[kind + 2 :])
+    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PIECE_TEXTS)] + [(None, "no id", 1)], "doc_id long, text string, ids int")
+    for pack, hot in ((3, 5), (100_000, 0), (10, 1000)):
+        got = {r.doc_id: r for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(table, model, pack, hot, fold), model).collect()}
+        assert len(got) == len(PIECE_TEXTS) + 1
+        for i, text in [*enumerate(PIECE_TEXTS), (None, "no id")]:
             assert list(got[i].ids) == library.encode(text or "") and got[i]["__text"] == (text or "")
-    assert sentencepiece_lattice.encode(table.limit(0), model).count() == 0
+            assert fold == "merges" or list(got[i].ids) == best_pieces(text or "", model)
+    assert sentencepiece_lattice.encode(table.limit(0), model, fold=fold).count() == 0
+
+
+def test_pieces_of_very_long_chunks(spark):
+    model, draw = sentencepiece_lattice.read_model(public_tokenizers.path("piece_bpe_32k.model")), random.Random(3)
+    texts = [" " * 10_000, "".join(draw.choice("abcdefgh") for _ in range(100_000)), "".join(draw.choice(["a" * 50, " " * 300, ".;" * 99, "é日" * 33]) for _ in range(300)), "word " * 20_000]
+    got = {r.doc_id: r for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model), model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["__text"] == text and list(got[i].ids) == best_pieces(text, model)
 
 
 def test_viterbi_is_the_best_path(spark):
@@ -158,7 +237,7 @@ def test_viterbi_is_the_best_path(spark):
     draw = random.Random(4)
     words = sorted({"".join(draw.choice("ab") for _ in range(draw.randrange(1, 12))) for _ in range(60)})
     by_id = {i: s for _, i, s in pieces}
-    for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect():
+    for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), model).collect():
         assert sum(by_id[i] for i in r.ids) == pytest.approx(best(r.word))
 
 

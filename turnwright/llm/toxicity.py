@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import bounded_batches, cut, release
 
 SAMPLE, FEATURES, REJECT, SEED = 20_000, 512, 0.5, 5
 LEAST_DOCUMENTS, LEAST_RATIO, L2, STEPS = 3, 2.0, 0.005, 400
@@ -144,6 +144,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with __severity and __grade (the most likely one); a table that has columns of these names loses those."""
     if model is None:
         return docs.withColumns({"__severity": F.lit(0.0), "__grade": F.lit(0)})
+    bounded_batches(docs.sparkSession)
     weight, thresholds = dict(zip(model.words, model.weights.tolist(), strict=True)), model.thresholds
 
     def above(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

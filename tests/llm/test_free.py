@@ -173,6 +173,21 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_recall_of_the_retrieval_on_vectors_without_structure():
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(4000, 64))
+    model = ann.learn(x, 10, len(x), 40)
+    bits = (x - model.mean) @ model.rotations >= 0
+    parts = bits[:, : model.length * model.substrings].reshape(len(x), model.substrings, model.length)
+    found = 0
+    for i in range(40):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        met = ((parts != parts[i]).sum(2) <= model.flips).any(1) & ((bits[:, : ann.SIGNATURE] != bits[i, : ann.SIGNATURE]).sum(1) <= model.radius)
+        found += met[np.argsort(d)[:10]].sum()
+    assert found >= 0.9 * 400 and model.flips <= 1
+
+
 def best_pieces(text, model):
     """An independent Viterbi over the whole text."""
     score = {p: (i, s) for p, i, s in model.pieces}

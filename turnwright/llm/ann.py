@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 SAMPLE, SAMPLE_QUERIES, SEED = 8192, 256, 11
-BITS, SIGNATURE, LENGTHS, FLIPS, COVERAGE, ROUNDS = 1024, 512, (8, 10, 12, 14, 16, 20, 24, 32), 1, 0.96, 20
+BITS, SIGNATURE, LENGTHS, FLIPS, COVERAGE, ROUNDS = 1024, 512, (8, 10, 12, 14, 16, 20, 24, 32), 1, 0.98, 20
 COST_INDEX, COST_PROBE, COST_PAIR = 1.0, 1.0, 0.2
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 512
 
@@ -104,7 +104,7 @@ def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float =
             cost = COST_INDEX * n * enough + COST_PROBE * n_queries * enough * ball(length, flips) + COST_PAIR * n_queries * n * meet
             options.append((found[enough - 1] < coverage, cost if found[-1] >= coverage else -found[-1], length, enough, flips))
     _, _, length, substrings, flips = min(options)
-    return Model(mean, rotations, length, substrings, flips, int(np.ceil(np.quantile(apart[:, :SIGNATURE].sum(1), 0.98))))
+    return Model(mean, rotations, length, substrings, flips, int(np.ceil(np.quantile(apart[:, :SIGNATURE].sum(1), 0.985))))
 
 
 def coded(vectors: DataFrame, model: Model) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": 0.8}
-FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 200, 1e-4, 10_000
+FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 200, 1e-3, 10_000
 DIMS = ("source", "lang", "topic")
 #: The first topic whose pattern is found is a text's topic; `general` if none is.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "[\\w.+-]+@[\\w-]+\\.\\w|\\+?\\d[\\d ()-]{8,}\\d"), ("web", "(?i)https?://|www\\."), ("table", "\\|[^\\n|]*\\|"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact, licenses, minhash, mixing, sentencepiece_lattice, tokens, toxicity, urls
+from . import ann, chat, exact, kmeans, licenses, merkle, metric_join, minhash, mixing, sentencepiece_lattice, tokens, toxicity, urls
 from .common import table
 
 
@@ -60,7 +60,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op4_nearest_vectors, op5_license_scan, op6_exact_dedup, op7_sentencepiece, op8_url_filter, op9_mixing, op10_chat_format)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_toxicity, op4_nearest_vectors, op5_license_scan, op6_exact_dedup, op7_sentencepiece, op8_url_filter, op9_mixing, op10_chat_format, op11_embedding_dedup, op12_centroid_clusters, op13_merkle_manifest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -152,3 +164,71 @@ def _url_sql() -> str:
 
 
 ORACLE_SQL["op8_url_filter"] = _url_sql()
+
+
+ORACLE_SQL["op11_embedding_dedup"] = """
+    with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+         f as (select * from e where vec_id is not null and len(v) > 0 and len(list_filter(v, lambda x: x != 0)) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
+         link as (select a.vec_id as u, b.vec_id as v from f a join f b on a.vec_id != b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.9),
+         reach(vec_id, seen) as (select vec_id, vec_id from e union select r.vec_id, link.v from reach r join link on r.seen = link.u),
+         n as (select u, count(*) as n from link group by u)
+    select vec_id, coalesce(any_value(n.n), 0) as n_links, min(seen) as component_id, min(seen) = vec_id as kept from reach left join n on u = vec_id group by vec_id"""
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every assignment and every replacement as a table of its own."""
+    squared = "list_sum(list_transform(list_zip(g.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select vec_id, any_value(g.x) as x, min(struct_pack(d := cast({squared} as bigint), j := c.j)) as near from g, c{i} c group by vec_id)")
+        if i < rounds:
+            steps.append(f"""s{i} as (select near.j as j, place, sum(x[place]) as s, count(*) as n from a{i}, range(1, 65) r(place) group by all),
+                c{i + 1} as materialized (select c.j, coalesce(any_value(m.x), any_value(c.x)) as x from c{i} c
+                    left join (select j, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as x from s{i} group by j) m on m.j = c.j group by c.j)""")
+    return f"""
+        with g as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings
+                   where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             c0 as (select cast(row_number() over (order by sha256('1:' || vec_id)) - 1 as int) as j, x from g order by sha256('1:' || vec_id) limit {k}),
+             {", ".join(steps)},
+             per as (select near.j as j, sum(near.d) as s from a{rounds} group by near.j)
+        select vec_id, near.j as cluster, near.d as distance, cast(s as bigint) as cluster_inertia, cast(sum(near.d) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+        from a{rounds} a join per on per.j = near.j join c{rounds} c on c.j = near.j"""
+
+
+ORACLE_SQL["op12_centroid_clusters"] = _cluster_sql()
+
+
+def _merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
+    """Levels of the trees one by one; a tree that has come down to one node stays as it is. Enough for 8 ** levels leaves of a group."""
+    enc = lambda x: f"coalesce(strlen(cast({x} as varchar)) || ':' || {x}, '-')"
+    leaf = lambda text: f"sha256({enc('doc_id')} || {enc('source')} || {enc('lang')} || {enc('n_chars')} || {enc(text)})"
+    tables, folds = [], []
+    for name, depth in (("t", levels), ("u", top_levels)):
+        for i in range(depth):
+            tables.append(f"{name}r{i} as materialized (select g, i // 8 as i, list(d order by i) as run, any_value(n) as n from {name}{i} group by g, i // 8)")
+            tables.append(f"{name}{i + 1} as (select g, i, case when n = 1 then run[1] else sha256(array_to_string(run, '')) end as d, (n + 7) // 8 as n from {name}r{i})")
+            at = f"(({'spot' if name == 't' else 'tree'} // {8**i}) % 8)"
+            join = f"join {name}r{i} r on r.g = {'f.tree' if name == 't' else '0'} and r.i = {'f.spot' if name == 't' else 'f.tree'} // {8 ** (i + 1)}"
+            last = "f0" if not folds else f"f{len(folds)}"
+            folds.append(f"""f{len(folds) + 1} as (select doc_id, tree, spot, leaf, case when n = 1 then cur else sha256(array_to_string(run[:{at}], '') || cur || array_to_string(run[{at} + 2:], '')) end as cur,
+                case when n = 1 then proof else proof || array_to_string(run[:{at}], '') || array_to_string(run[{at} + 2:], '') end as proof from {last} f {join})""")
+        if name == "t":
+            tables.append(f"u0 as materialized (select 0 as g, g as i, d, count(*) over () as n from t{levels})")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 of the id's digits, bit by bit
+    bits = "list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda h, b: "
+    step = "xor(h, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda y: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)[1]"
+    return f"""
+        with d as (select doc_id, lang, {leaf("text")} as leaf, case when xor({bits}{step}), 4294967295) % 3 = 0 then {leaf(lowered)} else {leaf("text")} end as start from documents),
+             k as (select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as spot, count(*) over (partition by lang) as n from d),
+             t0 as materialized (select tree as g, spot as i, leaf as d, n from k),
+             {", ".join(tables)},
+             f0 as (select doc_id, tree, spot, leaf, start as cur, '' as proof from k),
+             {", ".join(folds)}
+        select doc_id, leaf, t.d as subroot, u.d as root, sha256(proof) as proof_sha256, cur as folded_root, cur = u.d as verified
+        from f{levels + top_levels} f join t{levels} t on t.g = f.tree cross join u{top_levels} u"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = _merkle_sql()

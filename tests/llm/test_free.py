@@ -50,6 +50,62 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(table.limit(0), k).count() == 0
 
 
+def linked_through_near_texts(m, seed=1):
+    """A base, m texts that differ from it in one word, and for each of these one with 22 more words changed, which only links with it."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(50_000)}" for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(m):
+        spot = draw.randrange(1, 399)
+        near = list(base)
+        near[spot] = f"n{i}"
+        rows.append((1 + 2 * i, " ".join(near)))
+        spots, free = [spot], [x for x in range(1, 399) if x != spot]
+        draw.shuffle(free)
+        for x in free:
+            if len(spots) < 23 and all(abs(x - y) > 1 for y in spots):
+                spots.append(x)
+        for x in spots[1:]:
+            near[x] = f"f{i}_{x}"
+        rows.append((2 + 2 * i, " ".join(near)))
+    return rows
+
+
+def test_near_duplicates_keep_links_to_near_texts_in_large_buckets(spark):
+    rows = linked_through_near_texts(700)
+    sets = [minhash.shingles_of(t.encode(), 2) for _, t in rows[:3]]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) > 0.98 and share(sets[0], sets[2]) < 0.8 <= share(sets[1], sets[2])
+    rows += [(5000 + i, t) for i, (_, t) in enumerate(rows[:3])]  # classes equal to the base, the core of all, and to others
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 2).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
+def test_blocks_join_the_components_that_all_pairs_join(spark):
+    # Many blocks and slices: each pair across components is met in one of them.
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [draw.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(draw.randrange(14)):
+            text[draw.randrange(60)] = draw.choice(words)
+        rows.append((i, " ".join(text)))
+    want = brute_components(rows, 2)
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc_id long, raw binary")
+    members = spark.createDataFrame([(7, i, i) for i, _ in rows], "group long, rep long, root long")
+    sizes = spark.createDataFrame([(i, len(minhash.shingles_of(t.encode(), 2))) for i, t in rows], "rep long, size long")
+    pairs = [tuple(r) for r in minhash.blocked(members, sizes, texts, 2, 80, block=16, slice_=1500).collect()]
+    sets = {i: minhash.shingles_of(t.encode(), 2) for i, t in rows}
+    assert all(100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v]) for u, v in pairs)
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    assert root == want
+
+
 def test_near_duplicates_take_large_buckets_apart(spark):
     # A base, its copies, copies of far copies, and texts that share a passage: buckets of many members and components.
     draw = random.Random(7)

@@ -6,22 +6,21 @@ one class first; classes that rows of one id share are linked. In LIGHT rounds e
 the most central member (whose buckets hold most) of its largest bucket that still holds several components; pairs are
 verified on the shingles of their full texts and their links are contracted by alternating large-star and small-star.
 
-Then buckets that still hold several components are taken apart until none is left. In one of at most SMALL members, pairs
-across components are verified if at least AGREE of all minima agree. Larger ones are taken by groups: the shingles that
-most members of a group hold are its core, all members are verified with the one nearest to the core, and are dealt into new
-buckets by minima of what sets them off from the core, the shingles that only one of both holds. Members that link with each
-other but are not near the core have much of that in common, members that only resemble each other have little. What a
-bucket's members share is in its core the next time, so buckets shrink. A bucket of m members costs m * SMALL comparisons at
-most, of sketches, and only pairs that pass are verified.
+Buckets that still hold several components are then settled. In one of at most SMALL members, pairs across components are
+verified if at least AGREE of all minima agree. Larger ones, put together where they have the same central member, are joined
+in blocks on full sets: a block's members are indexed by what sets each off from the shingles that most of the block holds, so
+the intersection with every other member follows from few shingles, and each pair across components is decided. A block returns
+a pair only where it joins two components that no pair of the block joined before, so no bucket's pairs are written out. Members of a
+bucket's largest component pass by the blocks of the others and are not compared with each other.
 
 A link between different texts is lost only if the pair shares no bucket, (1 - 0.8 ** ROWS) ** BANDS or 3e-6 at similarity
-0.8 with the default parameters; if too few minima agree, 1e-7 there; or in buckets of over SMALL members if it shares none
-of the APART keys: (2 / 3) ** APART or 6e-5 where both are farther from the core than a link reaches, and more where one of
-them is near it and the other only just out of reach. A component loses a document only if all links between them are lost.
+0.8 with the default parameters, or, in a bucket of at most SMALL members, if too few minima agree, 1e-7 there. A component
+loses a document only if all links between them are lost.
 
 Scale: groupings take partial minima before the shuffle; joins are sort-merge joins that AQE splits where a key is hot.
-Verification reads a pair's two texts in a task of its own; the loop's state is cut to files in the shared folder every
-round, and files that no later round reads are deleted.
+Verification reads a pair's two texts in a task of its own; a block holds BLOCK members or ELEMENTS shingles, and what passes by
+it is dealt into slices, so a bucket of any size is spread over tasks. Work there grows with the members outside of the largest
+component times all members. State is cut to files in the shared folder, and files that no later step reads are deleted.
 
 Defined cases: words are runs of bytes outside \\x20 and \\x09-\\x0D after lower-casing A-Z; fewer words than k make
 one shingle; null, empty and blank texts have the empty set and are linked with nothing; rows that repeat an id are
@@ -43,7 +42,7 @@ from .common import cut, fresh, release
 
 BANDS, ROWS, SEED = 32, 5, 20240229
 LIGHT, AGREE = 1, 0.625
-SMALL, APART = 128, 24
+SMALL, BLOCK, ELEMENTS, SLICE = 128, 4096, 4 << 20, 32 << 20
 CHUNK = 4096
 _CACHE = 100_000
 
@@ -186,57 +185,137 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).filter("u != v").distinct()
 
 
-def set_apart(members: DataFrame, texts: DataFrame, k: int, keys: int = APART) -> DataFrame:
-    """rep, group, off, keys of members (rep, group), in a file: how many shingles only one of member and core holds, and their minima."""
+def _hashed(texts: DataFrame, k: int) -> DataFrame:
+    """rep, hs: the sorted hashes of a text's shingles."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(raw.as_py(), k, known).view(np.int64) for raw in batch.column(2)]
+            sets = [shingle_hashes(raw.as_py(), k, known).view(np.int64) for raw in batch.column(1)]
             ends = np.cumsum([0] + [len(x) for x in sets])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["rep", "group", "hs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], ["rep", "hs"])
+
+    return texts.select("rep", "raw").mapInArrow(run, "rep long, hs array<long>")
+
+
+class _Block:
+    """A block's members, indexed by what sets each off from the shingles that most of them hold."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.reps, self.roots, self.sets = percent, [], [], []
+        self.up: dict[int, int] = {}
+        self.owner: np.ndarray | None = None
+
+    def find(self, root: int) -> int:
+        while (up := self.up.get(root, root)) != root:
+            self.up[root] = self.up.get(up, up)
+            root = up
+        return root
+
+    def index(self) -> None:
+        held, n = np.unique(np.concatenate(self.sets), return_counts=True)
+        self.core = held[2 * n > len(self.sets)]
+        off = [np.setxor1d(x, self.core, True) for x in self.sets]
+        self.size, self.off = np.array([len(x) for x in self.sets]), np.array([len(x) for x in off])
+        element = np.concatenate(off)
+        order = np.argsort(element, kind="stable")
+        self.element, self.owner = element[order], np.repeat(np.arange(len(off)), self.off)[order]
+        self.roots = np.array(self.roots)
+
+    def links(self, other: np.ndarray) -> np.ndarray:
+        """Numbers of the members whose sets meet the threshold with this one."""
+        apart = np.setxor1d(other, self.core, True)
+        lo = np.searchsorted(self.element, apart, "left")
+        n = np.searchsorted(self.element, apart, "right") - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.off))
+        meet = (self.size + len(other) - (self.off + len(apart) - 2 * both)) // 2
+        return np.flatnonzero((meet > 0) & (100 * meet >= self.percent * (self.size + len(other) - meet)))
+
+    def joined(self, rep: int, root: int, other: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of this one with members, one for each component that it joins to its own."""
+        if self.owner is None:
+            self.index()
+        hits = self.links(other)
+        _, first = np.unique(self.roots[hits], return_index=True)
+        for i in hits[first].tolist():
+            mine, its = self.find(root), self.find(int(self.roots[i]))
+            if mine != its:
+                self.up[max(mine, its)] = min(mine, its)
+                yield rep, self.reps[i]
+
+    def inner(self) -> Iterator[tuple[int, int]]:
+        for rep, root, own in zip(list(self.reps), list(self.roots), self.sets, strict=True):
+            yield from self.joined(rep, int(root), own)
+
+
+def blocked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int, block: int = BLOCK, elements: int = ELEMENTS, slice_: int = SLICE) -> DataFrame:
+    """u, v: pairs of a group's members at the threshold that join all components which its pairs at the threshold join.
+
+    members: group, rep, root. sizes: rep, size. The largest component of a group is of no block.
+    """
+    sized = members.join(sizes, "rep")
+    by_root = sized.groupBy("group", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("e"))
+    stats = by_root.groupBy("group").agg(F.max(F.struct("m", "root", "e")).alias("most"), F.sum("m").alias("m"), F.sum("e").alias("e"))
+    up = lambda x, size: F.ceil(x / F.lit(size)).cast("int")
+    stats = stats.select("group", F.col("most.root").alias("largest"), F.greatest(F.lit(1), up(F.col("m") - F.col("most.m"), block), up(F.col("e") - F.col("most.e"), elements)).alias("nb"), F.greatest(F.lit(1), up(F.col("e"), slice_)).alias("ns"))
+    placed = sized.join(stats, "group").withColumn("own", F.when(F.col("root") != F.col("largest"), F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
+    spot = lambda b, s, role: F.struct(b.alias("block"), s.alias("slice"), role.cast("tinyint").alias("role"))
+    none = F.array().cast("array<struct<block:int,slice:int,role:tinyint>>")
+    at_home = F.when(F.col("own").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: spot(F.col("own"), s, F.when(s == 0, 0).otherwise(1)))).otherwise(none)
+    after = F.coalesce(F.col("own") + 1, F.lit(0))
+    passing = F.when(after < F.col("nb"), F.transform(F.sequence(after, F.col("nb") - 1), lambda b: spot(b, F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ns")).cast("int"), F.lit(2)))).otherwise(none)
+    spots = placed.select("group", "rep", "root", F.explode(F.concat(at_home, passing)).alias("spot")).select("group", "spot.*", "rep", "root")
+    sets = cut(_hashed(texts.withColumnRenamed("doc_id", "rep").join(members.select("rep").distinct(), "rep", "left_semi"), k), "group-sets")
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(SEED + 1)
-        a = draw.integers(0, 1 << 63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        b = draw.integers(0, 1 << 63, keys, dtype=np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, here, inner = None, None, False
         for batch in batches:
-            off, found = [], []
-            for own, core in zip(batch.column(2), batch.column(3), strict=True):
-                apart = np.setxor1d(own.values.to_numpy(), core.values.to_numpy() if core.is_valid else np.empty(0, np.int64), True).view(np.uint64)
-                off.append(len(apart))
-                key = (minima(apart, a, b) ^ np.arange(keys, dtype=np.uint64) << np.uint64(40)) if len(apart) else np.empty(0, np.uint64)
-                found.append(key.view(np.int64))
-            ends = np.cumsum([0] + [len(x) for x in found])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(off, pa.int64()), lists], ["rep", "group", "off", "keys"])
-
-    sides = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "group", "raw")
-    sides = cut(sides.mapInArrow(hashed, "rep long, group long, hs array<long>"), "group-sets")
-    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"))
-    counts = sides.select("group", F.explode("hs").alias("x")).groupBy("group", "x").agg(F.count(F.lit(1)).alias("n"))
-    core = counts.join(size, "group").filter("2 * n > m").groupBy("group").agg(F.collect_list("x").alias("core"))
-    out = cut(sides.join(core, "group", "left").select("rep", "group", "hs", "core").mapInArrow(dealt, "rep long, group long, off long, keys array<long>"), "set-apart")
-    release(sides)
+            u: list[tuple[int, int]] = []
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
+            role, rep, root = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for i, hs in enumerate(batch.column(6)):
+                if keys[i] != now:
+                    if inner:
+                        u += here.inner()
+                    now, here, inner = keys[i], _Block(percent), False
+                own = hs.values.to_numpy()
+                if role[i] < 2:
+                    here.reps.append(rep[i])
+                    here.roots.append(root[i])
+                    here.sets.append(own)
+                    inner |= role[i] == 0
+                elif here.reps:
+                    if inner:
+                        u += here.inner()
+                        inner = False
+                    u += here.joined(rep[i], root[i], own)
+            yield _pairs(u)
+        if inner:
+            yield _pairs(list(here.inner()))
+
+    dealt = spots.join(sets, "rep").select("group", "block", "slice", "role", "rep", "root", "hs")
+    found = dealt.repartition("group", "block", "slice").sortWithinPartitions("group", "block", "slice", "role").mapInArrow(run, "u long, v long")
+    out = cut(found.distinct(), "block-pairs")
+    release(sets)
     return out
 
 
-def _across(small: DataFrame, reps: DataFrame, percent: int, minima_: int) -> DataFrame:
-    """u, v: pairs of a bucket's members of different components whose minima, sizes and distances to the hub allow a link.
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], ["u", "v"])
 
-    small: key, rep, root, off (null where there is no hub).
-    """
-    sides = small.join(reps.select("rep", "low", "size"), "rep").select("key", "root", "off", F.col("rep").alias("r"), "low", "size")
-    left, right = (sides.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "off", "r", "low", "size")]) for x in ("u", "v"))
+
+def _across(small: DataFrame, reps: DataFrame, percent: int, minima_: int) -> DataFrame:
+    """u, v: pairs of a bucket's members of different components whose minima and sizes allow a link. small: key, rep, root."""
+    sides = small.join(reps.select("rep", "low", "size"), "rep").select("key", "root", F.col("rep").alias("r"), "low", "size")
+    left, right = (sides.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "r", "low", "size")]) for x in ("u", "v"))
     agree = F.aggregate(F.zip_with("low_u", "low_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     sizes = F.expr(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
-    near = F.expr(f"coalesce({100 + percent} * abs(off_u - off_v) <= {100 - percent} * (size_u + size_v), true)")
-    meet = left.join(right, "key").filter("root_u != root_v and r_u > r_v").filter(sizes & near & (agree >= int(AGREE * minima_)))
+    meet = left.join(right, "key").filter("root_u != root_v and r_u > r_v").filter(sizes & (agree >= int(AGREE * minima_)))
     return meet.select(F.col("r_u").alias("u"), F.col("r_v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(sketches(own, k, bands, rows), "sketches")
@@ -269,26 +348,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         linked(_hub_pairs(open_))
         before, open_ = open_, _open(shared, roots)
         release(before)
-    open_ = open_.withColumn("off", F.lit(None).cast("long"))
-    left_over, level = [], 0
-    while not open_.isEmpty():
-        sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("rep", F.struct("central", -F.col("rep"))).alias("hub")), "key")
+    left_over = []
+    if not open_.isEmpty():
+        sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("rep", F.struct("central", -F.col("rep"))).alias("group")), "key")
         pairs = _across(sized.filter(F.col("n") <= small), reps, percent, bands * rows)
-        group = F.col("key" if level else "hub").alias("group")  # buckets of one passage or family share their hub at first
-        large = cut(sized.filter(F.col("n") > small).select("rep", group, "central").distinct(), "large-buckets")
-        left_over += [open_, large]
-        if large.isEmpty():
-            linked(pairs)
-            break
-        apart = set_apart(large.select("rep", "group"), texts, k)
-        nearest = apart.groupBy("group").agg(F.min_by("rep", F.struct("off", "rep")).alias("hub"))
-        linked(pairs.unionByName(_ordered(apart.join(nearest, "group"))).distinct())
-        finer = apart.select("rep", "group", "off", F.explode("keys").alias("key")).join(large, ["rep", "group"])
-        finer = finer.select(F.xxhash64("group", "key").alias("key"), "rep", "central", "off")
-        again_met = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        finer = cut(finer.join(again_met, "key", "left_semi"), "finer-buckets")
-        left_over += [apart, finer]
-        open_, level = _open(finer, roots), level + 1
+        large = cut(sized.filter(F.col("n") > small).select("group", "rep", "root").distinct(), "large-buckets")
+        left_over = [large]
+        if not large.isEmpty():  # buckets of one passage or family share their most central member
+            met = blocked(large, reps.select("rep", "size"), texts, k, percent, block)
+            left_over.append(met)
+            pairs = pairs.unionByName(met).distinct()
+        linked(pairs)
     by_rep = reps.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     placed_rows = sketch.select("doc_id", "n_shingles", "set_key").join(by_rep, "set_key", "left")
     if not again.isEmpty():  # rows without shingles of an id that has some elsewhere, too

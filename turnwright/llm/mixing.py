@@ -13,9 +13,9 @@ Targets: per dimension a mapping of value to weight, or a number a: the weights
 power a, so that a < 1 lifts rare values and damps a source that holds a third of all rows. Values that a mapping doesn't
 list, such as `unknown`, keep their share of the corpus; the listed ones share the rest by their weights.
 
-Scale: documents are reduced to cells by one grouped sum with map-side partial sums; raking works on cells only, each
-marginal again a grouped sum, cut to files after every round; up to MAX_BROADCAST cells are one partition, so that a round
-is one task, and more are dealt out. The probabilities return to the documents by a broadcast
+Scale: documents are reduced to cells by one grouped sum with map-side partial sums; raking works on cells only. Up to
+MAX_BROADCAST cells are one row of arrays, on which higher-order functions run all rounds in one task of one job; with more,
+each marginal is a grouped sum, cut to files after every round. The probabilities return to the documents by a broadcast
 if the cell count is under MAX_BROADCAST, else by a join that AQE can split. Only scalars reach the driver.
 
 Defined cases: null source or language is the value `unknown`; null or wordless text counts one token, so that its
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": 0.8}
-FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 200, 1e-3, 10_000
+FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 2000, 1e-4, 10_000
 DIMS = ("source", "lang", "topic")
 #: The first topic whose pattern is found is a text's topic; `general` if none is.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "[\\w.+-]+@[\\w-]+\\.\\w|\\+?\\d[\\d ()-]{8,}\\d"), ("web", "(?i)https?://|www\\."), ("table", "\\|[^\\n|]*\\|"))
@@ -71,11 +71,75 @@ def _targets(cells: DataFrame, dim: str, target: dict[str, float] | float) -> Da
     return found.filter(F.lit((weights or 0.0) > 0)).select("value", goal.alias("goal"), share.alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None) -> DataFrame:
+def _step(have: Column, fixed: Column, free: Column, goal: Column) -> Column:
+    """What cells of a value are multiplied by: a step for the cells below their most; where that is none or too much is held already, one for all."""
+    step = F.when((free > 0) & (goal > fixed), (goal - fixed) / free)
+    return step.when((have > 0) & ((free > 0) | (goal < have)), goal / have).when(have > 0, 1.0).otherwise(0.0)
+
+
+def _off(have: Column, goal: Column) -> Column:
+    return F.when(goal > 0, F.abs(have / goal - 1))
+
+
+def _by_value(one: DataFrame, dim: str, places: Column) -> DataFrame:
+    """one with the values of a dimension, where each cell's value is among them, which cells are of each, and their goals."""
+    one = one.withColumn(f"v_{dim}", F.array_sort(F.array_distinct(F.transform("cs", lambda c: c[dim]))))
+    one = one.withColumn(f"at_{dim}", F.transform("cs", lambda c: (F.array_position(F.col(f"v_{dim}"), c[dim]) - 1).cast("int")))
+    one = one.withColumn(f"in_{dim}", F.transform(f"v_{dim}", lambda v: F.filter(places, lambda i: F.get("cs", i)[dim] == v)))
+    return one.withColumn(f"goal_{dim}", F.transform(f"in_{dim}", lambda m: F.get("cs", F.get(m, 0))[f"__goal_{dim}"]))
+
+
+def _raked_in_one(cells: DataFrame, goals: dict[str, DataFrame], total: float, fraction: float | None, rounds: int, tolerance: float) -> tuple[DataFrame, list[float]]:
+    """cells with weight, and how far off each marginal is. All rounds are one expression over one row."""
+    for dim, goal in goals.items():
+        cells = cells.join(F.broadcast(goal.select(F.col("value").alias(dim), F.col("goal").alias(f"__goal_{dim}"))), dim)
+    one = cells.groupBy().agg(F.array_sort(F.collect_list(F.struct(*DIMS, "tokens", *[f"__goal_{dim}" for dim in goals]))).alias("cs"))
+    one = one.withColumn("share", F.transform("cs", lambda c: c["tokens"] / F.lit(float(total))))
+    places = F.sequence(F.lit(0), F.size("cs") - 1)
+    for dim in goals:
+        one = _by_value(one, dim, places)
+    one = one.withColumn("cells", F.transform("cs", lambda c: F.struct(*[c[d].alias(d) for d in (*DIMS, "tokens")])))
+    one = cut(one.drop("cs", *[f"v_{dim}" for dim in goals]), "raking")
+    most = lambda i: F.lit(float("inf")) if fraction is None else F.get("share", i) / F.lit(fraction)
+    let = lambda x, body: F.get(F.transform(F.array(x), body), 0)
+
+    def sums(w: Column, members: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("have"), F.lit(0.0).alias("fixed"), F.lit(0.0).alias("free"))
+
+        def add(acc: Column, i: Column) -> Column:
+            x = F.get(w, i)
+            full = x >= most(i)
+            return F.struct((acc["have"] + F.least(x, most(i))).alias("have"), (acc["fixed"] + F.when(full, most(i)).otherwise(0.0)).alias("fixed"), (acc["free"] + F.when(full, 0.0).otherwise(x)).alias("free"))
+
+        return F.aggregate(members, zero, add)
+
+    def one_dim(state: Column, dim: str) -> Column:
+        def by_value(s: Column) -> Column:
+            found = F.zip_with(F.transform(f"in_{dim}", lambda m: sums(s["w"], m)), F.col(f"goal_{dim}"), lambda h, g: F.struct(_step(h["have"], h["fixed"], h["free"], g).alias("f"), _off(h["have"], g).alias("off")))
+            return let(found, lambda t: F.struct(
+                F.transform(s["w"], lambda x, i: x * F.get(t, F.get(F.col(f"at_{dim}"), i))["f"]).alias("w"),
+                F.concat(s["off"], F.array(F.coalesce(F.array_max(F.transform(t, lambda y: y["off"])), F.lit(0.0)))).alias("off"),
+            ))
+
+        return let(state, by_value)
+
+    def one_round(acc: Column, _: Column) -> Column:
+        state = F.struct(acc["w"].alias("w"), F.array().cast("array<double>").alias("off"))
+        for dim in goals:
+            state = one_dim(state, dim)
+        still = lambda s: (F.size(acc["off"]) > 0) & (F.array_max(F.zip_with(s["off"], acc["off"], lambda x, y: F.abs(x - y))) < tolerance / 100)
+        ended = lambda s: F.struct(s["w"].alias("w"), s["off"].alias("off"), (F.coalesce(F.array_max(s["off"]) < tolerance, F.lit(False)) | F.coalesce(still(s), F.lit(False))).alias("done"))
+        return F.when(acc["done"], acc).otherwise(let(state, ended))
+
+    begin = F.struct(F.col("share").alias("w"), F.array().cast("array<double>").alias("off"), F.lit(False).alias("done"))
+    fit = cut(one.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, one_round).alias("fit")), "raked")
+    release(one)
+    off = fit.select("fit.off").first()[0]
+    return fit.select(F.explode(F.arrays_zip("cells", F.col("fit.w").alias("w"))).alias("x")).select("x.cells.*", F.col("x.w").alias("weight")), off
+
+
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE, fraction: float | None = None, most_cells: int = MAX_BROADCAST) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight: raked shares. With a fraction also p, the part of each cell that is drawn: at most 1."""
-    together = cells.count() <= MAX_BROADCAST
-    held_together = lambda df: df.coalesce(1) if together else df
-    cells = held_together(cells)
     goals = {dim: cut(_targets(cells, dim, targets[dim]), f"goal-{dim}") for dim in DIMS if dim in targets}
     goals = {dim: goal for dim, goal in goals.items() if not goal.isEmpty()}
     total = cells.agg(F.sum("tokens")).first()[0] or 1
@@ -84,26 +148,24 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float
         fraction = min([fraction, *[goal.filter("goal > 0").agg(F.min(F.col("share") / F.col("goal"))).first()[0] for goal in goals.values()]])
     most = F.lit(float("inf")) if fraction is None else share / F.lit(fraction)
     held, full = F.least("weight", most), F.col("weight") >= most
-    now = cells.select(*DIMS, "tokens", share.alias("weight"))
-    last, before = None, None
-    for _ in range(rounds if goals else 0):
-        for dim, goal in goals.items():
-            have = now.groupBy(F.col(dim).alias("value")).agg(F.sum(held).alias("have"), F.sum(F.when(full, most).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
-            # A step for the cells below their most; where that is none or too much is held already, one for all cells.
-            step = F.when((F.col("free") > 0) & (F.col("goal") > F.col("fixed")), (F.col("goal") - F.col("fixed")) / F.col("free"))
-            step = step.when((F.col("have") > 0) & ((F.col("free") > 0) | (F.col("goal") < F.col("have"))), F.col("goal") / F.col("have")).when(F.col("have") > 0, 1.0).otherwise(0.0)
-            factor = have.join(held_together(goal).hint("merge"), "value").select(F.col("value").alias(dim), step.alias("__f"), F.when(F.col("goal") > 0, F.abs(F.col("have") / F.col("goal") - 1)).alias(f"__off_{dim}"))
-            now = now.join(factor.hint("merge"), dim).withColumn("weight", F.col("weight") * F.col("__f")).drop("__f")
-        now = held_together(cut(now, "raked"))
-        off = [x or 0.0 for x in now.agg(*[F.max(f"__off_{dim}").alias(dim) for dim in goals]).first()]
-        if last is not None:
-            release(last)
-        last, now = now, now.select(*DIMS, "tokens", "weight")
-        if max(off) < tolerance:
-            break
-        if before is not None and max(abs(x - y) for x, y in zip(off, before, strict=True)) < tolerance / 100:
-            break
-        before = off
+    now, off = cells.select(*DIMS, "tokens", share.alias("weight")), [0.0]
+    if goals and cells.count() <= most_cells:
+        now, off = _raked_in_one(cells, goals, total, fraction, rounds, tolerance)
+    elif goals:
+        last, before = None, None
+        for _ in range(rounds):
+            for dim, goal in goals.items():
+                have = now.groupBy(F.col(dim).alias("value")).agg(F.sum(held).alias("have"), F.sum(F.when(full, most).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free"))
+                factor = have.join(goal, "value").select(F.col("value").alias(dim), _step(F.col("have"), F.col("fixed"), F.col("free"), F.col("goal")).alias("__f"), _off(F.col("have"), F.col("goal")).alias(f"__off_{dim}"))
+                now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("__f")).drop("__f")
+            now = cut(now, "raked")
+            off = [x or 0.0 for x in now.agg(*[F.max(f"__off_{dim}").alias(dim) for dim in goals]).first()]
+            if last is not None:
+                release(last)
+            last, now = now, now.select(*DIMS, "tokens", "weight")
+            if max(off) < tolerance or before is not None and max(abs(x - y) for x, y in zip(off, before, strict=True)) < tolerance / 100:
+                break
+            before = off
     if goals and max(off) >= tolerance:
         warnings.warn(f"marginals are off by up to {dict(zip(goals, off, strict=True))} of their goals", stacklevel=2)
     now = now.withColumn("weight", held)

@@ -129,8 +129,8 @@ def _license_sql() -> str:
 ORACLE_SQL["op5_license_scan"] = _license_sql()
 
 
-#: Steps of both walks in SQL, far more than the operator takes to stand still.
-_STEPS = 60
+#: Steps of both walks in SQL: 5e-12 of the mass is still to come then.
+_STEPS = 160
 
 
 def _url_sql() -> str:

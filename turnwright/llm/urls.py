@@ -6,9 +6,8 @@ reversed edges spreads distrust from hosts whose pages they block. A host that h
 RATIO, is blocked.
 
 Scale: edges are distinct (source host, target host) pairs with counts, so a hot host is as many rows as it has
-neighbours; each step is one join and one grouped sum with map-side partial sums, cut to files every few steps until the
-ranks stand still to TOLERANCE (one number to the driver each time). The
-verdict returns to the pages by a join on host whose two sides are exchanges, which AQE can split. The rule list is a
+neighbours; each step is one join and one grouped sum with map-side partial sums, cut to files every few steps until no
+verdict can change (whether there is such a host goes to the driver). The verdict returns to the pages by a join on host whose two sides are exchanges, which AQE can split. The rule list is a
 parameter of at most MAX_RULES entries and is checked; it travels inside the plan.
 
 Defined cases: a null url or one without :// has an empty host and path, fits no rule and is allowed, as is a host
@@ -25,7 +24,7 @@ from .common import ascii_lower, cut, release
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 MAX_RULES = 1000
-DAMPING, TOLERANCE, CUT_EVERY, RATIO = 0.85, 1e-3, 4, 1.0
+DAMPING, TOLERANCE, CUT_EVERY, RATIO = 0.85, 1e-9, 6, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -56,27 +55,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """node, kind, rank of personalised PageRank. edges: kind, src, dst, share; seeds: kind, node, seed.
+def propagate(edges: DataFrame, seeds: DataFrame, ratio: float = RATIO, tolerance: float = TOLERANCE) -> DataFrame:
+    """node, trust, distrust of personalised PageRank. edges: kind, src, dst, share; seeds: kind, node, seed (1 in all for a kind).
 
-    It ends when a step moves less than `tolerance` in all, summed over the hosts of a kind; since a step moves at most
-    DAMPING times what the one before it moved, ranks are then within tolerance * DAMPING / (1 - DAMPING) of their limits.
+    Ranks are sums over walks, so they only grow, and after n steps DAMPING ** (n + 1) of a kind's mass is still to come. It
+    ends when the last CUT_EVERY steps reached no host that was not reached before, and every host is settled: its trust and
+    distrust are farther apart than all that is to come, or these steps moved each by at most `tolerance` of itself.
     """
-    rank = seeds.select("kind", "node", F.col("seed").alias("rank"))
-    base = seeds.select("kind", "node", (F.col("seed") * (1 - DAMPING)).alias("rank"), F.lit(0.0).alias("was"))
-    last = None
+    base = F.col("seed") * (1 - DAMPING)
+    state = seeds.select("kind", "node", base.alias("rank"), base.alias("front"), F.lit(0.0).alias("moved"))
+    last, n = None, 0
     while True:
         for _ in range(CUT_EVERY):
-            moved = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["node"] == edges["src"])).select(rank["kind"], F.col("dst").alias("node"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"), F.lit(0.0).alias("was"))
-            before = rank.select("kind", "node", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
-            rank = moved.unionByName(base).unionByName(before).groupBy("kind", "node").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
-        rank = cut(rank, "page-rank")
+            gone = state.filter("front > 0").join(edges, (state["kind"] == edges["kind"]) & (state["node"] == edges["src"]))
+            gone = gone.select(state["kind"], F.col("dst").alias("node"), (F.col("front") * F.col("share") * DAMPING).alias("front")).select("kind", "node", F.col("front").alias("rank"), "front", F.col("front").alias("moved"))
+            stays = state.select("kind", "node", "rank", F.lit(0.0).alias("front"), "moved")
+            state = gone.unionByName(stays).groupBy("kind", "node").agg(*[F.sum(c).alias(c) for c in ("rank", "front", "moved")])
+        state, n = cut(state, "page-rank"), n + CUT_EVERY
         if last is not None:
             release(last)
-        last = rank
-        off = rank.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("off")).agg(F.max("off")).first()[0]
-        if (off or 0.0) < tolerance:
-            return rank.select("kind", "node", "rank")
+        last, state = state, state.withColumn("moved", F.lit(0.0))
+        of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0.0))
+        ranks = last.groupBy("node").agg(*[of(kind, c).alias(f"{name}{kind}") for kind in ("trust", "distrust") for name, c in (("", "rank"), ("moved_", "moved"))], F.max(F.col("rank") == F.col("moved")).alias("new"))
+        still = (F.col("moved_trust") <= tolerance * F.col("trust")) & (F.col("moved_distrust") <= tolerance * F.col("distrust"))
+        apart = F.abs(F.col("distrust") - ratio * F.col("trust")) > (1 + ratio) * DAMPING ** (n + 1)
+        if ranks.filter(F.col("new") | ~(still | apart)).isEmpty():
+            return ranks.select("node", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = RATIO, tolerance: float = TOLERANCE) -> DataFrame:
@@ -90,8 +94,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rati
     seed_rows = ruled.filter("by is not null").groupBy(F.when(F.col("by.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), F.col("host").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     totals = seed_rows.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = cut(seed_rows.join(F.broadcast(totals), "kind").select("kind", "node", (F.col("n") / F.col("all")).alias("seed")), "host-seeds")
-    rank = propagate(edges, seeds, tolerance)
-    by_host = rank.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    by_host = propagate(edges, seeds, ratio, tolerance)
     joined = ruled.drop("html").join(by_host, ruled["host"] == by_host["node"], "left")
     spread = F.when(F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", spread).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -44,3 +44,25 @@ def cached_language(rows: DataFrame, key: str, order: str, detected: str, client
 def expired_jobs(jobs: DataFrame, now: str, ttl_seconds: float = 14_400.0) -> DataFrame:
     """Finished jobs older than the time to live: jobs (status, created_at) as of column `now`."""
     return jobs.filter(F.col("status").isin("complete", "failed") & (_seconds(now) - _seconds("created_at") > ttl_seconds))
+
+
+def flushed_sessions(rows: DataFrame, models: tuple[str, ...] = ()) -> DataFrame:
+    """session, seq, event, transcript, n_chunks, seconds: what sessions in flush mode answer (`streaming.live`), over a whole table.
+
+    rows: session, seq, kind, payload, rate, model. A control row ends the part of its session that it answers, so a
+    part's sound is gathered by one grouping.
+    """
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    unknown = F.coalesce(~F.col("model").isin(*models), F.lit(False)) if models else F.lit(False)
+    event = F.when(F.col("kind") == "flush", "data").when(F.col("kind") == "start", F.when(unknown, "error").otherwise("ready")).when(F.col("kind") == "stop", "done")
+    staged = rows.withColumn("event", event)
+    ends = F.coalesce(F.col("event").isin("done", "error").cast("int"), F.lit(0))
+    parts = F.coalesce(F.sum(F.col("event").isNotNull().cast("int")).over(before), F.lit(0))
+    staged = staged.withColumns({"__ended": F.coalesce(F.sum(ends).over(before), F.lit(0)), "__part": parts, "__rate": F.coalesce(F.last("rate", ignorenulls=True).over(upto), F.lit(16_000))}).filter("__ended = 0")
+    answered = F.when(F.col("event").isNotNull(), F.struct("seq", "event", "__rate"))
+    sound = F.when(F.octet_length("payload") > 0, F.struct("seq", "payload"))
+    by_part = staged.groupBy("session", "__part").agg(F.max(answered).alias("a"), F.array_sort(F.collect_list(sound)).alias("held")).filter("a is not null")
+    held = F.when(F.col("a.event") == "data", F.transform("held", lambda c: c["payload"])).otherwise(F.array().cast("array<binary>"))
+    total = F.aggregate("held", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c))
+    return by_part.withColumn("held", held).select("session", "a.seq", "a.event", F.array_join(F.transform("held", lambda c: c.cast("string")), " ").alias("transcript"), F.size("held").cast("int").alias("n_chunks"), (total / (2.0 * F.col("a.__rate"))).alias("seconds"))

@@ -222,3 +222,34 @@ ORACLE_SQL |= {
 _MONEY = f"""with m as (select o_orderkey, cast(cast(floor(o_totalprice) as bigint) as varchar) as s, cast(floor(o_totalprice * 100) as bigint) % 100 as p from orders)
     select o_orderkey, '₹' || {grouped('s')} || case when p > 0 then '.' || lpad(cast(p as varchar), 2, '0') else '' end as amount from m"""
 ORACLE_SQL |= {"hi_money_roundtrip": _MONEY, "mr_money_roundtrip": _MONEY, "mr_date_roundtrip": ORACLE_SQL["hi_date_roundtrip"], "mr_time_roundtrip": ORACLE_SQL["hi_time_roundtrip"]}
+
+_SEGMENT_SQL = """with n as (select *, user_id % 90 + 1 + (event_type in ('view', 'click'))::int as amount, event_id % 7 = 0 as final from events),
+        f as (select *, case when lag(amount) over w = amount and not lag(final) over w then 0 else 1 end as fresh from n window w as (partition by user_id order by event_id)),
+        i as (select *, sum(fresh) over (partition by user_id order by event_id) as island from f),
+        c as (select *, cast(row_number() over (partition by user_id, island order by event_id) as integer) as stable_count, event_id % 11 = 0 as bad, case when user_id % 3 = 1 then 'us' else 'in' end as tenant from i),
+        d as (select *, bad or (not final and stable_count < 2) as deferred from c)
+        select event_id, stable_count, tenant, deferred, case when bad then 'invalid_tokens' end as error,
+               case when not deferred then '₹' || amount || case when final and tenant = 'in' then ' 05/06/2024' else ' 5/6/2024' end || ' तारीख' end as canonical_text,
+               cast(case when deferred then 0 when final then 2 else 1 end as integer) as n_spans from d"""
+_SESSION_SQL = """with m as (select event_id as seq, user_id || '-' || day(ts) // 7 as session, event_type || event_id % 10 as word, event_type = 'signup' and event_id % 10 = 0 as bad,
+            case when event_type = 'purchase' then 'flush' when event_type = 'signup' then 'start' when event_type = 'error' and event_id % 5 = 0 then 'stop' else 'audio' end as kind from events),
+        e as (select *, coalesce(sum((kind = 'stop' or bad)::int) over w, 0) as ended, coalesce(sum((kind != 'audio')::int) over w, 0) as part from m window w as (partition by session order by seq rows between unbounded preceding and 1 preceding)),
+        g as (select session, part, max(seq) filter (kind != 'audio') as seq, max(kind) filter (kind != 'audio') as kind, bool_or(bad) as bad, string_agg(word, ' ' order by seq) filter (kind = 'audio') as words,
+                     count(*) filter (kind = 'audio') as n, sum(length(word)) filter (kind = 'audio') as bytes from e where ended = 0 group by session, part)
+        select session, seq, case kind when 'flush' then 'data' when 'stop' then 'done' else case when bad then 'error' else 'ready' end end as event,
+               case when kind = 'flush' then coalesce(words, '') else '' end as transcript, cast(case when kind = 'flush' then n else 0 end as integer) as n_chunks,
+               case when kind = 'flush' then coalesce(bytes, 0) else 0 end / 16000.0::double as seconds from g where seq is not null"""
+ORACLE_SQL |= {
+    "call_segments": _SEGMENT_SQL,
+    "segment_stream": _SEGMENT_SQL,
+    "session_control": _SESSION_SQL,
+    "session_control_stream": _SESSION_SQL,
+    "turn_final_stream": """with n as (select *, row_number() over (partition by user_id order by event_id) as t, event_type in ('view', 'click', 'purchase') as loud from events),
+        l as (select *, loud and not coalesce(lag(loud) over (partition by user_id order by event_id), false) as begins from n),
+        s as (select *, max(case when loud then t end) over w as last, max(case when begins then t end) over w as first from l window w as (partition by user_id order by event_id rows unbounded preceding)),
+        f as (select *, t - last = 3 as final from s),
+        p as (select *, coalesce(sum(final::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as turn from f),
+        r as (select *, sum(begins::int) over (partition by user_id, turn order by event_id) as runs from p)
+        select event_id, round(greatest(0, (first - 1) * 0.5::double - 0.1::double), 3) as start_sec, round(least(last * 0.5::double + 0.1::double, t * 0.5::double), 3) as end_sec, final as is_final,
+               case when runs % 2 = 1 then 'Speaker 1' else 'Speaker 2' end as speaker from r where last is not null and t - last <= 3""",
+}

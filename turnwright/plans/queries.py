@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import devanagari, formats, grammar, languages, scripts, spans
+from ..functions import devanagari, formats, grammar, languages, messages, scripts, spans
 from ..functions.lexicon import HI, MR, Lexicon
 from ..operators import itn, phrases, reporting, requests, sessions, turns
-from ..streaming import streams
+from ..streaming import live, segments, streams
 
 EMAIL_MARK = "<email>"
 
@@ -332,12 +332,67 @@ def cached_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.cached_language(rows, "user_id", "ts", "detected", "client", ttl_seconds=20_000.0).select("event_id", "language", "language_source")
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.read_files(spark, table(spark, sf_dir, "events").schema, f"{sf_dir}/events.parque[t]")
+
+
+def _streamed(stream: DataFrame, provider: str | None = None) -> DataFrame:
+    place = f"{streams.shared_dir(stream.sparkSession)}/turnwright-stream-{uuid.uuid4().hex}"
+    return streams.run_once(stream, f"{place}/out", f"{place}/checkpoint", provider)
+
+
 def stability_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    partials = events.select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_id") % 7 == 0).alias("is_final"))
-    place = f"{streams.shared_dir(spark)}/turnwright-stream-{uuid.uuid4().hex}"
-    return streams.run_once(streams.stability(partials), f"{place}/out", f"{place}/checkpoint").select(F.col("seq").alias("event_id"), "stable_count")
+    partials = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_id") % 7 == 0).alias("is_final"))
+    return _streamed(streams.stability(partials)).select(F.col("seq").alias("event_id"), "stable_count")
+
+
+def _segments(events: DataFrame) -> DataFrame:
+    """Events as hypotheses of calls: an amount and a date, some final, under three tenants, some with tokens out of range."""
+    number = F.col("user_id") % 90 + 1 + F.col("event_type").isin("view", "click").cast("int")
+    token = F.struct(F.lit("x").alias("text"), F.lit(0).cast("long").alias("start_ms"), F.lit(9).cast("long").alias("end_ms"), F.when(F.col("event_id") % 11 == 0, 1.5).otherwise(0.9).alias("conf"))
+    return events.select(
+        F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.concat(grammar.spoken_integer(number, HI), F.lit(" रुपये 5/6/2024 तारीख")).alias("text"), (F.col("event_id") % 7 == 0).alias("is_final"),
+        F.lit("").alias("lang_hint"), F.get(F.array(*map(F.lit, ("in", "us", "nobody"))), (F.col("user_id") % 3).cast("int")).alias("tenant"), F.array(token).alias("tokens"),
+    )
+
+
+def _segment_results(done: DataFrame) -> DataFrame:
+    return done.select(F.col("seq").alias("event_id"), "stable_count", "tenant", "deferred", "error", F.when(~F.col("deferred"), F.col("canonical_text")).alias("canonical_text"), F.size("spans").alias("n_spans"))
+
+
+POLICIES = segments.Policies({"in": "DMY", "us": "MDY"}, default="in")
+
+
+def call_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_results(segments.normalized_calls(_segments(table(spark, sf_dir, "events")), POLICIES))
+
+
+def segment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_results(_streamed(segments.normalized_stream(_segments(_event_stream(spark, sf_dir)), POLICIES)))
+
+
+def _messages(events: DataFrame) -> DataFrame:
+    """Events as JSON messages of live sessions, a user's week each, parsed."""
+    kind = F.when(F.col("event_type") == "purchase", "flush").when(F.col("event_type") == "signup", "start").when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), "stop")
+    sound = F.struct(F.base64(F.concat("event_type", (F.col("event_id") % 10).cast("string")).cast("binary")).alias("data"), F.lit("8000").alias("sample_rate"))
+    model = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 10 == 0), "x")
+    text = F.to_json(F.struct(F.coalesce(kind, F.lit("audio")).alias("type"), model.alias("model"), F.when(kind.isNull(), sound).alias("audio")))
+    session = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.dayofmonth("ts") / 7).cast("string"))
+    return events.select(session.alias("session"), F.col("event_id").alias("seq"), "ts", messages.parsed(text).alias("m")).select("session", "seq", "ts", "m.kind", "m.payload", "m.rate", "m.model")
+
+
+def session_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.flushed_sessions(_messages(table(spark, sf_dir, "events")), models=("m",))
+
+
+def session_control_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(live.live_sessions(_messages(_event_stream(spark, sf_dir)), "flush", models=("m",)), streams.ROCKSDB)
+
+
+def turn_final_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loud = F.when(F.col("event_type").isin("view", "click", "purchase"), -20.0).otherwise(-60.0)
+    chunks = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("seq"), F.array(loud).alias("db"))
+    return _streamed(live.turn_finals(chunks, frame=0.5)).select(F.col("seq").alias("event_id"), F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), "is_final", "speaker")
 
 
 def crosstalk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,7 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         splice_redact, script_route, route_hints, indian_grouping, inr_format, hi_percent_roundtrip, half_and_quarter, date_policy, phone_format, pan_ifsc_shape, aadhaar_verhoeff, generic_id,
         gate_decisions, self_correction_pairs, indian_words, general_variants, amount_variants, date_variants, hindi_variants, hindi_letter_names, hindi_date_variants, hindi_amount_variants, phrase_rank_topk, brand_lookup, row_contexts, positional_join_urls, ab_eval_summary,
         ab_improved, ab_compare, status_csv, dialogue_turns, event_sampling, text_metadata, latency_summary, latency_histogram, stability_counter, inactivity_sessions, cached_language,
-        stability_stream, crosstalk_gate, word_attribution, domain_terms, language_codes, supported_languages, currency_signs, request_contexts, request_packs, flat_pack_phrases, surfaced_names, batch_progress, job_settings,
+        stability_stream, call_segments, segment_stream, session_control, session_control_stream, turn_final_stream, crosstalk_gate, word_attribution, domain_terms, language_codes, supported_languages, currency_signs, request_contexts, request_packs, flat_pack_phrases, surfaced_names, batch_progress, job_settings,
         token_confidences, permissive_numbers, digit_scripts, normalized_documents, normalized_sentences, partial_segments,
     )
 } | {

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
@@ -19,25 +21,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 PARTIALS = "call_id string, seq long, text string, is_final boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
+def read_files(spark: SparkSession, schema: str | StructType, path: str, per_batch: int = 64) -> DataFrame:
+    """A stream of Parquet files, at most per_batch in a micro-batch: stateful operators sort a call's rows of one in memory."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
-def stability(stream: DataFrame) -> DataFrame:
-    """PARTIALS rows with stable_count; one text and one number of state for each call, cleared by a final."""
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def stability(stream: DataFrame, key: str = "call_id", order: str = "seq", text: str = "text", final: str = "is_final") -> DataFrame:
+    """stream with stable_count: how many equal texts in a row end here. State: one text and one number for each call, cleared by a final.
+
+    Rows of a call within a micro-batch are counted in the order of `order`; those of later micro-batches come after them.
+    """
+    kinds = StructType([*stream.schema.fields, StructField("stable_count", IntegerType())])
+
+    def count(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else ("", 0)
-        for rows in (pd.concat(list(frames)).sort_values("seq"),):
-            counts = []
-            for text, final in zip(rows["text"].fillna(""), rows["is_final"].fillna(False), strict=True):
-                n = n + 1 if n and text == last else 1
-                last = text
-                counts.append(n)
-                if final:
-                    last, n = "", 0
-            yield rows.assign(stable_count=counts)[["call_id", "seq", "text", "is_final", "stable_count"]]
-        state.update((last, n))
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        counts = []
+        for said, ends in zip(rows[text], rows[final], strict=True):
+            said = said if isinstance(said, str) else ""
+            n = n + 1 if n and said == last else 1
+            last = said
+            counts.append(n)
+            if ends is True or ends == 1:
+                last, n = "", 0
+        if n:
+            state.update((last, n))
+        elif state.exists:
+            state.remove()
+        yield rows.assign(stable_count=counts)[kinds.names]
 
-    return stream.groupBy("call_id").applyInPandasWithState(count, PARTIALS + ", stable_count int", "last string, n int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(count, kinds, "last string, n int", "append", GroupStateTimeout.NoTimeout)
 
 
 def inactivity_flushes(stream: DataFrame, key: str, ts: str, gap: str = "350 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -78,9 +95,15 @@ def language_cache(stream: DataFrame, ttl_ms: int = 600_000, fallback: str = "hi
     return kept.applyInPandasWithState(resolve, "session string, seq long, language string, language_source string", "language string, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """All that is there now, written to path and read back."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, provider: str | None = None) -> DataFrame:
+    """All that is there now, written to path and read back. provider: the state store's class, for this query only."""
     spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    before = spark.conf.get(PROVIDER)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -43,7 +43,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: Neither the fitted toxicity model nor the encoder can be put in SQL; tests hold the pipeline against a brute-force version.
+#: Neither the fitted toxicity model nor the encoder can be put in SQL; tests hold the stages against brute force one by one.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .grammar import lookup
-from .spans import SPAN, matches, selected, span
+from .automaton import FOUND, CompiledLexicon, Registry
+from .spans import SPAN, span
 
 #: Canonical form | its spellings, case does not matter.
 TERMS = """
@@ -62,16 +62,24 @@ Bajaj Finance | बाजाज फाइनेंस, बजाज फाइन
 RULE = "lex.domain.loan_terms.v1"
 
 
+LEXICONS = Registry()
+
+
 def term_table(terms: str = TERMS) -> dict[str, str]:
     return {s.strip().lower(): line.split("|")[0].strip() for line in terms.strip().splitlines() for s in line.split("|")[1].split(",")}
 
 
+@cache
+def compiled(terms: str = TERMS) -> CompiledLexicon:
+    return CompiledLexicon((term, "domain_term", canonical) for term, canonical in term_table(terms).items())
+
+
+LEXICONS.add("loan_terms", compiled)
+
+
 def domain_terms(text: Column, terms: str = TERMS) -> Column:
     """Spans of terms, the longest first where they overlap, between characters that are not of words."""
-    table = term_table(terms)
-    found = []
-    for size in sorted({len(t) for t in table}, reverse=True):  # terms of one length cannot hide one another
-        alternatives = "|".join(re.escape(t) for t in sorted(table) if len(t) == size)
-        found.append(matches(text, f"(?iu)(?<![A-Za-z0-9_\\x{{900}}-\\x{{97f}}])(?:{alternatives})(?![A-Za-z0-9_\\x{{900}}-\\x{{97f}}])"))
-    one = lambda m: F.struct((m["start"] - m["end"]).alias("less"), m["start"].alias("at"), span(F.lit("domain_term"), m["raw"], m["start"], m["end"], F.lit(RULE), 0.99, lookup(table, F.lower(m["raw"]))).alias("span"))
-    return selected(F.transform(F.concat(*found), one)).cast(f"array<{SPAN}>")
+    def one(m: Column) -> Column:
+        return span(m["cls"], F.substr(text, m["start"] + 1, m["end"] - m["start"]), m["start"], m["end"], F.lit(RULE), 0.99, m["value"])
+
+    return F.transform(F.coalesce(compiled(terms).found(text), F.array().cast(FOUND)), one).cast(f"array<{SPAN}>")

@@ -7,11 +7,12 @@ that class. A class is a regular relation, so each form is one anchored pattern
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let, lookup
 from .lexicon import AM, PAISE, PM, RUPEE_SIGNS, RUPEES, Lexicon
 
 
@@ -19,16 +20,6 @@ def any_of(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value written once, so that expressions built on expressions stay small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def lookup(values: dict[str, object], key: Column) -> Column:
-    """The key's value as a string, or null."""
-    return F.try_element_at(F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in values.items())), F.lit("\n"), F.lit("\t")), key)
-
-
 def part(raw: Column, pattern: str, group: int = 1) -> Column:
     """The group of a match of the whole string; null if there is no match or the group is empty."""
     return let(F.regexp_extract(raw, f"^(?:{pattern})$", group), lambda x: F.when(x != "", x))
@@ -48,8 +39,14 @@ def cardinal(raw: Column, lex: Lexicon) -> Column:
     weights = (1_000_000_000, 10_000_000, 100_000, 1_000, 100, 1)
 
     def spelled(r: Column) -> Column:
-        terms = [F.coalesce(lookup(values, F.regexp_extract(r, pattern, i)).cast("long"), F.lit(0)) * w for i, w in enumerate(weights, 1)]
-        return F.when(r.rlike(pattern), sum(terms[1:], terms[0]).cast("string"))
+        # One match gives all groups; what does not match comes back whole.
+        groups = F.split(F.regexp_replace(r, pattern, "\u0001".join(f"${i}" for i in range(1, 7))), "\u0001", -1)
+
+        def total(g: Column) -> Column:
+            terms = [F.coalesce(F.when(F.get(g, i - 1) != "", lookup(values, F.get(g, i - 1))).cast("long"), F.lit(0)) * w for i, w in enumerate(weights, 1)]
+            return F.when((F.size(g) == 6) & ~r.contains("\u0001"), sum(terms[1:], terms[0]).cast("string"))
+
+        return let(groups, total)
 
     return let(raw, lambda r: F.coalesce(part(r, "(0|[1-9][0-9]*)"), spelled(r), _scaled_compound(r, lex)))
 

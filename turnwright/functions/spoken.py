@@ -46,10 +46,10 @@ def _letters(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(lookup(table, F.lower(t["raw"])), F.lit("."))), "")
 
 
-def _places(letters: Column, pattern: str, cls: str, after: str = "") -> Column:
-    """Structs (cls, a, b) of token places; `after` is what else the phrase takes if it stands behind the match."""
+def _places(letters: Column, pattern: str, cls: str, after: str = "", needs: str = "") -> Column:
+    """Structs (cls, a, b) of token places; `after` is what else the phrase takes if it stands behind the match, `needs` a letter it has."""
     more = lambda m: F.length(F.regexp_extract(F.substr(letters, m["end"] + 1), f"^(?:{after})", 0)) if after else F.lit(0)
-    return F.transform(matches(letters, pattern), lambda m: F.struct(F.lit(cls).alias("cls"), m["start"].alias("a"), (m["end"] + more(m)).alias("b")))
+    return F.transform(matches(letters, pattern, letters.contains(needs) if needs else None), lambda m: F.struct(F.lit(cls).alias("cls"), m["start"].alias("a"), (m["end"] + more(m)).alias("b")))
 
 
 def phrases(letters: Column) -> Column:
@@ -61,11 +61,11 @@ def phrases(letters: Column) -> Column:
         fine = F.when(marker > 0, (marker > 1) & (marker < F.length(run))).otherwise(~run.rlike("^d{5,}$")) & (F.length(run) <= 8)
         return F.when(fine, F.struct(F.when(marker > 0, "decimal").otherwise("cardinal").alias("cls"), r["a"].alias("a"), r["b"].alias("b")))
 
-    ten = F.filter(_places(letters, "(?<![dz])[dz]{10}(?![dz])", "phone"), lambda r: F.substr(letters, F.greatest(r["a"] - 3, F.lit(1)), r["b"] + 5 - F.greatest(r["a"] - 3, F.lit(1))).contains("F"))
+    ten = F.filter(_places(letters, "(?<![dz])[dz]{10}(?![dz])", "phone", needs="F"), lambda r: F.substr(letters, F.greatest(r["a"] - 3, F.lit(1)), r["b"] + 5 - F.greatest(r["a"] - 3, F.lit(1))).contains("F"))
     return F.concat(
-        _places(letters, f"{NATIVE}{{1,8}}R", "amount", f"{NATIVE}{{1,2}}A"), _places(letters, f"R{NATIVE}{{1,8}}", "amount"),
-        _places(letters, f"{ANY}{{1,8}}P", "percent"), _places(letters, f"T?{ANY}{{1,4}}B", "time", "T"), _places(letters, f"T?{ANY}{{1,2}}K{ANY}{{1,2}}I", "time", "T"),
-        _places(letters, "[dn]M", "date", f"{ANY}{{0,4}}"), _places(letters, f"(?<=G){ANY}{{1,4}}", "date"), ten, F.filter(F.transform(runs, number), lambda r: r.isNotNull()),
+        _places(letters, f"{NATIVE}{{1,8}}R", "amount", f"{NATIVE}{{1,2}}A", "R"), _places(letters, f"R{NATIVE}{{1,8}}", "amount", needs="R"),
+        _places(letters, f"{ANY}{{1,8}}P", "percent", needs="P"), _places(letters, f"T?{ANY}{{1,4}}B", "time", "T", "B"), _places(letters, f"T?{ANY}{{1,2}}K{ANY}{{1,2}}I", "time", "T", "K"),
+        _places(letters, "[dn]M", "date", f"{ANY}{{0,4}}", "M"), _places(letters, f"(?<=G){ANY}{{1,4}}", "date", needs="G"), ten, F.filter(F.transform(runs, number), lambda r: r.isNotNull()),
     )
 
 

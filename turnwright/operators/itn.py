@@ -87,7 +87,7 @@ def with_candidates(df: DataFrame, text: str, lang: str, out: str) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(MERGE_ORDER, 1) for x in (c, i)])
     keyed = lambda s: F.struct(F.element_at(rank, s["cls"]).alias("rank"), (s["start"] - s["end"]).alias("less"), s["start"].alias("at"), s.alias("span"))
     staged = with_spoken(df.withColumn("__written", prefilter(F.col(text)).cast(f"array<{SPAN}>")), text, lang, "__spoken")
-    return staged.withColumn("__ranked", F.transform(F.concat("__written", "__spoken"), keyed)).withColumn(out, selected(F.col("__ranked"))).drop("__written", "__spoken", "__ranked")
+    return staged.withColumn("__ranked", F.transform(F.concat("__written", "__spoken"), keyed)).withColumn(out, selected(F.col("__ranked"), "rank:int,less:int,at:int")).drop("__written", "__spoken", "__ranked")
 
 
 def _dated(raw: Column) -> Column:
@@ -172,13 +172,15 @@ def normalize_segments(
     waits = ~final & (F.coalesce(stable, F.lit(0)) < STABLE_AT if stable is not None else F.lit(True))
     staged = df.withColumn("raw_text", F.coalesce(F.col(text), F.lit(""))).withColumns({"deferred": waits, "__partial": ~final, "__conf": F.coalesce(asr_conf, F.lit(1.0)) if asr_conf is not None else F.lit(1.0)})
     staged = staged.withColumn("__work", F.when(F.col("deferred"), F.col("raw_text")).otherwise(working_copy(F.col("raw_text"))))
+    if domain:
+        staged = staged.withColumn("__terms", domain_terms(F.col("__work")))
     staged = staged.withColumn("__route", scripts.routed(F.col("__work"), lang_hint)).withColumns({"lang": F.col("__route.lang"), "script": F.col("__route.script")})
     staged = classifier(staged, "__work", "lang", "__spans").withColumn("__spans", corrected(F.col("__work"), F.col("__spans")))
     safe = F.when(F.col("__partial"), F.filter("__spans", lambda s: s["cls"].isin(*PARTIAL_SAFE) & ~s["ambiguous"])).otherwise(F.col("__spans"))
     staged = staged.withColumn("__safe", safe).withColumn("spans", F.transform("__safe", lambda s: gated(s, F.col("__work"), F.col("__conf"), F.col("__partial"), thresholds)))
     if domain:
         clear = lambda a: ~F.exists("spans", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
-        staged = staged.withColumn("spans", F.array_sort(F.concat("spans", F.filter(domain_terms(F.col("__work")), clear)), lambda a, b: a["start"] - b["start"]))
+        staged = staged.withColumn("spans", F.array_sort(F.concat("spans", F.filter("__terms", clear)), lambda a, b: a["start"] - b["start"])).drop("__terms")
     staged = staged.withColumn("spans", F.when(F.col("deferred"), F.array().cast(f"array<{SPAN}>")).otherwise(F.col("spans").cast(f"array<{SPAN}>")))
     staged = staged.withColumn("canonical_text", F.when(F.col("deferred"), F.col("raw_text")).otherwise(applied(F.col("__work"), F.col("spans"))))
     return staged.withColumns({"display_text": display(F.col("canonical_text"), F.col("lang")), "itn_version": F.lit(VERSION)}).drop("__partial", "__conf", "__work", "__route", "__spans", "__safe")

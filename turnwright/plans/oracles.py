@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import devanagari
+from ..functions.domain import term_table
 
 _RUNS = f"""
     t as (select conv_id, turn, role, text from conversations), n as (select *, case when lag(role) over w = role then 0 else 1 end as fresh, first_value(role) over w as head from t window w as (partition by conv_id order by turn)),
@@ -102,6 +103,20 @@ def _hindi_dates_sql() -> str:
         {_distinct_sql("v", "o_orderkey")}"""
 
 
+def _domain_sql() -> str:
+    """Every place of every spelling, without those that a longer one, or an equally long one before, overlaps."""
+    table = term_table()
+    terms = ", ".join(f"('{t}', '{form}')" for t, form in table.items())
+    word = "[A-Za-z0-9_\u0900-\u097f]"
+    pick = lambda n: f"{sorted(table)!r}[(p_partkey * {n}) % {len(table)} + 1]"
+    return f"""with v(term, form) as (values {terms}),
+        t as (select p_partkey, p_name || ' ' || {pick(1)} || ' ' || case when p_partkey % 5 = 0 then 'x' else '' end || upper({pick(7)}) as text from part),
+        c as (select p_partkey, text, form, length(term) as n, unnest(list_filter(range(0, length(text)), lambda i: substr(lower(text), cast(i as bigint) + 1, length(term)) = term)) as spot from t join v on contains(lower(text), term)),
+        e as (select * from c where not regexp_matches(substr(text, cast(spot as bigint), case when spot > 0 then 1 else 0 end), '{word}') and not regexp_matches(substr(text, cast(spot + n as bigint) + 1, 1), '{word}'))
+        select p_partkey, form as canonical, cast(spot as integer) as start from e
+        where not exists (select 1 from e o where o.p_partkey = e.p_partkey and o.spot < e.spot + e.n and e.spot < o.spot + o.n and (o.n > e.n or (o.n = e.n and o.spot < e.spot)))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "merged_turns": f"with {_RUNS} select conv_id, place, speaker_id, speaker, text from runs",
     "markdown_transcript": rf"""with {_RUNS}
@@ -192,7 +207,7 @@ ORACLE_SQL: dict[str, str] = {
     "word_attribution": f"""with {_INTERVALS}, w as (select day, event_id as word_no, a, a + 40 as b from e where event_id % 5 = 0), t as (select * from e where event_id % 5 != 0),
         j as (select w.day, word_no, max(least(w.b, t.b) - greatest(w.a, t.a)) as share from w join t on w.day = t.day and w.a < t.b and t.a < w.b group by all)
         select cast(w.day as bigint) as day, word_no, share is not null as attributed, round(share / 40, 4) as confidence from w left join j using (day, word_no)""",
-    "domain_terms": """select n_nationkey, t as canonical, cast(length(n_name) + o as integer) as start from nation, (values (0, 'EMI', 4), (1, 'HDFC Bank', 1), (3, 'due date', 1)) as v(k, t, o) where n_nationkey % 4 = k""",
+    "domain_terms": _domain_sql(),
     "hi_date_roundtrip": "select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as value from orders",
     "hi_time_roundtrip": "select event_id, cast((hour(ts) + 11) % 12 + 1 as varchar) || ':' || lpad(cast(minute(ts) as varchar), 2, '0') || case when hour(ts) < 12 then ' AM' else ' PM' end as value from events",
     "normalized_sentences": f"select o_orderkey, 'कुल ₹' || {grouped('s')} || case when o_orderkey % 2 = 0 then ' देने हैं' else ' बाकी' end as canonical_text, 'hi' as lang, false as deferred from (select o_orderkey, cast(cast(floor(o_totalprice) as bigint) as varchar) as s from orders)",

@@ -411,11 +411,15 @@ def word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spellings behind every part's name, the second one within a word for every fifth part."""
     from ..functions.domain import domain_terms as found
+    from ..functions.domain import term_table
 
-    text = F.concat(F.col("n_name"), F.get(F.array(*map(F.lit, (" ka EMI pending", " HDFC Bank se", " xemi", " ड्यू डेट aur UPI नहीं"))), (F.col("n_nationkey") % 4).cast("int")))
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(found(text)).alias("s"))
-    return rows.select("n_nationkey", "s.canonical", "s.start")
+    spellings = F.array(*map(F.lit, sorted(term_table())))
+    pick = lambda n: F.get(spellings, F.pmod(F.col("p_partkey") * n, F.size(spellings)).cast("int"))
+    text = F.concat_ws(" ", "p_name", pick(1), F.concat(F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(""), F.upper(pick(7))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(found(text)).alias("s"))
+    return rows.select("p_partkey", "s.canonical", "s.start")
 
 
 def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

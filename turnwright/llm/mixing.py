@@ -36,7 +36,7 @@ TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": {"en": 0.
 FRACTION, SEED, ROUNDS, TOLERANCE, MAX_BROADCAST = 0.6, 17, 2000, 1e-4, 10_000
 DIMS = ("source", "lang", "topic")
 #: The first topic whose pattern is found is a text's topic; `general` if none is.
-TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "[\\w.+-]+@[\\w-]+\\.\\w|\\+?\\d[\\d ()-]{8,}\\d"), ("web", "(?i)https?://|www\\."), ("table", "\\|[^\\n|]*\\|"))
+TOPICS = (("legal", "(?i)licen[sc]e|copyright|rights reserved"), ("contact", "[\\w.+-]@[\\w-]+\\.\\w|\\d[\\d ()-]{8,}\\d"), ("web", "(?i)https?://|www\\."), ("table", "\\|[^\\n|]*\\|"))
 
 
 def topic_of(text: Column) -> Column:

@@ -133,6 +133,11 @@ def test_latency_summary(spark):
     rows = spark.range(0, 101).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
     row = reporting.latency_summary(rows, "k", "v").first()
     assert (row.n, row.mean, row.p95) == (101, 50.0, 95.0)
+    draw = np.random.default_rng(1)
+    values = {"many": draw.random(3000).tolist(), "few": draw.integers(0, 4, 500).astype(float).tolist(), "same": [7.0] * 40, "one": [1.5], "skew": (draw.random(900) ** 40).tolist()}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
+    got = {r.k: (r.n, r.p95) for r in reporting.latency_summary(rows, "k", "v").collect()}
+    assert got == {k: (len(vs), sorted(vs)[int(len(vs) * 0.95)]) for k, vs in values.items()}
 
 
 def test_batch_rows(spark):

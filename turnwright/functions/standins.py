@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, lookup
+from .columns import lookup
 from .spans import SPAN, matches, span
 
 #: The numbers that stand-ins know.
@@ -25,51 +25,57 @@ DATE_RULE, CARDINAL_RULE, LATIN_RULE = "offline.hi.date_monthword.v1", "offline.
 CONF = 0.99
 
 
-def words(raw: Column) -> Column:
-    return F.filter(F.split(F.lower(raw), "[\\s\\x{85}\\p{Z}\\x{1c}-\\x{1f}]+"), lambda w: w != "")
+def clean(raw: Column) -> Column:
+    """Lower case, one space between words and none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(raw), "[\\s\\x{85}\\p{Z}\\x{1c}-\\x{1f}]+", " "))
 
 
-def small_cardinal(ws: Column) -> Column:
-    """The number of one known word, or of one before a thousand and perhaps one behind it; else null."""
-    latin = ~F.exists(ws, lambda w: w.rlike("[^\\x00-\\x7F]"))
-    value = lambda i: F.when(latin, lookup(LATIN_NUMBERS, F.get(ws, F.lit(i)))).otherwise(lookup(NUMBERS, F.get(ws, F.lit(i)))).cast("int")
-    tail = F.when(F.size(ws) == 2, F.lit(0)).otherwise(value(2))
-    thousands = F.when(F.size(ws).isin(2, 3) & F.get(ws, F.lit(1)).isin(*THOUSAND), value(0) * 1000 + tail)
-    return F.when(F.size(ws) == 1, value(0)).otherwise(thousands)
+def _word(text: Column, i: int) -> Column:
+    return F.get(F.split(text, " ", -1), F.lit(i))
 
 
-def month_date(ws: Column) -> Column:
-    """DD/MM of a day's and a month's word, with /YY if a year from 1900 to 2099 stands behind them; else null."""
-    day, month = lookup(NUMBERS, F.get(ws, F.lit(0))).cast("int"), lookup(MONTHS, F.get(ws, F.lit(1))).cast("int")
-    year = small_cardinal(F.slice(ws, 3, F.greatest(F.size(ws) - 2, F.lit(0))))
-    short = F.when(day >= 1, F.format_string("%02d/%02d", day, month))
-    short = F.when(day.isNotNull() & month.isNotNull(), short)
-    return F.when(F.size(ws) == 2, short).when(F.size(ws) > 2, F.when(year.between(1900, 2099), F.concat(short, F.format_string("/%02d", year % 100))))
+def small_cardinal(text: Column, first: int = 0) -> Column:
+    """The number of one known word of a cleaned text, or of one before a thousand and perhaps one behind it; else null. first: the word to begin with."""
+    n = F.size(F.split(text, " ", -1)) - first
+    latin = ~text.rlike("[^\\x00-\\x7F]") if first == 0 else F.lit(False)
+    value = lambda i: F.when(latin, lookup(LATIN_NUMBERS, _word(text, i + first))).otherwise(lookup(NUMBERS, _word(text, i + first))).cast("int")
+    tail = F.when(n == 2, F.lit(0)).otherwise(value(2))
+    thousands = F.when(n.isin(2, 3) & _word(text, first + 1).isin(*THOUSAND), value(0) * 1000 + tail)
+    return F.when(n == 1, value(0)).otherwise(thousands)
 
 
-def stand_in(s: Column) -> Column:
-    """A Hindi span with a date or cardinal that a stand-in reads, if it has no reason or no grammar was there; else as it was."""
+def month_date(text: Column) -> Column:
+    """DD/MM of a day's and a month's word of a cleaned text, with /YY if a year from 1900 to 2099 stands behind them; else null."""
+    day, month = lookup(NUMBERS, _word(text, 0)).cast("int"), lookup(MONTHS, _word(text, 1)).cast("int")
+    n, year = F.size(F.split(text, " ", -1)), small_cardinal(text, 2)
+    short = F.when((day >= 1) & month.isNotNull(), F.format_string("%02d/%02d", day, month))
+    return F.when(n == 2, short).when((n > 2) & year.between(1900, 2099), F.concat(short, F.format_string("/%02d", year % 100)))
 
-    def read(ws: Column) -> Column:
-        return F.when(s["cls"] == "date", month_date(ws)).when(s["cls"] == "cardinal", small_cardinal(ws).cast("string"))
 
-    rule = F.when(s["cls"] == "date", DATE_RULE).otherwise(CARDINAL_RULE)
-    free = (F.coalesce(s["fallback_reason"], F.lit("")) == "") | s["fallback_reason"].contains("wfst_unavailable")
+def with_stand_ins(df: DataFrame, spans: str, hindi: Column, out: str) -> DataFrame:
+    """df with spans of which the Hindi dates and cardinals that a stand-in reads are its own, if they have no reason or no grammar was there."""
 
-    def outcome(value: Column) -> Column:
+    def read(s: Column, text: Column) -> Column:
+        return F.when(s["cls"] == "date", month_date(text)).when(s["cls"] == "cardinal", small_cardinal(text).cast("string"))
+
+    def outcome(s: Column, value: Column) -> Column:
+        free = (F.coalesce(s["fallback_reason"], F.lit("")) == "") | s["fallback_reason"].contains("wfst_unavailable")
         changed = F.struct(
-            s["cls"].alias("cls"), s["raw"].alias("raw"), value.alias("canonical"), rule.alias("rule_id"), F.lit(CONF).alias("conf"), F.lit(False).alias("ambiguous"),
+            s["cls"].alias("cls"), s["raw"].alias("raw"), value.alias("canonical"), F.when(s["cls"] == "date", DATE_RULE).otherwise(CARDINAL_RULE).alias("rule_id"), F.lit(CONF).alias("conf"), F.lit(False).alias("ambiguous"),
             s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("fallback_reason"),
         )
         return F.when(value.isNotNull() & free, changed.cast(SPAN)).otherwise(s.cast(SPAN))
 
-    return let(let(words(s["raw"]), read), outcome)
+    # Each step is a column of its own: lambdas in lambdas are costly to analyse.
+    staged = df.withColumn("__cleaned", F.when(hindi, F.transform(spans, lambda s: clean(s["raw"]))).otherwise(F.array().cast("array<string>")))
+    staged = staged.withColumn("__values", F.zip_with(spans, "__cleaned", read))
+    return staged.withColumn(out, F.zip_with(spans, "__values", outcome)).drop("__cleaned", "__values")
 
 
 def latin_cardinals(text: Column) -> Column:
     """Spans of the cardinals that are known in Latin letters."""
 
     def one(m: Column) -> Column:
-        return span(F.lit("cardinal"), m["raw"], m["start"], m["end"], F.lit(LATIN_RULE), CONF, small_cardinal(words(m["raw"])).cast("string"))
+        return span(F.lit("cardinal"), m["raw"], m["start"], m["end"], F.lit(LATIN_RULE), CONF, small_cardinal(clean(m["raw"])).cast("string"))
 
     return F.transform(matches(text, LATIN_CARDINAL), one).cast(f"array<{SPAN}>")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import scripts
 from ..functions.domain import domain_terms
 from ..functions.spans import SPAN
-from ..functions.standins import latin_cardinals, stand_in
+from ..functions.standins import latin_cardinals, with_stand_ins
 from . import itn
 from .itn import VERSION, grammar_classifier, normalize_segments
 
@@ -39,7 +39,7 @@ def offline_classifier(inner: Callable[[DataFrame, str, str, str], DataFrame]) -
     def classify(df: DataFrame, text: str, lang: str, out: str) -> DataFrame:
         hindi = F.col(lang) == "hi"
         staged = inner(df, text, lang, "__inner")
-        staged = staged.withColumn("__inner", F.when(hindi, F.transform("__inner", stand_in)).otherwise(F.col("__inner").cast(f"array<{SPAN}>")))
+        staged = with_stand_ins(staged, "__inner", hindi, "__inner")
         more = F.concat(domain_terms(F.col(text)), F.when(hindi, latin_cardinals(F.col(text))).otherwise(F.array().cast(f"array<{SPAN}>")))
         clear = lambda a: ~F.exists("__inner", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
         both = F.concat("__inner", F.filter("__more", clear))

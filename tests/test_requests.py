@@ -1,5 +1,6 @@
 """Request contexts and packs, languages and numbers in any order, on small fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnwright.functions import grammar, languages
@@ -40,3 +41,14 @@ def test_languages_and_permissive_numbers(spark):
     assert one(languages.effective_languages(known, F.array(F.lit("xx")))) is None and one(languages.effective_languages(known, F.array().cast("array<string>"))) == ["hi", "ta"]
     for said, want in {"सौ": "100", "पाँच सौ": "500", "दो लाख सौ": "200100", "": None, "कुछ": None, "दस कुछ": None}.items():
         assert one(grammar.permissive_cardinal(F.lit(said), HI)) == want
+
+
+def test_decoders_and_detected_languages(spark):
+    rows = spark.createDataFrame([(" CTC ", "Hindi", 0.7), ("x", "ta: Tamil", 0.69), (None, "xx", 0.9), ("", None, 1.0), ("rnnt", "tam", None)], "d string, l string, c double")
+    own = F.array(F.lit("hi"), F.lit("ta"))
+    got = rows.select(languages.decoder(F.col("d")).alias("a"), languages.decoder(F.col("d"), "CTC").alias("b"), languages.decoder(F.col("d"), "?").alias("c"), languages.accepted_language(F.col("l"), F.col("c"), own).alias("l"), languages.accepted_language(F.col("l"), F.col("c"), own, "hi").alias("v")).collect()
+    assert [tuple(r) for r in got] == [("ctc", "ctc", "ctc", "hi", "hi"), ("rnnt", "ctc", "rnnt", None, "hi"), ("rnnt", "ctc", "rnnt", None, "hi"), ("rnnt", "ctc", "rnnt", None, "hi"), ("rnnt", "rnnt", "rnnt", None, "hi")]
+    asked = spark.createDataFrame([(" HI",), ("auto",), (None,), ("",)], "l string")
+    assert [r.l for r in asked.select(languages.asked_language(F.col("l"), own).alias("l")).collect()] == ["hi", None, None, None]
+    with pytest.raises(Exception, match="unsupported language mr; supported: hi, ta"):
+        spark.createDataFrame([("mr",)], "l string").select(languages.asked_language(F.col("l"), own)).collect()

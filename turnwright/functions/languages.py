@@ -61,3 +61,28 @@ def has_currency_cue(text: Column, language: Column, region: Column) -> Column:
     words = {key: "\x1f".join(accept) for key, (accept, _, _) in CURRENCY_CUES.items()}
     mine = F.coalesce(lookup(words, F.concat_ws("-", language, F.nullif(region, F.lit("")))), lookup(words, language))
     return F.exists(F.split(mine, "\x1f"), lambda w: text.contains(w))
+
+
+DECODERS = ("ctc", "rnnt")
+LEAST_CONFIDENCE = 0.7
+
+
+def asked_language(label: Column, supported: Column) -> Column:
+    """A request's language, trimmed and in lower case; null for none or `auto`; an error for one that is not in the array `supported`."""
+
+    def checked(code: Column) -> Column:
+        wrong = F.raise_error(F.concat(F.lit("unsupported language "), code, F.lit("; supported: "), F.array_join(F.array_sort(supported), ", ")))
+        return F.when(~code.isin("", "auto"), F.when(F.array_contains(supported, code), code).otherwise(wrong))
+
+    return let(F.lower(F.trim(F.coalesce(label, F.lit("")))), checked)
+
+
+def decoder(asked: Column, default: str = "rnnt") -> Column:
+    """The asked decoder if it is known, else the default if that is known, else rnnt."""
+    known = default.strip().lower() if default.strip().lower() in DECODERS else "rnnt"
+    return let(F.lower(F.trim(F.coalesce(asked, F.lit("")))), lambda d: F.when(d.isin(*DECODERS), d).otherwise(known))
+
+
+def accepted_language(label: Column, confidence: Column, supported: Column, otherwise: str | None = None) -> Column:
+    """The supported language of a detected label if the confidence is 0.7 or more and there is one; else `otherwise`. Nulls are not accepted."""
+    return F.coalesce(F.when(confidence >= LEAST_CONFIDENCE, supported_code(label, supported)), F.lit(otherwise))

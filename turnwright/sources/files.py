@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.phrases import display, distinct_variants, variant_key
+from ..operators.turns import mark_overlaps
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +24,12 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", at(7).alias("speaker"), at(3).cast("double").alias("start_sec"), (at(3).cast("double") + at(4).cast("double")).alias("end_sec"))
 
 
+def read_turns(spark: SparkSession, path: str, bucket: float = 60.0) -> DataFrame:
+    """read_rttm()'s rows with overlap_flag, and place: from 0 in each file by start, end and speaker."""
+    by = Window.partitionBy("path").orderBy("start_sec", "end_sec", "speaker")
+    return mark_overlaps(read_rttm(spark, path), ["path"], bucket=bucket).withColumn("place", F.row_number().over(by) - 1)
+
+
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     """place, key, variants of a phrase file: `_` between variants, `#` before comments, groups of one first variant joined."""
     numbered = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())

@@ -34,16 +34,15 @@ def polyphase(x: np.ndarray, up: int, down: int) -> np.ndarray:
     taps = low_pass(up, down)
     half = len(taps) // 2
     reach = half // up + 1  # samples on either side that a tap can meet
-    padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + 1)])
+    near = np.arange(-reach, reach + 2)
+    tap = half + np.arange(up)[:, None] - near * up
+    phases = np.where((tap >= 0) & (tap < len(taps)), taps[np.clip(tap, 0, len(taps) - 1)], 0.0)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(reach), x, np.zeros(reach + 1)]), len(near))
     size = -(-len(x) * up // down)
-    out, near = np.empty(size), np.arange(-reach, reach + 2)
-    step = max(1, BLOCK // len(near))
+    out, step = np.empty(size), max(1, BLOCK // len(near))
     for a in range(0, size, step):
         at = np.arange(a, min(size, a + step)) * down
-        k = at[:, None] // up + near  # places of samples
-        tap = at[:, None] - k * up + half
-        held = (tap >= 0) & (tap < len(taps)) & (k >= -reach) & (k < len(x) + reach + 1)
-        out[a : a + step] = (np.where(held, taps[np.clip(tap, 0, len(taps) - 1)], 0.0) * padded[np.clip(k + reach, 0, len(padded) - 1)]).sum(1)
+        out[a : a + step] = np.einsum("ij,ij->i", around[at // up], phases[at % up])
     return out
 
 

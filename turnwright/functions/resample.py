@@ -31,6 +31,8 @@ def polyphase(x: np.ndarray, up: int, down: int) -> np.ndarray:
     Only taps that meet a sample are multiplied, and outputs are made a block at a time, so that memory beside the sound is
     bounded by BLOCK.
     """
+    if not len(x):
+        return np.empty(0)
     taps = low_pass(up, down)
     half = len(taps) // 2
     reach = half // up + 1  # samples on either side that a tap can meet

@@ -39,3 +39,13 @@ def test_tagged_and_policy(spark):
     assert tuple(row) == (None, "ambiguous_numeric_date", None, 'percent { value: "10" }', 'money { currency: "INR" amount: "10" }')
     with pytest.raises(ValueError):
         grammar.normalize(F.col("d"), "nothing", HI)
+
+
+@pytest.mark.parametrize("lex", [HI, MR], ids=["hi", "mr"])
+def test_cardinals_of_many_arabs(spark, lex):
+    """Keys of larger tables give numbers of two and more arabs."""
+    n = [1_999_999_999, 2_000_000_000, 7_127_100_013, 99_000_000_000, 427_630_000_007, 10**15 + 13, 9_007_199_254_740_993, 10**18 - 1]
+    rows = spark.createDataFrame([(i,) for i in n], "n long").select("n", grammar.spoken_integer(F.col("n"), lex).alias("w"))
+    assert [(r.n, r.v) for r in rows.select("n", grammar.cardinal(F.col("w"), lex).alias("v")).collect()] == [(i, str(i)) for i in n]
+    bare = [lex.arab[0], f"{lex.arab[0]} {lex.word(1)}", f"{lex.word(0)} {lex.arab[0]}", f"{lex.word(2)} {lex.arab[0]} ", f"{lex.word(2)} {lex.word(3)} {lex.arab[0]}", f"{lex.word(2)} {lex.arab[0]} {lex.word(2)} {lex.arab[0]}"]
+    assert {r.v for r in spark.createDataFrame([(w,) for w in bare], "w string").select(grammar.cardinal(F.col("w"), lex).alias("v")).collect()} == {None}

@@ -16,6 +16,9 @@ from .columns import let, lookup
 from .lexicon import AM, PAISE, PM, RUPEE_SIGNS, RUPEES, Lexicon
 
 
+ARAB = 1_000_000_000
+
+
 def any_of(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
@@ -30,21 +33,28 @@ def grouped(digits: Column) -> Column:
     return let(digits, lambda d: F.when(d.rlike("^(?:[0-9]|[1-9][0-9]{1,9})$"), F.regexp_replace(d, "(?<=[0-9])(?=(?:[0-9][0-9])+[0-9]$)", ",")))
 
 
+def _steps(lex: Lexicon, behind: str) -> tuple[str, list[tuple[dict[str, int], int]]]:
+    """A pattern of a number below an arab, each of its words in a group, and what each group's words are and weigh; behind: what ends a word."""
+    step = lambda unit: f"(?:([^ ]+) (?:{any_of(unit)}){behind})?"
+    hundreds, heads = (step(lex.hundred), (lex.values(1, 9), 100)) if lex.hundred else (f"(?:({any_of(lex.hundred_heads)}){behind})?", (lex.hundred_heads, 100))
+    return step(lex.crore) + step(lex.lakh) + step(lex.thousand) + hundreds, [(lex.values(1, 99), w) for w in (10_000_000, 100_000, 1_000)] + [heads]
+
+
 def cardinal(raw: Column, lex: Lexicon) -> Column:
-    one_up, digit_up = any_of(lex.values(1, 99)), any_of(lex.values(1, 9))
-    step = lambda words, unit: f"(?:({words}) (?:{any_of(unit)})(?: |$))?"
-    hundreds = step(digit_up, lex.hundred) if lex.hundred else f"(?:({any_of(lex.hundred_heads)})(?: |$))?"
-    pattern = "^(?!.* $)(?=.)" + step(lex.word(1), lex.arab) + step(one_up, lex.crore) + step(one_up, lex.lakh) + step(one_up, lex.thousand) + hundreds + f"({any_of(lex.values())})?$"
-    values = lex.values() | lex.hundred_heads
-    weights = (1_000_000_000, 10_000_000, 100_000, 1_000, 100, 1)
+    """Digits of a number below 10^18; a number below an arab may stand before the word for one."""
+    # A word's place says what it may be, so groups take any word and the tables say whether it is known.
+    (head, head_values), (tail, tail_values) = _steps(lex, " "), _steps(lex, "(?: |$)")
+    arab = any_of(lex.arab)
+    pattern = f"^(?!.* $)(?=.)(?:(?=.* (?:{arab})(?: |$))(?!(?:{arab}) ){head}(?:([^ ]+) )?(?:{arab})(?: |$))?{tail}([^ ]+)?$"
+    groups_of = [(v, w * ARAB) for v, w in [*head_values, (lex.values(1, 99), 1)]] + [*tail_values, (lex.values(), 1)]
 
     def spelled(r: Column) -> Column:
         # One match gives all groups; what does not match comes back whole.
-        groups = F.split(F.regexp_replace(r, pattern, "\u0001".join(f"${i}" for i in range(1, 7))), "\u0001", -1)
+        groups = F.split(F.regexp_replace(r, pattern, "\u0001".join(f"${i}" for i in range(1, len(groups_of) + 1))), "\u0001", -1)
 
         def total(g: Column) -> Column:
-            terms = [F.coalesce(F.when(F.get(g, i - 1) != "", lookup(values, F.get(g, i - 1))).cast("long"), F.lit(0)) * w for i, w in enumerate(weights, 1)]
-            return F.when((F.size(g) == 6) & ~r.contains("\u0001"), sum(terms[1:], terms[0]).cast("string"))
+            terms = [F.when(F.get(g, F.lit(i)) == "", F.lit(0).cast("long")).otherwise(lookup(v, F.get(g, F.lit(i))).cast("long") * w) for i, (v, w) in enumerate(groups_of)]
+            return F.when((F.size(g) == len(groups_of)) & ~r.contains("\u0001"), sum(terms[1:], terms[0]).cast("string"))
 
         return let(groups, total)
 
@@ -194,21 +204,27 @@ def tagged(raw: Column, cls: str, lex: Lexicon) -> Column:
     return F.concat(F.lit(f'{cls} {{ value: "'), bare, F.lit('" }'))
 
 
-def spoken_integer(n: Column, lex: Lexicon) -> Column:
-    """The words of an integer below two thousand million: the inverse of cardinal()."""
-    words = F.array(*[F.lit(lex.word(i)) for i in range(100)])
+def _spoken_pieces(n: Column, lex: Lexicon) -> list[Column]:
+    """The words of an integer below an arab, in order; none for zero."""
+    words = F.split(F.lit("\n".join(lex.word(i) for i in range(100))), "\n")
     at = lambda x: F.get(words, x.cast("int"))
-    digit = lambda unit, span: F.pmod(F.floor(n / unit), F.lit(span))
-    pieces = [F.when(n >= 1_000_000_000, F.lit(f"{lex.word(1)} {lex.arab[0]}"))]
+    pieces = []
     for unit, name in ((10_000_000, lex.crore[0]), (100_000, lex.lakh[0]), (1_000, lex.thousand[0])):
-        d = digit(unit, 100)
+        d = F.pmod(F.floor(n / unit), F.lit(100))
         pieces.append(F.when(d > 0, F.concat(at(d), F.lit(f" {name}"))))
-    d = digit(100, 10)
-    heads = {n: w for w, n in reversed(list(lex.hundred_heads.items()))}
-    hundreds = F.concat(at(d), F.lit(f" {lex.hundred[0]}")) if lex.hundred else F.get(F.array(F.lit(""), *[F.lit(heads[i]) for i in range(1, 10)]), d.cast("int"))
+    d = F.pmod(F.floor(n / 100), F.lit(10))
+    heads = {i: w for w, i in reversed(list(lex.hundred_heads.items()))}
+    hundreds = F.concat(at(d), F.lit(f" {lex.hundred[0]}")) if lex.hundred else F.get(F.split(F.lit("\n".join(["", *(heads[i] for i in range(1, 10))])), "\n"), d.cast("int"))
     rest = F.pmod(n, F.lit(100))
-    pieces += [F.when(d > 0, hundreds), F.when((rest > 0) | (n == 0), at(rest))]
-    return F.concat_ws(" ", *pieces)
+    return [*pieces, F.when(d > 0, hundreds), F.when(rest > 0, at(rest))]
+
+
+def spoken_integer(n: Column, lex: Lexicon) -> Column:
+    """The words of an integer from 0 to below 10^18: the inverse of cardinal(). Arabs are counted in words of their own."""
+    low = F.pmod(n, F.lit(ARAB))
+    arabs = F.round((n - low) / ARAB).cast("long")
+    head = F.when(n >= ARAB, F.concat_ws(" ", *_spoken_pieces(arabs, lex), F.lit(lex.arab[0])))
+    return F.concat_ws(" ", head, *_spoken_pieces(low, lex), F.when(n == 0, lex.word(0)))
 
 
 def permissive_cardinal(raw: Column, lex: Lexicon) -> Column:

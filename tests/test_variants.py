@@ -47,3 +47,13 @@ def test_routing_of_mixed_scripts(spark):
     said = {"नमस्ते ok": "Devanagari", "ok ठ": "Latin", "abকখগঘ": "Bengali", "12 34": "Common", "": "Common", None: "Common", "aअ": "Devanagari", "தமிழ் x": "Tamil"}
     rows = spark.createDataFrame([(t,) for t in said], "text string").select("text", scripts.routed(F.col("text")).alias("r")).collect()
     assert {r.text: r.r.script for r in rows} == said
+
+
+def test_forms_are_made_once_for_a_value(spark):
+    """An explode infers a filter on the variants; it must not make them anew for every row below the join."""
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate([("05/09/2024", True), ("05/09/2024", False), ("05/09/2024", None), (None, True), ("05/09/2024", True)])], "id int, said string, hi boolean")
+    made = phrases.variants(rows, "said", "dates", hindi=F.col("hi"))
+    got = {r.id: r.variants for r in made.collect()}
+    assert got[0] == got[4] and got[1] == got[2] and len(got[0]) > len(got[1]) > 0 and got[3] == []
+    plan = made.select("id", F.posexplode("variants"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "try_to_timestamp" in line.lower() or "gettimestamp" in line.lower() and "Filter" in line]

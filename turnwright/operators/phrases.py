@@ -100,13 +100,22 @@ def date_variants(shown: Column, hindi: Column | None = None) -> Column:
 
 
 def variants(df: DataFrame, text: str, field: Column | str, out: str = "variants", hindi: bool | Column = False) -> DataFrame:
-    """df with distinct variants of a value, by its field; hindi says whether the request's language is Hindi."""
+    """df with distinct variants of a value, by its field; hindi says whether the request's language is Hindi.
+
+    A value's forms are made once for all rows that show it the same way, and joined back to them; a hot value's rows are a
+    join key that AQE splits.
+    """
     kind = F.lit(field) if isinstance(field, str) else field
-    spoken = (F.lit(True) if hindi else None) if isinstance(hindi, bool) else hindi
-    staged = df.withColumn("__shown", display(F.col(text)))
-    shown = F.col("__shown")
-    made = F.when(kind == "amounts", amount_variants(shown, spoken)).when(kind == "dates", date_variants(shown, spoken)).otherwise(general_variants(shown, spoken))
-    return staged.withColumn("__made", made).withColumn(out, distinct_variants(F.col("__made"))).drop("__shown", "__made")
+    spoken = F.lit(bool(hindi)) if isinstance(hindi, bool) else F.coalesce(hindi, F.lit(False))
+    # The key is never null: unknown fields are as any other, and null values are shown as empty.
+    known = F.when(kind.isin("amounts", "dates"), kind).otherwise("")
+    keyed = df.withColumn("__shown", display(F.col(text))).withColumn("__form", F.struct(F.col("__shown").alias("shown"), known.alias("kind"), spoken.alias("hindi"))).drop("__shown")
+    shown, kind, local = F.col("__value.shown"), F.col("__value.kind"), None if hindi is False else F.col("__value.hindi")
+    made = F.when(kind == "amounts", amount_variants(shown, local)).when(kind == "dates", date_variants(shown, local)).otherwise(general_variants(shown, local))
+    # Taken as an aggregate, the forms can't be written into the filter that an explode infers, which would make them anew for every row.
+    forms = keyed.select(F.col("__form").alias("__value")).distinct().withColumn("__made", made)
+    forms = forms.groupBy("__value").agg(F.get(F.collect_list(distinct_variants(F.col("__made"))), F.lit(0)).alias(out))
+    return keyed.join(forms, F.col("__form") == F.col("__value")).drop("__form", "__value")
 
 
 def rank_tokens(text: Column) -> Column:

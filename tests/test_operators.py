@@ -40,6 +40,15 @@ def test_crosstalk(spark):
     assert got == {(1, 0, 0.0), (1, 1, 0.3), (1, 7, 0.0), (2, 0, 0.0)}
 
 
+def test_crosstalk_work_grows_with_frames(spark):
+    """What all frames of a turn share is written once in the plan, outside of what is done for every frame."""
+    loud = spark.createDataFrame([(1, 0, [-20.0] * 40), (1, 1, [-24.0] * 20 + [-21.0] * 20), (2, 0, [-20.0] * 40)], "call int, channel int, db array<double>")
+    said = spark.createDataFrame([(1, 0, 0.0, 1.2), (1, 1, 0.0, 0.6), (1, 1, 0.6, 1.2), (2, 0, 0.0, 1.2), (3, 0, 0.0, 1.0)], "call int, channel int, start_sec double, end_sec double")
+    out = turns.gate_crosstalk(said, loud, "call")
+    assert {tuple(r)[:3] for r in out.collect()} == {(1, 0, 0.0), (1, 1, 0.6), (2, 0, 0.0), (3, 0, 0.0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("slice(") <= 3
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([("Rs 1,250",), ("HDFC",), ("A_B  c",), ("12/05/2026",), ("",)], "v string")
     kinds = F.when(F.col("v").startswith("Rs"), "amounts").when(F.col("v").contains("/"), "dates").otherwise("city")

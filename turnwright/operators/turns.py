@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.spans import SPAN
 
 LABELS = {"customer": "👤 Customer", "agent": "🎧 Agent"}
@@ -114,15 +115,18 @@ def gate_crosstalk(turns: DataFrame, loudness: DataFrame, key: str, margin: floa
     staged = turns.join(call, key, "left").withColumn("__a", F.greatest(F.floor(F.col("start_sec") / frame).cast("int"), F.lit(0)))
     staged = staged.withColumn("__b", F.least(F.col("__frames"), F.bround(F.col("end_sec") / frame).cast("int")))
     cut = lambda db: F.slice(db, F.col("__a") + 1, F.greatest(F.col("__b") - F.col("__a"), F.lit(0)))
-    staged = staged.withColumn("__mine", cut(F.try_element_at("__db", F.col(channel))))
     others = F.transform(F.map_values(F.map_filter("__db", lambda c, _: c != F.col(channel))), cut)
-    staged = staged.withColumn("__others", others)
-    loud = lambda i: F.coalesce(F.array_max(F.transform("__others", lambda o: F.get(o, i))), F.lit(-120.0))
-    speech = F.filter(F.transform("__mine", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: x["v"] > F.array_max("__mine") - floor)
-    staged = staged.withColumn("__speech", speech)
-    owned = F.size(F.filter("__speech", lambda x: x["v"] >= loud(x["i"]) - margin))
-    stays = F.col("__mine").isNull() | (F.size("__db") < 2) | (F.size("__mine") == 0) | (F.size("__speech") == 0) | (owned / F.size("__speech") >= keep)
-    return staged.filter(stays).drop("__db", "__frames", "__a", "__b", "__mine", "__others", "__speech")
+    mine = cut(F.try_element_at("__db", F.col(channel)))
+
+    def stays(c: Column) -> Column:
+        # Each frame meets the other channels once; values that all frames share are written once, as a filter would make them anew for every frame.
+        loudest = lambda i: F.coalesce(F.array_max(F.transform(c["others"], lambda o: F.get(o, i))), F.lit(-120.0))
+        frames = F.transform(c["mine"], lambda v, i: F.struct(v.alias("v"), F.when(v > c["least"], loudest(i)).alias("loud")))
+        own = lambda x: F.size(F.filter(x, lambda f: f["v"] >= f["loud"] - margin)) / F.size(x) >= keep
+        return let(F.filter(frames, lambda f: f["v"] > c["least"]), lambda x: c["mine"].isNull() | (c["channels"] < 2) | (F.size(c["mine"]) == 0) | (F.size(x) == 0) | own(x))
+
+    held = F.struct(mine.alias("mine"), others.alias("others"), (F.array_max(mine) - floor).alias("least"), F.size("__db").alias("channels"))
+    return staged.filter(let(held, stays)).drop("__db", "__frames", "__a", "__b")
 
 
 def attribute(words: DataFrame, turns: DataFrame, key: str, bucket: float = 60.0) -> DataFrame:

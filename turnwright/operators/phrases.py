@@ -118,6 +118,15 @@ def variants(df: DataFrame, text: str, field: Column | str, out: str = "variants
     return keyed.join(forms, F.col("__form") == F.col("__value")).drop("__form", "__value")
 
 
+def variants_by_row(df: DataFrame, text: str, field: Column, out: str = "variants", hindi: bool | Column = False) -> DataFrame:
+    """The same without a join, for plans that use the result many times and would hold the join as often."""
+    spoken = (F.lit(True) if hindi else None) if isinstance(hindi, bool) else hindi
+    staged = df.withColumn("__shown", display(F.col(text)))
+    shown = F.col("__shown")
+    made = F.when(field == "amounts", amount_variants(shown, spoken)).when(field == "dates", date_variants(shown, spoken)).otherwise(general_variants(shown, spoken))
+    return staged.withColumn("__made", made).withColumn(out, distinct_variants(F.col("__made"))).drop("__shown", "__made")
+
+
 def rank_tokens(text: Column) -> Column:
     return F.filter(F.split(variant_key(text), " "), lambda t: t != "")
 

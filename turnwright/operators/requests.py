@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import devanagari
 from ..functions.clean import composed
 from ..functions.grammar import let
-from .phrases import display, distinct_variants, general_variants, phrase_pack, plain_display, ranked, variant_key, variants
+from .phrases import display, distinct_variants, general_variants, phrase_pack, plain_display, ranked, variant_key, variants_by_row
 
 SCALARS = ("debtor_name", "agent_name", "lender", "product", "city", "branch")
 LISTS = ("account_terms", "prior_call_entities", "campaign_vocabulary", "amounts", "dates")
@@ -51,7 +51,7 @@ def candidates(requests: DataFrame, request: str, context: str = "context", hind
     named = lambda f: lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
     lists = [F.transform(F.col(f"{context}.{f}"), named(f)) for f in LISTS]
     rows = requests.select("*", F.posexplode(F.filter(F.concat(*scalars, *lists), lambda x: x["value"] != "")).alias("pos", "x"))
-    made = variants(rows.withColumns({"field": F.col("x.field"), "value": F.col("x.value")}), "value", F.col("field"), hindi=hindi).filter(F.size("variants") > 0)
+    made = variants_by_row(rows.withColumns({"field": F.col("x.field"), "value": F.col("x.value")}), "value", F.col("field"), hindi=hindi).filter(F.size("variants") > 0)
     first = F.get("variants", F.lit(0))
     return made.select(request, "pos", variant_key(first).alias("key"), "field", first.alias("canonical"), "variants", F.lit(True).alias("explicit"))
 

@@ -155,3 +155,46 @@ def test_batch_rows(spark):
     got = {r.id: (r.language_id, r.transcript) for r in reporting.batch_rows(ids, jobs, "id", keep_unknown=True).collect()}
     assert got == {1: ("hi-IN", "t"), 2: ("en", "ERROR: x"), 3: ("hi-IN", "ERROR: Job data lost")}
     assert reporting.batch_rows(ids, jobs, "id").count() == 2
+
+
+def test_attribution_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    said = [(call, i, float(a), float(a + rng.integers(1, 30))) for call in (1, 2) for i, a in enumerate(rng.integers(0, 200, 60))]
+    own = [(call, f"s{i}", float(a), float(a + n)) for call in (1, 3) for i, (a, n) in enumerate(zip(rng.integers(0, 200, 80), rng.integers(-2, 25, 80)))]
+    own += [(2, f"t{i}", i * 0.25, i * 0.25 + 3) for i in range(700)]
+    words = spark.createDataFrame(said, "call long, word_no long, start_sec double, end_sec double")
+    got = {(r.call, r.word_no): r for r in turns.attribute(words, spark.createDataFrame(own, "call long, speaker string, start_sec double, end_sec double"), "call", bucket=60.0).collect()}
+    assert len(got) == len(said)
+    for call, no, a, b in said:
+        shares = [(min(b, y) - max(a, x), -x, who) for c, who, x, y in own if c == call and a < y and x < b]
+        r = got[call, no]
+        if not shares:
+            assert r.speaker is None and r.confidence is None
+        else:
+            share, start, _ = max(shares)
+            assert r.confidence == share / (b - a) and r.speaker in {w for s, x, w in shares if (s, x) == (share, start)}
+
+
+def test_attribution_does_not_pair_words_with_all_turns(spark):
+    """Turns of one length, none within another: every word meets all of them, and no join of the plan pairs them."""
+    size = 400
+    words = spark.range(size).selectExpr("1L as call", "id as word_no", "50 + id / 1000 as start_sec", "55 + id / 1000 as end_sec")
+    own = spark.range(size).selectExpr("1L as call", "'a' as speaker", "id / 100 as start_sec", "52 + id / 100 as end_sec")
+    out = turns.attribute(words, own, "call")
+    assert out.filter("speaker = 'a'").count() == size
+    done = out._jdf.queryExecution()
+    done.executedPlan().execute().count()
+    most, left = 0, [done.executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif "QueryStage" in name:
+            left.append(node.plan())
+        else:
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in name and rows.isDefined():
+            most = max(most, rows.get().value())
+    assert 0 < most <= 30 * size

@@ -130,11 +130,50 @@ def gate_crosstalk(turns: DataFrame, loudness: DataFrame, key: str, margin: floa
 
 
 def attribute(words: DataFrame, turns: DataFrame, key: str, bucket: float = 60.0) -> DataFrame:
-    """words (key, word_no, start_sec, end_sec) with the speaker of most shared time and confidence, its part of the word."""
+    """words (key, word_no, start_sec, end_sec) with the speaker of most shared time and confidence, its part of the word.
+
+    Of turns that share as much the first one counts. A turn never shares more than one that holds it, so in each bucket
+    only turns that no other holds are kept: in the order of their starts their ends go up too. Those that meet a word are
+    then a run, whose best is one of the turns at its ends or the longest of those inside the word, which is found in
+    blocks of 1, 2, 4, ... turns. However many turns meet a word, it asks for a few of them and two blocks of a size, so
+    work grows with words and turns times the logarithm of a bucket's turns.
+    """
     spread = lambda: F.explode(F.sequence(F.floor(F.col("start_sec") / bucket), F.floor(F.col("end_sec") / bucket)))
-    left = words.select(key, "word_no", F.col("start_sec").alias("ws"), F.col("end_sec").alias("we"), spread().alias("b"))
-    right = turns.select(F.col(key).alias("__k"), "speaker", F.col("start_sec").alias("ts"), F.col("end_sec").alias("te"), spread().alias("__b"))
-    met = left.join(right, (F.col(key) == F.col("__k")) & (F.col("b") == F.col("__b")) & (F.col("ws") < F.col("te")) & (F.col("ts") < F.col("we")))
-    shared = met.select(key, "word_no", "ws", "we", "speaker", "ts", "te").distinct().withColumn("share", F.least("we", "te") - F.greatest("ws", "ts"))
-    best = shared.groupBy(key, "word_no").agg(F.max_by(F.struct("speaker", (F.col("share") / (F.col("we") - F.col("ws"))).alias("confidence")), F.struct("share", -F.col("ts"))).alias("best"))
+    by = Window.partitionBy("__k", "__b")
+    held = F.max("te").over(by.orderBy("ts", F.desc("te"), "speaker").rowsBetween(Window.unboundedPreceding, -1))
+    own = turns.select(F.col(key).alias("__k"), "speaker", F.col("start_sec").alias("ts"), F.col("end_sec").alias("te"), spread().alias("__b"))
+    outer = own.withColumn("__held", held).filter(F.col("__held").isNull() | (F.col("te") > F.col("__held")))
+    outer = outer.withColumns({"__i": F.row_number().over(by.orderBy("ts")) - 1, "__n": F.count(F.lit(1)).over(by)})
+    shifted = lambda c, level: F.call_function("shiftright", c, level)
+    blocks = outer.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2("__n")).cast("int"))))
+    blocks = blocks.groupBy("__k", "__b", "level", shifted(F.col("__i"), F.col("level")).alias("at")).agg(F.max_by(F.struct("speaker", "ts", "te"), F.struct(F.col("te") - F.col("ts"), -F.col("ts"))).alias("t"))
+
+    # How many turns start and end before a word's start, or at it, and before its end.
+    word = F.struct(F.col("word_no"), F.col("start_sec").alias("ws"), F.col("end_sec").alias("we"))
+    marks = words.select(F.col(key).alias("__k"), word.alias("w"), spread().alias("__b")).withColumn("late", F.explode(F.array(F.lit(False), F.lit(True))))
+    marks = marks.withColumns({"x": F.when(F.col("late"), F.col("w.ws")).otherwise(F.col("w.we")), "one": F.lit(0)})
+
+    def counted(edge: str) -> DataFrame:
+        both = marks.unionByName(outer.select("__k", "__b", F.col(edge).alias("x"), F.lit(1).alias("one")), allowMissingColumns=True)
+        # Turns at x stand before a word's start and behind its end.
+        order = by.orderBy("x", F.when(F.col("one") == 1, 1).when(F.col("late"), 2).otherwise(0)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("n", F.sum("one").over(order).cast("int")).filter("one = 0").withColumn("edge", F.lit(edge))
+
+    at = lambda edge, late: F.max(F.when((F.col("edge") == edge) & (F.col("late") == late), F.col("n")))
+    reach = counted("ts").unionByName(counted("te")).groupBy("__k", "__b", "w").agg(at("ts", True).alias("begun"), at("te", True).alias("over"), at("te", False).alias("within"), at("ts", False).alias("met"))
+    reach = reach.withColumns({"lo": F.greatest("begun", "over"), "hi": F.least("within", "met")})
+
+    def level_blocks(level: Column) -> Column:
+        """The blocks of a size at the two ends of the run that larger ones leave."""
+        left, right = shifted(F.col("lo") - 1, level) + 1, shifted(F.col("hi"), level)
+        left = F.when(F.col("lo") == 0, 0).otherwise(left)
+        odd = lambda c: (left < right) & (c % 2 == 1)
+        return F.array(F.when(odd(left), F.struct(level.alias("level"), left.alias("at"))), F.when(odd(right), F.struct(level.alias("level"), (right - 1).alias("at"))))
+
+    inside = F.when(F.col("lo") < F.col("hi"), F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int")), level_blocks)))
+    ends = F.array(*[F.struct(F.lit(0).alias("level"), c.alias("at")) for c in (F.col("begun") - 1, F.col("within"), F.col("over"))])
+    asked = reach.select("__k", "__b", "w", F.explode(F.concat(ends, F.coalesce(inside, F.slice(ends, 1, 0)))).alias("p")).filter("p is not null").select("__k", "__b", "w", "p.*").distinct()
+    met = asked.join(blocks, ["__k", "__b", "level", "at"]).select("__k", "w.*", "t.*").filter((F.col("ws") < F.col("te")) & (F.col("ts") < F.col("we")))
+    shared = met.withColumn("share", F.least("we", "te") - F.greatest("ws", "ts"))
+    best = shared.groupBy(F.col("__k").alias(key), "word_no").agg(F.max_by(F.struct("speaker", (F.col("share") / (F.col("we") - F.col("ws"))).alias("confidence")), F.struct("share", -F.col("ts"))).alias("best"))
     return words.join(best, [key, "word_no"], "left").select(*words.columns, "best.speaker", "best.confidence")

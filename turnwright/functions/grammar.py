@@ -2,6 +2,9 @@
 
 Each function takes a string column and a lexicon and gives the written form, or null where the whole string is not of
 that class. A class is a regular relation, so each form is one anchored pattern whose groups are looked up in a map.
+
+The string is written many times in these expressions: hand over a column or a variable, not an expression. Lambdas stand only
+where a made value is used again, as each takes the driver some ten calls to build and Spark twice the time to analyse.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import let, lookup
+from .columns import let, let_text, lookup
 from .lexicon import AM, PAISE, PM, RUPEE_SIGNS, RUPEES, Lexicon
 
 
@@ -25,12 +28,12 @@ def any_of(words: Iterable[str]) -> str:
 
 def part(raw: Column, pattern: str, group: int = 1) -> Column:
     """The group of a match of the whole string; null if there is no match or the group is empty."""
-    return let(F.regexp_extract(raw, f"^(?:{pattern})$", group), lambda x: F.when(x != "", x))
+    return F.get(F.array_remove(F.regexp_extract_all(raw, F.lit(f"^(?:{pattern})$"), F.lit(group)), ""), F.lit(0))
 
 
 def grouped(digits: Column) -> Column:
     """Indian digit groups (three, then twos) of a string of at most ten digits without a leading zero; else null."""
-    return let(digits, lambda d: F.when(d.rlike("^(?:[0-9]|[1-9][0-9]{1,9})$"), F.regexp_replace(d, "(?<=[0-9])(?=(?:[0-9][0-9])+[0-9]$)", ",")))
+    return let_text(digits, lambda d: F.when(d.rlike("^(?:[0-9]|[1-9][0-9]{1,9})$"), F.regexp_replace(d, "(?<=[0-9])(?=(?:[0-9][0-9])+[0-9]$)", ",")))
 
 
 def _steps(lex: Lexicon, behind: str) -> tuple[str, list[tuple[dict[str, int], int]]]:
@@ -56,9 +59,9 @@ def cardinal(raw: Column, lex: Lexicon) -> Column:
             terms = [F.when(F.get(g, F.lit(i)) == "", F.lit(0).cast("long")).otherwise(lookup(v, F.get(g, F.lit(i))).cast("long") * w) for i, (v, w) in enumerate(groups_of)]
             return F.when((F.size(g) == len(groups_of)) & ~r.contains("\u0001"), sum(terms[1:], terms[0]).cast("string"))
 
-        return let(groups, total)
+        return let_text(groups, total)
 
-    return let(raw, lambda r: F.coalesce(part(r, "(0|[1-9][0-9]*)"), spelled(r), _scaled_compound(r, lex)))
+    return F.coalesce(part(raw, "(0|[1-9][0-9]*)"), spelled(raw), _scaled_compound(raw, lex))
 
 
 def _scaled_compound(raw: Column, lex: Lexicon) -> Column:
@@ -80,10 +83,10 @@ def decimal(raw: Column, lex: Lexicon) -> Column:
 
     def digits(after: Column) -> Column:
         words = F.transform(F.split(after, " "), lambda w: lookup(lex.values(0, 9), w))
-        return F.coalesce(part(after, "([0-9]+)"), let(words, lambda d: F.when(~F.exists(d, lambda x: x.isNull()), F.array_join(d, ""))))
+        return F.coalesce(part(after, "([0-9]+)"), let_text(words, lambda d: F.when(~F.exists(d, lambda x: x.isNull()), F.array_join(d, ""))))
 
     def forms(r: Column) -> Column:
-        out = [F.when(r.rlike(marker), F.concat(cardinal(part(r, marker, 1), lex), F.lit("."), let(part(r, marker, 2), digits)))]
+        out = [F.when(r.rlike(marker), F.concat(let_text(part(r, marker, 1), lambda n: cardinal(n, lex)), F.lit("."), let_text(part(r, marker, 2), digits)))]
         for words, low, shift, tail in ((lex.quarter_more, 1, 0, ".25"), (lex.half_more, 3, 0, ".5"), (lex.quarter_less, 1, -1, ".75")):
             heads = lex.values(low, 99)
             out.append(lookup({w: f"{n + shift}{tail}" for w, n in heads.items()}, part(r, f"(?:{any_of(words)}) ({any_of(heads)})")))
@@ -91,12 +94,12 @@ def decimal(raw: Column, lex: Lexicon) -> Column:
             out.append(F.when(r.rlike(f"^(?:{any_of(words)})$"), F.lit(value)))
         return F.coalesce(part(r, "((?:0|[1-9][0-9]*)\\.[0-9]+)"), *out)
 
-    return let(raw, forms)
+    return forms(raw)
 
 
 def percent(raw: Column, lex: Lexicon) -> Column:
     number = part(raw, f"(.*?)(?: (?:{any_of(lex.percent)})| ?%)")
-    return let(number, lambda n: F.concat(F.coalesce(cardinal(n, lex), decimal(n, lex)), F.lit("%")))
+    return let_text(number, lambda n: F.concat(F.coalesce(cardinal(n, lex), decimal(n, lex)), F.lit("%")))
 
 
 def money(raw: Column, lex: Lexicon) -> Column:
@@ -106,15 +109,15 @@ def money(raw: Column, lex: Lexicon) -> Column:
 
     def spoken(n: Column) -> Column:
         pointed = lambda d: F.concat(grouped(part(d, "([0-9]+)\\.[0-9]+")), part(d, "[0-9]+(\\.[0-9]+)"))
-        return F.coalesce(grouped(cardinal(n, lex)), let(decimal(n, lex), pointed))
+        return F.coalesce(grouped(cardinal(n, lex)), let_text(decimal(n, lex), pointed))
 
     def forms(r: Column) -> Column:
-        cents = let(part(r, with_paise, 2), lambda c: F.coalesce(F.lpad(lookup(lex.values(1, 99), c), 2, "0"), part(c, "([0-9][0-9])")))
+        cents = let_text(part(r, with_paise, 2), lambda c: F.coalesce(F.lpad(lookup(lex.values(1, 99), c), 2, "0"), part(c, "([0-9][0-9])")))
         plain = F.concat(grouped(F.regexp_replace(part(r, signs, 1), ",", "")), F.regexp_extract(r, f"^{signs}$", 2))
-        whole = F.concat(grouped(cardinal(part(r, with_paise, 1), lex)), F.lit("."), cents)
-        return F.coalesce(plain, whole, let(F.coalesce(part(r, f"(.+) {rupees}"), part(r, f"{rupees} (.+)")), spoken))
+        whole = F.concat(let_text(part(r, with_paise, 1), lambda n: grouped(cardinal(n, lex))), F.lit("."), cents)
+        return F.coalesce(plain, whole, let_text(F.coalesce(part(r, f"(.+) {rupees}"), part(r, f"{rupees} (.+)")), spoken))
 
-    return F.concat(F.lit("₹"), let(raw, forms))
+    return F.concat(F.lit("₹"), forms(raw))
 
 
 def date_monthword(raw: Column, lex: Lexicon) -> Column:
@@ -125,21 +128,21 @@ def date_monthword(raw: Column, lex: Lexicon) -> Column:
     def forms(r: Column) -> Column:
         short = F.concat(lookup(days, part(r, pattern, 1)), F.lit("/"), lookup(months, part(r, pattern, 2)))
         year = lambda y: F.when(y.isNull(), "").otherwise(F.concat(F.lit("/"), part(cardinal(y, lex), "([0-9]{4})")))
-        return F.when(r.rlike(f"^{pattern}$"), F.concat(short, let(part(r, pattern, 3), year)))
+        return F.when(r.rlike(f"^{pattern}$"), F.concat(short, let_text(part(r, pattern, 3), year)))
 
-    return let(raw, forms)
+    return forms(raw)
 
 
 def date_numeric(raw: Column) -> Column:
     pattern = "(0?[1-9]|[12][0-9]|3[01])[/.-](0?[1-9]|1[0-2])[/.-]([0-9]{2}|[0-9]{4})"
     full = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    return let(raw, lambda r: F.concat(F.lpad(part(r, pattern, 1), 2, "0"), F.lit("/"), F.lpad(part(r, pattern, 2), 2, "0"), F.lit("/"), let(part(r, pattern, 3), full)))
+    return F.concat(F.lpad(part(raw, pattern, 1), 2, "0"), F.lit("/"), F.lpad(part(raw, pattern, 2), 2, "0"), F.lit("/"), let_text(part(raw, pattern, 3), full))
 
 
 def date(raw: Column, lex: Lexicon, date_order: Column | str = "DMY") -> Column:
     """Month words always; numbers only where the policy says day first."""
     order = F.lit(date_order) if isinstance(date_order, str) else date_order
-    return let(raw, lambda r: F.coalesce(F.when(order == "DMY", date_numeric(r)), date_monthword(r, lex)))
+    return F.coalesce(F.when(order == "DMY", date_numeric(raw)), date_monthword(raw, lex))
 
 
 def date_rejection(raw: Column, lex: Lexicon, date_order: Column | str) -> Column:
@@ -166,7 +169,7 @@ def _clock(raw: Column, lex: Lexicon) -> Column:
         out.append(F.concat(lookup(hours, part(r, past, 1)), F.lit(":"), lookup(minutes, part(r, past, 2))))
         return F.coalesce(*out)
 
-    return let(raw, forms)
+    return forms(raw)
 
 
 def time(raw: Column, lex: Lexicon) -> Column:
@@ -179,10 +182,10 @@ def time(raw: Column, lex: Lexicon) -> Column:
         for words, name in zip(first, (" AM", " PM"), strict=True):
             suffix = F.when(r.rlike(f"^(?:{words} .+|.+ {words})$"), name).otherwise(suffix)
         latin = F.when(r.rlike(f"^0?(?:[1-9]|1[0-2]):[0-5][0-9] (?:{day})$"), F.regexp_extract(r, "^0?([1-9][0-9]?:[0-5][0-9])", 1))
-        said = _clock(core, lex)
+        said = let_text(core, lambda c: _clock(c, lex))
         return F.coalesce(F.concat(F.coalesce(latin, said), suffix), part(r, "((?:[01][0-9]|2[0-3]):[0-5][0-9])"))
 
-    return let(raw, forms)
+    return forms(raw)
 
 
 CLASSES = {"cardinal": cardinal, "decimal": decimal, "percent": percent, "money": money, "date": date, "time": time}
@@ -241,4 +244,4 @@ def permissive_cardinal(raw: Column, lex: Lexicon) -> Column:
         return made.when(value.isNotNull(), F.struct(acc["total"].alias("total"), (acc["now"] + value).alias("now")))
 
     words = F.filter(F.split(F.trim(F.coalesce(raw, F.lit(""))), "\\s+"), lambda w: w != "")
-    return let(words, lambda ws: F.when(F.size(ws) > 0, F.aggregate(ws, begin, step, lambda acc: (acc["total"] + acc["now"]).cast("string"))))
+    return let_text(words, lambda ws: F.when(F.size(ws) > 0, F.aggregate(ws, begin, step, lambda acc: (acc["total"] + acc["now"]).cast("string"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, devanagari, formats, grammar, languages, messages, resample, scripts, spans, standins
 from ..functions.lexicon import HI, MR, Lexicon
 from ..operators import itn, metrics, offline, phrases, reporting, requests, sessions, turns
+from ..operators.once import made_once
 from ..streaming import live, segments, streams
 
 EMAIL_MARK = "<email>"
@@ -123,10 +124,12 @@ def _money(lex: Lexicon) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def hi_percent_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hundredths = F.round(F.col("l_discount") * 100).cast("long")
-    words = F.concat_ws(" ", grammar.spoken_integer(F.col("l_quantity").cast("long"), HI), F.lit("दशमलव"), grammar.spoken_integer(F.floor(hundredths / 10), HI), grammar.spoken_integer(hundredths % 10, HI), F.lit("प्रतिशत"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", words.alias("words"))
-    return rows.select("l_orderkey", "l_linenumber", grammar.normalize(F.col("words"), "percent", HI).alias("value"))
+    """Quantities and discounts as percentages, spoken and written once for each pair of them."""
+    numbers = {"quantity": F.col("l_quantity").cast("long"), "hundredths": F.round(F.col("l_discount") * 100).cast("long")}
+    n = F.col("hundredths")
+    words = F.concat_ws(" ", grammar.spoken_integer(F.col("quantity"), HI), F.lit("दशमलव"), grammar.spoken_integer(F.floor(n / 10), HI), grammar.spoken_integer(n % 10, HI), F.lit("प्रतिशत"))
+    written = lambda values: values.withColumn("words", words).withColumn("value", grammar.normalize(F.col("words"), "percent", HI)).drop("words")
+    return made_once(table(spark, sf_dir, "lineitem"), numbers, written).select("l_orderkey", "l_linenumber", "value")
 
 
 def _date(lex: Lexicon) -> Callable[[SparkSession, str], DataFrame]:

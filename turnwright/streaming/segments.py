@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import scripts
 from ..functions.spans import SPAN
 from ..operators import itn, sessions
+from ..operators.once import made_once
 from .streams import stability
 
 MAX_TENANTS = 10_000
@@ -66,12 +67,22 @@ def _plain(segments: DataFrame) -> DataFrame:
     return known.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("lang_hint", "tenant")})
 
 
-def _normalized(counted: DataFrame, policies: Policies) -> DataFrame:
+def _normalized(counted: DataFrame, policies: Policies, once: bool) -> DataFrame:
+    """once: normalise equal hypotheses once; a stream can't, as it would need a state of all that were said."""
     table = F.broadcast(policies.table(counted.sparkSession))
     with_policy = counted.join(table, F.col("tenant") == F.col("__tenant"), "left")
     with_policy = with_policy.withColumns({"tenant": F.coalesce("__tenant", F.lit(policies.default)), "__order": F.coalesce("__date_order", F.lit(policies.date_orders[policies.default]))})
     classifier = itn.grammar_classifier(F.col("__order")) if policies.enabled else itn.default_classifier
-    done = itn.normalize_segments(with_policy, is_final=F.col("is_final"), stable=F.col("stable_count"), lang_hint=F.col("lang_hint"), asr_conf=F.col("asr_conf"), classifier=classifier)
+
+    def made(rows: DataFrame, stable: str) -> DataFrame:
+        return itn.normalize_segments(rows, is_final=F.col("is_final"), stable=F.col(stable), lang_hint=F.col("lang_hint"), asr_conf=F.col("asr_conf"), classifier=classifier)
+
+    if once:
+        # All that a result depends on; counts from STABLE_AT on do the same.
+        asked = {c: F.col(c) for c in ("text", "is_final", "lang_hint", "asr_conf", "__order")} | {"__stable": F.least("stable_count", F.lit(itn.STABLE_AT))}
+        done = made_once(with_policy, asked, lambda values: made(values, "__stable"))
+    else:
+        done = made(with_policy, "stable_count")
     failed = F.col("error").isNotNull()
     instead = {"canonical_text": F.col("raw_text"), "display_text": F.col("raw_text"), "spans": F.array().cast(f"array<{SPAN}>"), "deferred": F.lit(True), "lang": F.coalesce("lang_hint", F.lit("und")), "script": scripts.script_of(F.col("raw_text"))}
     return done.withColumns({c: F.when(failed, value).otherwise(F.col(c)) for c, value in instead.items()}).select(*RESULT)
@@ -79,12 +90,12 @@ def _normalized(counted: DataFrame, policies: Policies) -> DataFrame:
 
 def normalized_stream(segments: DataFrame, policies: Policies) -> DataFrame:
     """RESULT of every row of a stream of SEGMENT rows, in append mode."""
-    return _normalized(stability(_plain(segments)), policies)
+    return _normalized(stability(_plain(segments)), policies, once=False)
 
 
 def normalized_calls(segments: DataFrame, policies: Policies) -> DataFrame:
     """RESULT of every row of a table of SEGMENT rows, in the order of seq."""
-    return _normalized(sessions.stability(_plain(segments), "call_id", ["seq"], "text", "is_final"), policies)
+    return _normalized(sessions.stability(_plain(segments), "call_id", ["seq"], "text", "is_final"), policies, once=True)
 
 
 def flickers(results: DataFrame) -> DataFrame:

@@ -432,15 +432,21 @@ def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("कुल "), grammar.spoken_integer(F.floor("o_totalprice"), HI), F.lit(" रुपये "), F.when(F.col("o_orderkey") % 2 == 0, "देने हैं").otherwise("बाकी"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text"))
-    done = itn.normalize_segments(rows, classifier=itn.grammar_classifier())
+    """Sentences on orders' prices, spoken and normalised once for each amount and ending."""
+    said = F.concat(F.lit("कुल "), grammar.spoken_integer(F.col("amount"), HI), F.lit(" रुपये "), F.when(F.col("even"), "देने हैं").otherwise("बाकी"))
+    done = made_once(
+        table(spark, sf_dir, "orders"), {"amount": F.floor("o_totalprice"), "even": F.col("o_orderkey") % 2 == 0},
+        lambda values: itn.normalize_segments(values.withColumn("text", said), classifier=itn.grammar_classifier()),
+    )
     return done.select("o_orderkey", "canonical_text", "lang", "deferred")
 
 
 def partial_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(grammar.spoken_integer(F.col("event_id") % 100, HI), F.lit(" रुपये")).alias("text"), (F.col("event_id") % 3).alias("stable"), (F.col("event_id") % 4 == 0).alias("final"))
-    done = itn.normalize_segments(rows, is_final=F.col("final"), stable=F.col("stable"), classifier=itn.grammar_classifier())
+    n = F.col("event_id")
+    done = made_once(
+        table(spark, sf_dir, "events"), {"number": n % 100, "stable": n % 3, "final": n % 4 == 0},
+        lambda values: itn.normalize_segments(values.withColumn("text", F.concat(grammar.spoken_integer(F.col("number"), HI), F.lit(" रुपये"))), is_final=F.col("final"), stable=F.col("stable"), classifier=itn.grammar_classifier()),
+    )
     return done.select("event_id", "deferred", F.when(~F.col("deferred"), F.col("canonical_text")).alias("canonical_text"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnwright.functions.resample import fitted, low_pass, resampled
+from turnwright.functions.resample import _pieces, fitted, low_pass, resampled
 
 
 def direct(x, rate, target):
@@ -44,3 +44,13 @@ def test_tone_nulls_and_fit(spark):
     with pytest.raises(Exception, match="above zero"):
         rows.select(resampled(F.col("pcm"), F.lit(0), F.lit(16000))).collect()
     assert rows.limit(0).select(there).count() == 0
+
+
+def test_a_batch_is_handed_on_in_pieces():
+    """What a task holds of made sound is bounded by bytes, not by the rows of its batch."""
+    import pyarrow as pa
+
+    raw = [bytes(200), None, bytes(4000), b"", bytes(100)] * 20
+    pieces = list(_pieces(pa.array(raw, pa.binary()), [8000] * 100, [16000] * 99 + [None], at_once=5000))
+    assert all(sum(len(x) for x in p.to_pylist() if x) < 5000 + 8000 for p in pieces) and len(pieces) > 10
+    assert [None if x is None else len(x) for p in pieces for x in p.to_pylist()] == [None if x is None else 2 * len(x) for x in raw[:-1]] + [None]

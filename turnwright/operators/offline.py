@@ -38,12 +38,13 @@ def offline_classifier(inner: Callable[[DataFrame, str, str, str], DataFrame]) -
 
     def classify(df: DataFrame, text: str, lang: str, out: str) -> DataFrame:
         hindi = F.col(lang) == "hi"
-        staged = inner(df, text, lang, "__inner")
-        staged = with_stand_ins(staged, "__inner", hindi, "__inner")
+        # Terms come first: their Python function would draw the plan of all columns below it into one expression, made several times for a row.
         more = F.concat(domain_terms(F.col(text)), F.when(hindi, latin_cardinals(F.col(text))).otherwise(F.array().cast(f"array<{SPAN}>")))
+        staged = inner(df.withColumn("__more", more), text, lang, "__inner")
+        staged = with_stand_ins(staged, "__inner", hindi, "__inner")
         clear = lambda a: ~F.exists("__inner", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
         both = F.concat("__inner", F.filter("__more", clear))
-        return staged.withColumn("__more", more).withColumn(out, F.array_sort(both, lambda a, b: a["start"] - b["start"])).drop("__inner", "__more")
+        return staged.withColumn(out, F.array_sort(both, lambda a, b: a["start"] - b["start"])).drop("__inner", "__more")
 
     return classify
 

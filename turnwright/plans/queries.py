@@ -564,7 +564,9 @@ def _offline_texts(customers: DataFrame) -> DataFrame:
 
 
 def backend_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = offline.normalize_offline(_offline_texts(table(spark, sf_dir, "customer")), backend="compare", loader=_loud, key="loud")
+    """Both backends on customers' texts, each text once: a small file is one task, and its rows are costly."""
+    texts = _offline_texts(table(spark, sf_dir, "customer"))
+    both = made_once(texts, {"text": F.col("text")}, lambda values: offline.normalize_offline(values, backend="compare", loader=_loud, key="loud"))
     return both.select("c_custkey", "custom_canonical_text", "nemo_canonical_text", "changed_by_custom", "changed_by_nemo", "outputs_equal", F.size("nemo_spans").alias("n_nemo_spans"), "deferred")
 
 

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnwright.functions import messages
@@ -133,6 +134,57 @@ def test_live_sessions(spark, tmp_path, mode, cuts, stop_after):
         assert {r.seq: (r.n_chunks, r.seconds) for r in got}[6] == (2, 6 / 16_000)
 
 
+def test_live_sessions_ask_the_store_seldom():
+    """Sound of a micro-batch is stored in one call, and nothing is read or cleared where nothing is stored."""
+    calls, kept = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append(f"{self.name}.get")
+            return kept.get(self.name, [] if self.name == "held" else None)
+
+        def update(self, value):
+            calls.append(f"{self.name}.update")
+            kept[self.name] = value
+
+        def appendList(self, values):  # noqa: N802
+            calls.append(f"{self.name}.appendList")
+            kept[self.name] = kept.get(self.name, []) + values
+
+        def clear(self):
+            calls.append(f"{self.name}.clear")
+            kept.pop(self.name, None)
+
+    class Handle:
+        def getListState(self, name, schema):  # noqa: N802
+            return State(name)
+
+        getValueState = getListState  # noqa: N815
+
+        def registerTimer(self, when):  # noqa: N802
+            calls.append("timer")
+
+        deleteTimer = registerTimer  # noqa: N815
+
+    session = live.LiveSession("flush")
+    session.init(Handle())
+
+    def asked(*kinds, first=0):
+        calls.clear()
+        rows = [Row(seq=first + i, ts=at(0), kind=k, payload=b"a%d" % (first + i) if k == "audio" else None, rate=None, model=None) for i, k in enumerate(kinds)]
+        out = [(r.event, r.transcript) for r in session.handleInputRows(("s",), iter(rows), None)]
+        return out, list(calls)
+
+    assert asked("audio", "flush", "audio", "audio") == ([("data", "a0")], ["facts.get", "held.appendList", "facts.update"])
+    assert asked("audio", first=4) == ([], ["facts.get", "held.get", "held.appendList", "facts.update"])
+    assert asked("flush", "audio", first=5) == ([("data", "a2 a3 a4")], ["facts.get", "held.get", "held.clear", "held.appendList", "facts.update"])
+    assert asked("stop", first=7) == ([("done", "")], ["facts.get", "held.get", "held.clear", "timer", "facts.update"])
+    assert asked("audio", first=8)[1] == ["facts.get", "facts.update"] and "held" not in kept
+
+
 def test_live_sessions_know_their_modes():
     with pytest.raises(ValueError):
         live.LiveSession("whatever")

@@ -34,6 +34,8 @@ EVENT = "session string, seq long, event string, transcript string, n_chunks int
 SILENCE_MS = {"silence": 350, "direct": 1000}
 RATE = 16_000
 MODES = ("flush", "silence", "direct")
+#: Chunks of sound that are handed to the state store in one call.
+AT_ONCE = 100
 
 
 def as_text(chunks: list[bytes], rate: int) -> str:
@@ -54,23 +56,28 @@ class LiveSession(StatefulProcessor):
 
     def _load(self, key: tuple) -> None:
         self.key = key[0]
-        self.last_ms, self.rate, self.ended, self.seq, self.timer = self.facts.get() or (0, RATE, False, -1, 0)
-        self.chunks = [bytes(c[0]) for c in self.held.get()]
+        facts = self.facts.get()
+        self.last_ms, self.rate, self.ended, self.seq, self.timer = facts or (0, RATE, False, -1, 0)
+        # Each call to the state store is a round trip to the JVM; a session that is new or ended has no sound stored.
+        self.chunks = [bytes(c[0]) for c in self.held.get()] if facts and not self.ended else []
         self.stored = len(self.chunks)
         self.cleared = False
 
     def _store(self) -> None:
         if self.cleared:
-            self.held.clear()
+            if self.stored:
+                self.held.clear()
             self.stored = 0
-        for chunk in self.chunks[self.stored :]:
-            self.held.appendValue((chunk,))
-        if self.timer:
-            self.handle.deleteTimer(self.timer)
+        for at in range(self.stored, len(self.chunks), AT_ONCE):
+            self.held.appendList([(chunk,) for chunk in self.chunks[at : at + AT_ONCE]])
         silence = SILENCE_MS.get(self.mode)
-        self.timer = self.last_ms + self.forget_ms if self.ended else self.last_ms + silence + 1 if silence and self.chunks else 0
-        if self.timer:
-            self.handle.registerTimer(self.timer)
+        timer = self.last_ms + self.forget_ms if self.ended else self.last_ms + silence + 1 if silence and self.chunks else 0
+        if timer != self.timer:
+            if self.timer:
+                self.handle.deleteTimer(self.timer)
+            if timer:
+                self.handle.registerTimer(timer)
+            self.timer = timer
         self.facts.update((self.last_ms, self.rate, self.ended, self.seq, self.timer))
 
     def _clear(self) -> None:

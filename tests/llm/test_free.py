@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,34 @@ def test_token_files(spark):
     assert tokens.write_and_index(table.limit(0), path)[1].count() == 0
 
 
+def test_cuts_change_no_ids():
+    # Runs of spaces before the added token, contractions, single and double line breaks, accents, signs and digits beside letters.
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    plain, parts = Tokenizer.from_file(path), ["  ", " ", "\n", "\n\n", "\t", " ", "　", "<|endoftext|>", "<|", "word", "don't", "'s", "é", "ß", "×", "é", "12", "a1", ",", "...", "(", "日本", "😀", "\x1c", "\r\n", "l'été,", "$5.00", "-->"]
+    texts = ["a  <|endoftext|> b", "", "x\n<|endoftext|>", None, *("".join(draw.choice(parts) for _ in range(draw.randrange(1, 40))) for _ in range(3000))]
+    got = list(tokens.Encoder(path)(pa.array(texts).fill_null("")))
+    assert [x.tolist() for x in got] == [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_token_work_is_done_once(monkeypatch):
+    # A word is encoded once, whatever follows it, and few calls of the library do it; a place of Re-Pair is numbered again only where a pair beside it was replaced.
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.sizes, self.calls = inner, 0, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.sizes, self.calls = self.sizes + sum(map(len, texts)), self.calls + len(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    encode = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.tokenizer = counting = Counting(encode.tokenizer)
+    words = [f" word{'x' * (i % 7)}q{chr(97 + i % 26)}" for i in range(182)]
+    texts = pa.array(["".join(w + mark for w in words) for mark in (",", ".", ";", "!", "?", "")])
+    assert len(list(encode(texts))) == 6 and counting.calls <= 4 and counting.sizes < 2 * sum(map(len, words))
+
+
 def test_toxicity_on_held_out_documents(spark):
     draw = random.Random(1)
     say = lambda bad: " ".join([draw.choice(["tree", "house", "river", "cloud", "stone"]) for _ in range(30)] + ([draw.choice(["awfulword", "nastyword", "vileword"])] * bad))

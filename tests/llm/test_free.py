@@ -273,6 +273,25 @@ def test_recall_of_the_retrieval_on_vectors_without_structure():
     assert found >= 0.9 * 400 and model.flips <= 1
 
 
+def test_near_copies_meet_once_and_the_radius_is_that_of_the_whole_table(spark):
+    # Near copies are near in all substrings; in a longer table neighbours are nearer, so fewer pairs need a look.
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(6000, 16))
+    x[:300] = x[0] + 1e-3 * draw.normal(size=(300, 16))
+    distinct = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "lead long, v array<double>")
+    sample = x[300:1300]
+    place, near = ann.near_ones(distinct, sample, 10)
+    for i in (744, 999):
+        d = ((x - sample[i]) ** 2).sum(1)
+        best = sorted(d[d > 0])[:10]
+        assert sorted(((near[place == i] - sample[i]) ** 2).sum(1)) == pytest.approx(best)
+    model = ann.learn(sample, 10, len(x), 60, known=(place, near))
+    assert model.radius < ann.learn(sample, 10, len(x), 60).radius
+    asked = spark.createDataFrame([(i,) for i in range(0, 300, 50)], "lead long")
+    met = [tuple(r) for r in ann.meetings(ann.coded(distinct, model), asked, model).collect()]
+    assert len(met) == len(set(met)) and {(q, i) for q in range(0, 300, 50) for i in range(300)} <= set(met)
+
+
 def best_pieces(text, model):
     """An independent Viterbi over the whole text."""
     score = {p: (i, s) for p, i, s in model.pieces}

@@ -8,8 +8,8 @@ the query's. Pairs are then checked by the distance of their signatures, the fir
 by the distance of the original vectors in double precision.
 
 Length, number and flips of the substrings and the signatures' radius come from the sample: of the choices that retrieve
-COVERAGE of the sample's own neighbours, the one that costs least at the table's size, counting index rows, probes and pairs
-that meet. A sample is thinner than the table and so its neighbours are farther away: the table's are found more surely.
+COVERAGE of the neighbours that SAMPLE_QUERIES vectors of the sample have in the whole table (one pass over it), the one that
+costs least at the table's size, counting index rows, probes and pairs that meet. So the radius shrinks as the table grows.
 Vectors without structure need many substrings, and short ones; the longer the table, the longer the substrings that pay.
 
 Scale: equal vectors are one index row that keeps its smallest ids (as many as an answer can hold, so nothing is lost), and
@@ -32,13 +32,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release
 
 SAMPLE, SAMPLE_QUERIES, SEED = 8192, 256, 11
-BITS, SIGNATURE, LENGTHS, FLIPS, COVERAGE, ROUNDS = 1024, 512, (8, 10, 12, 14, 16, 20, 24, 32), 1, 0.98, 20
+BITS, SIGNATURE, LENGTHS, FLIPS, COVERAGE, ROUNDS = 1024, 512, (8, 10, 12, 14, 16, 20, 24, 32), 1, 0.99, 20
 COST_INDEX, COST_PROBE, COST_PAIR = 1.0, 1.0, 0.2
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 512
 
@@ -73,8 +73,8 @@ def ball(length: int, flips: int) -> int:
     return sum(math.comb(length, i) for i in range(flips + 1))
 
 
-def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float = COVERAGE, seed: int = SEED) -> Model:
-    """A model for a table of n rows and n_queries queries."""
+def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float = COVERAGE, seed: int = SEED, known: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model for a table of n rows and n_queries queries. known: places in the sample and the vectors near them in the whole table."""
     draw = np.random.default_rng(seed)
     mean = sample.mean(0)
     x = sample - mean
@@ -82,16 +82,17 @@ def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float =
     rotations = np.hstack([rotation(few, draw) for _ in range(-(-BITS // x.shape[1]))])[:, :BITS]
     bits = x @ rotations >= 0
     mine, near = [], []
-    for i in range(min(SAMPLE_QUERIES, len(x))):
+    for i in range(min(SAMPLE_QUERIES, len(x)) if known is None else 0):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         best = np.argpartition(d, min(k, len(d) - 1))[:k]
         best = best[np.isfinite(d[best])]
         mine += [i] * len(best)
         near += best.tolist()
-    if not near:
+    mine, near_bits = (mine, bits[near]) if known is None else (known[0], (known[1] - mean) @ rotations >= 0)
+    if not len(mine):
         return Model(mean, rotations, LENGTHS[0], 1, 0, BITS)
-    apart = bits[mine] != bits[near]
+    apart = bits[mine] != near_bits
     others = bits[draw.integers(0, len(x), 4096)] != bits[draw.integers(0, len(x), 4096)]
     options = []
     for length in LENGTHS:
@@ -104,7 +105,38 @@ def learn(sample: np.ndarray, k: int, n: int, n_queries: int, coverage: float =
             cost = COST_INDEX * n * enough + COST_PROBE * n_queries * enough * ball(length, flips) + COST_PAIR * n_queries * n * meet
             options.append((found[enough - 1] < coverage, cost if found[-1] >= coverage else -found[-1], length, enough, flips))
     _, _, length, substrings, flips = min(options)
-    return Model(mean, rotations, length, substrings, flips, int(np.ceil(np.quantile(apart[:, :SIGNATURE].sum(1), 0.985))))
+    return Model(mean, rotations, length, substrings, flips, int(np.ceil(np.quantile(apart[:, :SIGNATURE].sum(1), 0.995))))
+
+
+def near_ones(distinct: DataFrame, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of SAMPLE_QUERIES vectors of the sample, and their k nearest others in the whole table: one pass, k rows a task and vector.
+
+    They are the last ones, as the rotations are learned from the first, whose codes suit them better than those of other rows.
+    """
+    behind = max(0, len(sample) - SAMPLE_QUERIES)
+    asked = sample[behind:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(asked), k), np.inf)
+        those = np.zeros((len(asked), k, asked.shape[1]))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for i, a in enumerate(asked):
+                d = ((v - a) ** 2).sum(1)
+                d[d == 0] = np.inf  # vectors are distinct, so that is itself
+                few = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                both = np.concatenate([best[i], d[few]])
+                order = np.argsort(both, kind="stable")[:k]
+                best[i], those[i] = both[order], np.concatenate([those[i], v[few]])[order]
+        place, at = np.nonzero(np.isfinite(best))
+        if len(place):
+            found = those[place, at]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(best[place, at]), lists], ["place", "d", "v"])
+
+    order = Window.partitionBy("place").orderBy("d", "v")
+    found = distinct.select("v").mapInArrow(run, "place long, d double, v array<double>").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("place", "v").toArrow()
+    return found.column("place").to_numpy() + behind, np.array(found.column("v").to_pylist()).reshape(-1, sample.shape[1])
 
 
 def coded(vectors: DataFrame, model: Model) -> DataFrame:
@@ -131,16 +163,40 @@ def flip_masks(length: int, flips: int) -> list[int]:
     return sorted(out)
 
 
-def candidates(codes: DataFrame, asked: DataFrame, model: Model) -> DataFrame:
-    """query, lead: pairs that meet in a substring and have near signatures. asked: lead of every query."""
+def meetings(codes: DataFrame, asked: DataFrame, model: Model) -> DataFrame:
+    """query, lead: pairs that meet in a substring and have near signatures. asked: lead of every query.
+
+    A pair meets in the first of the substrings in the signature that are near: near copies, which are near in all, meet once.
+    """
     place = lambda j, value: F.col(j).cast("long") * (1 << model.length) + value
-    index = codes.select("lead", "sig", F.posexplode("subs").alias("j", "value")).select("lead", "sig", place("j", F.col("value")).alias("key"))
-    probes = codes.join(asked, "lead", "left_semi").select(F.col("lead").alias("query"), F.col("sig").alias("query_sig"), F.posexplode("subs").alias("j", "value"))
-    masks = F.array(*[F.lit(m).cast("long") for m in flip_masks(model.length, model.flips)])
-    probes = probes.select("query", "query_sig", "j", "value", F.explode(masks).alias("mask")).select("query", "query_sig", place("j", F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
     words = range(min(BITS, SIGNATURE) // 64)
-    off = sum((F.bit_count(F.get("sig", i).bitwiseXOR(F.get("query_sig", i))) for i in words[1:]), F.bit_count(F.get("sig", 0).bitwiseXOR(F.get("query_sig", 0))))
-    return probes.join(index, "key").filter(off <= model.radius).select("query", "lead").distinct()
+    longs = lambda name: [F.coalesce(F.get("sig", i), F.lit(0)).alias(f"{name}{i}") for i in words]  # noqa: E731  (plain columns keep the join's code short enough to be compiled)
+    index = codes.select("lead", *longs("s"), F.posexplode("subs").alias("j", "value")).select("lead", *[f"s{i}" for i in words], place("j", F.col("value")).alias("key"))
+    probes = codes.join(asked, "lead", "left_semi").select(F.col("lead").alias("query"), *longs("q"), F.posexplode("subs").alias("j", "value"))
+    masks = F.array(*[F.lit(m).cast("long") for m in flip_masks(model.length, model.flips)])
+    probes = probes.withColumn("mask", F.explode(masks)).select("query", *[f"q{i}" for i in words], place("j", F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
+    apart = [F.col(f"s{i}").bitwiseXOR(F.col(f"q{i}")) for i in words]
+    off = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+
+    def near(j: int) -> Column:
+        word, at = divmod(j * model.length, 64)
+        value = F.shiftrightunsigned(apart[word], at)
+        if at + model.length > 64:
+            value = value.bitwiseOR(F.shiftleft(apart[word + 1], 64 - at))
+        return F.bit_count(value.bitwiseAND(F.lit((1 << model.length) - 1).cast("long"))) <= model.flips
+
+    inside = min(model.substrings, len(words) * 64 // model.length)
+    met = F.when(near(0), 0)
+    for j in range(1, inside):
+        met = met.when(near(j), j)
+    met = met.otherwise(inside)
+    own = F.shiftright("key", model.length)
+    return probes.join(index, "key").filter(off <= model.radius).filter(F.least(own, F.lit(inside)) == met).select("query", "lead")
+
+
+def candidates(codes: DataFrame, asked: DataFrame, model: Model) -> DataFrame:
+    """query, lead, each once. Only pairs that first meet behind the signature can meet more than once."""
+    return meetings(codes, asked, model).distinct()
 
 
 def _exactly(distinct: DataFrame, asked: DataFrame, k: int, index_block: int, query_block: int) -> DataFrame:
@@ -177,7 +233,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     share = min(1.0, 2 * SAMPLE / n)  # only rows with low hashes are sorted, so that no task gets more at any size
     low = distinct.withColumn("h", F.xxhash64(F.lit(SEED), "lead")).filter((F.shiftrightunsigned("h", 12) <= int(share * (1 << 52))))
     sample = np.array([r.v for r in low.orderBy("h", "lead").limit(SAMPLE).select("v").collect()])
-    model = learn(sample, k, n, n_queries, coverage)
+    model = learn(sample, k, n, n_queries, coverage, known=near_ones(distinct, sample, k))
     asked = queries.select(F.col("query").alias("lead")).distinct()
     codes = cut(coded(distinct, model), "vector-codes")
     pairs = candidates(codes, asked, model)

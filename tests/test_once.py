@@ -29,3 +29,11 @@ def test_percentages_and_segments_are_written_once_for_a_value(spark, tmp_path):
         lines = plan.splitlines()
         costly = next(i for i, line in enumerate(lines) if "regexp_extract_all" in line)
         assert any("Aggregate [" in line for line in lines[costly + 1 :]) and any("Join Inner" in line for line in lines[:costly])
+
+
+def test_documents_are_dealt_over_all_tasks_whatever_their_file(spark, tmp_path, monkeypatch):
+    # One row group is read by one task, which would normalise all documents alone.
+    spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries.itn, "normalize_segments", lambda docs, **how: docs.select("doc_id", F.lit("x").alias("canonical_text"), *[F.lit(None).cast(f"array<{queries.itn.SPAN}>").alias("spans")], F.lit("x").alias("lang"), F.spark_partition_id().alias("script")))
+    got = queries.normalized_documents(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400)) and len({r.script for r in got}) >= min(4, spark.sparkContext.defaultParallelism)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, devanagari, formats, grammar, languages, messages, resample, scripts, spans, standins
 from ..functions.lexicon import HI, MR, Lexicon
 from ..operators import itn, metrics, offline, phrases, reporting, requests, sessions, turns
-from ..operators.once import made_once
+from ..operators.once import dealt, made_once
 from ..streaming import live, segments, streams
 
 EMAIL_MARK = "<email>"
@@ -426,7 +426,7 @@ def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     done = itn.normalize_segments(docs, classifier=itn.grammar_classifier())
     return done.select("doc_id", F.md5("canonical_text").alias("canonical_md5"), F.size("spans").alias("n_spans"), F.col("lang"), F.col("script"), F.size(F.filter("spans", lambda s: s["fallback_reason"].isNull())).alias("n_accepted"))
 
